@@ -1,0 +1 @@
+"""Intentionally empty: every report is a batch report over static tables."""
