@@ -170,8 +170,10 @@ class GlobalOrder:
         self._frame = frame
         mark = next(_ids)
         self._slot, self._bucket = f"__slot{mark}", f"__bucket{mark}"
-        self._peer_schema = frame.select(*_fields(spec.peers, "p")).schema
-        self._tie_schema = frame.select(*_fields(spec.ties, "t")).schema
+        peers, ties = _fields(spec.peers, "p"), _fields(spec.ties, "t")
+        schema = frame.select(*peers, *ties).schema
+        self._peer_schema = T.StructType(schema.fields[: len(peers)])
+        self._tie_schema = T.StructType(schema.fields[len(peers) :])
 
     # -- layout
 
@@ -441,11 +443,13 @@ def tile_columns(orders: Sequence[GlobalOrder], tiles: int) -> list[Column]:
 
 
 def quantiles(order: GlobalOrder, fractions: Sequence[float]) -> list[float | None]:
-    """Exact quantiles, linear between neighbours, of an ascending order without nulls."""
+    """Exact quantiles of the sort value, linear between neighbours. No nulls, either direction."""
     if not order.rows:
         return [None for _ in fractions]
     spots = [f * (order.rows - 1) for f in fractions]
     positions = [[math.floor(s) + 1, math.ceil(s) + 1] for s in spots]
+    if order.spec.by.desc:
+        positions = [[order.rows + 1 - p for p in pair] for pair in positions]
     found = _locate([(order, list(itertools.chain.from_iterable(positions)))])
     out = []
     for spot, (low, high) in zip(spots, positions):

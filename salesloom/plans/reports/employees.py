@@ -16,14 +16,7 @@ from salesloom.plans.retail import Retail
 
 def employee_figures(retail: Retail) -> DataFrame:
     """One row per employee who sold."""
-    sales = retail.employee_orders().groupBy("EmployeeID").agg(
-        F.count("*").alias("TotalOrders"),
-        F.sum("Units").alias("TotalUnitsSold"),
-        F.sum("NetU").alias("NetU"),
-        F.sum("DiscountBp").alias("DiscountBp"),
-        F.sum("Lines").alias("Lines"),
-    )
-    return sales.join(retail.employees(), "EmployeeID").select(
+    return retail.employee_totals().join(retail.employees(), "EmployeeID").select(
         "EmployeeID",
         "EmployeeName",
         "Title",
@@ -44,14 +37,13 @@ def agent_scorecard(
     """Sales, discount and efficiency ranks per employee, with a tier and a discount flag."""
     base = materialize(employee_figures(retail))
     tie = (Key("EmployeeID"),)
-    discount, efficiency, revenue, rising = measure(
+    discount, efficiency, revenue = measure(
         base,
         Spec(Key("AvgDiscountPct", desc=True), tie),
         Spec(Key("RevenuePerOrder", desc=True), tie),
         Spec(Key("TotalRevenue", desc=True), tie),
-        Spec(Key("TotalRevenue"), tie),
     )
-    low, high, top = quantiles(rising, [low_quantile, high_quantile, 1.0])
+    low, high, top = quantiles(revenue, [low_quantile, high_quantile, 1.0])
     mean = base.agg(ratio(F.sum("TotalRevenue"), F.count("TotalRevenue")).alias("mean")).scalar()
     ranked = discount.arrange(base).withColumn("DiscountRank", discount.rank())
     ranked = efficiency.arrange(ranked).withColumn("EfficiencyRank", efficiency.rank())

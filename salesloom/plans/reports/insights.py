@@ -34,12 +34,9 @@ def monthly_pivot(
     labels = sorted(r[0] for r in source.distinct().limit(MAX_PIVOT_COLUMNS + 1).collect())
     if len(labels) > MAX_PIVOT_COLUMNS:
         raise ValueError(f"more than {MAX_PIVOT_COLUMNS} values of {column}: pivot a coarser column")
-    months = retail.orders().select("OrderID", F.trunc("OrderDate", "month").alias("Month"))
     sales = (
-        retail.employee_orders()
-        .select("EmployeeID", "OrderID", "NetU")
-        .join(months, "OrderID")
-        .groupBy("EmployeeID", "Month")
+        retail.employee_sales()
+        .groupBy("EmployeeID", F.trunc("OrderDate", "month").alias("Month"))
         .agg(F.sum("NetU").alias("NetU"))
         .join(retail.employees().select("EmployeeID", column), "EmployeeID")
         .groupBy("Month", column)

@@ -19,6 +19,7 @@ discount in basis points.
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,8 +74,12 @@ class Retail(ABC):
     def region_count(self) -> int: ...
 
     @abstractmethod
-    def employee_orders(self) -> DataFrame:
-        """EmployeeID, OrderID, Units, NetU, DiscountBp (summed), Lines."""
+    def employee_totals(self) -> DataFrame:
+        """EmployeeID, TotalOrders, TotalUnitsSold, NetU, DiscountBp (summed), Lines."""
+
+    @abstractmethod
+    def employee_sales(self) -> DataFrame:
+        """EmployeeID, OrderDate, NetU: any number of rows per employee and day."""
 
     @abstractmethod
     def name_shipper(self, frame: DataFrame) -> DataFrame:
@@ -92,31 +97,28 @@ class Retail(ABC):
         """One row per order that has lines.
 
         Sums are combined before the shuffle, so an order with any number of lines
-        costs a handful of rows. Distinct products need the pairs (order, product)
-        first; counting those in two steps keeps a huge order spread out.
+        costs a handful of rows. Distinct products are counted beside the sums, not
+        with them: only the two keys travel as pairs (order, product), the pairs of a
+        huge order stay spread out, and both halves meet already partitioned by order.
         """
         lines = self.lines()
-        sums = [
+        totals = lines.groupBy("OrderID").agg(
             F.sum("Quantity").alias("Units"),
             F.sum("NetU").alias("NetU"),
             F.sum("GrossU").alias("GrossU"),
+            F.count("*").alias("Lines"),
+            F.count_if(F.col("DiscountBp") > 0).alias("DiscountedLines"),
             *self._line_measures(),
-        ]
+        )
         if not products:
-            return lines.groupBy("OrderID").agg(
-                *sums,
-                F.count("*").alias("Lines"),
-                F.count_if(F.col("DiscountBp") > 0).alias("DiscountedLines"),
-            )
-        pairs = lines.groupBy("OrderID", "ProductID").agg(
-            *sums, F.count("*").alias("Lines")
+            return totals
+        distinct = (
+            lines.select("OrderID", "ProductID")
+            .distinct()
+            .groupBy("OrderID")
+            .agg(F.count("ProductID").alias("Products"))
         )
-        again = [
-            (F.max(c) if c == "LastShip" else F.sum(c)).alias(c)
-            for c in pairs.columns
-            if c not in ("OrderID", "ProductID")
-        ]
-        return pairs.groupBy("OrderID").agg(*again, F.count("ProductID").alias("Products"))
+        return totals.join(distinct, "OrderID")
 
     def order_book(self, how: str, products: bool = False) -> DataFrame:
         """Orders joined with their line totals, both unique on OrderID.
@@ -169,7 +171,7 @@ class Retail(ABC):
 class CsvRetail(Retail):
     """The eleven retail tables in their own schema (``sources.schemas``)."""
 
-    def __init__(self, tables: dict[str, DataFrame]):
+    def __init__(self, tables: Mapping[str, DataFrame]):
         self.tables = tables
 
     @classmethod
@@ -255,14 +257,29 @@ class CsvRetail(Retail):
     def region_count(self) -> int:
         return self.tables["region"].count()
 
-    def employee_orders(self) -> DataFrame:
+    def employee_totals(self) -> DataFrame:
         totals = self.lines().groupBy("OrderID").agg(
             F.sum("Quantity").alias("Units"),
             F.sum("NetU").alias("NetU"),
             F.sum("DiscountBp").alias("DiscountBp"),
             F.count("*").alias("Lines"),
         )
-        return self.orders().select("OrderID", "EmployeeID").join(totals, "OrderID")
+        return (
+            self.orders()
+            .select("OrderID", "EmployeeID")
+            .join(totals, "OrderID")
+            .groupBy("EmployeeID")
+            .agg(
+                F.count("*").alias("TotalOrders"),
+                F.sum("Units").alias("TotalUnitsSold"),
+                F.sum("NetU").alias("NetU"),
+                F.sum("DiscountBp").alias("DiscountBp"),
+                F.sum("Lines").alias("Lines"),
+            )
+        )
+
+    def employee_sales(self) -> DataFrame:
+        return self.order_book("inner").select("EmployeeID", "OrderDate", "NetU")
 
     def name_shipper(self, frame: DataFrame) -> DataFrame:
         shippers = self.tables["shippers"]
@@ -287,7 +304,7 @@ class StarRetail(Retail):
 
     TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 
-    def __init__(self, tables: dict[str, DataFrame]):
+    def __init__(self, tables: Mapping[str, DataFrame]):
         self.tables = tables
 
     @classmethod
@@ -435,13 +452,31 @@ class StarRetail(Retail):
     def region_count(self) -> int:
         return self.tables["region"].count()
 
-    def employee_orders(self) -> DataFrame:
-        return self.lines().groupBy("EmployeeID", "OrderID").agg(
-            F.sum("Quantity").alias("Units"),
+    def employee_totals(self) -> DataFrame:
+        """Sums by employee shrink before the shuffle; only the key pairs travel line by line."""
+        lines = self.lines()
+        sums = lines.groupBy("EmployeeID").agg(
+            F.sum("Quantity").alias("TotalUnitsSold"),
             F.sum("NetU").alias("NetU"),
             F.sum("DiscountBp").alias("DiscountBp"),
             F.count("*").alias("Lines"),
         )
+        orders = (
+            lines.select("EmployeeID", "OrderID")
+            .distinct()
+            .groupBy("EmployeeID")
+            .agg(F.count("*").alias("TotalOrders"))
+        )
+        return sums.join(orders, "EmployeeID")
+
+    def employee_sales(self) -> DataFrame:
+        dates = self.orders().select("OrderID", "OrderDate")
+        return (
+            self.lines()
+            .select("EmployeeID", "OrderID", "NetU")
+            .join(dates, "OrderID")
+            .drop("OrderID")
+        )
 
     def name_shipper(self, frame: DataFrame) -> DataFrame:
         return frame.withColumn("Shipper", F.col("ShipperID"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,12 +48,35 @@ def load_csv_tables(
     return out
 
 
-def load_parquet(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
-    """Parquet tables ``folder``/<name>.parquet."""
-    return {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in names}
+class ParquetTables(Mapping[str, DataFrame]):
+    """Parquet tables ``folder``/<name>.parquet, opened when first asked for.
+
+    Opening a table reads a footer; a report pays for the tables it uses only.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, names: Sequence[str]):
+        self._spark, self._folder, self._names = spark, folder, tuple(names)
+        self._open: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._names:
+            raise KeyError(name)
+        if name not in self._open:
+            self._open[name] = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+        return self._open[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._names)
+
+    def __len__(self) -> int:
+        return len(self._names)
+
+
+def load_parquet(spark: SparkSession, folder: str, names: Sequence[str]) -> ParquetTables:
+    return ParquetTables(spark, folder, names)
 
 
-def register_views(tables: dict[str, DataFrame]) -> None:
+def register_views(tables: Mapping[str, DataFrame]) -> None:
     """Make the tables available to ``spark.sql`` under their names."""
     for name, frame in tables.items():
         frame.createOrReplaceTempView(name)

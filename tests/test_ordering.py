@@ -137,10 +137,11 @@ def test_arranged_plan_has_one_exchange_and_no_single_partition(spark, capsys):
     assert plan.count("Sort [") == 1
 
 
+@pytest.mark.parametrize("desc", [False, True])
 @pytest.mark.parametrize("case", ["plain", "ties", "hot", "three", "one", "none"])
-def test_quantiles(spark, case):
+def test_quantiles(spark, case, desc):
     frame = spark.createDataFrame(CASES[case], SCHEMA)
-    (order,) = measure(frame, Spec(Key("v"), (Key("id"),)), buckets=9)
+    (order,) = measure(frame, Spec(Key("v", desc), (Key("id"),)), buckets=9)
     want = frame.agg(F.percentile("v", [0.0, 0.25, 0.5, 0.9, 1.0]).alias("q")).first()["q"]
     got = quantiles(order, [0.0, 0.25, 0.5, 0.9, 1.0])
     assert got == (pytest.approx(want) if want else [None] * 5)
