@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 10_000
 SAMPLE_PER_BUCKET = 64
+SHORT_SCAN = 32
 
 _SUM_TYPE = "decimal(38,6)"
 _ids = itertools.count()
@@ -100,11 +101,11 @@ def _passed(cuts: list[dict[str, Any]], schema: T.StructType, key: Column) -> Co
     """How many of the sorted cuts lie at or before ``key``: two short scans, not one long."""
     if not cuts:
         return F.lit(0)
+    if len(cuts) <= SHORT_SCAN:
+        return F.size(F.filter(_literal(cuts, schema), lambda c: c <= key))
     width = math.isqrt(len(cuts) - 1) + 1
     chunks = [cuts[i : i + width] for i in range(0, len(cuts), width)]
     heads = _literal([chunk[0] for chunk in chunks], schema)
-    if len(chunks) == 1:
-        return F.size(F.filter(_literal(cuts, schema), lambda c: c <= key))
     table = _literal(chunks, T.ArrayType(schema))
     chunk = F.size(F.filter(heads, lambda c: c <= key))
     inside = F.transform(
@@ -182,8 +183,9 @@ class GlobalOrder:
         peer = F.struct(*_fields(self.spec.peers, "p"), F.lit(0).alias("after"))
         slot = _passed(_structs(self._cuts.slots, slot_schema), slot_schema, peer)
         frame = frame.withColumn(self._slot, slot)
-        bucket = self._at(self._cuts.base, T.IntegerType(), F.col(self._slot))
+        bucket = F.col(self._slot)
         if any(self._cuts.ties):
+            bucket = self._at(self._cuts.base, T.IntegerType(), bucket)
             inner = _literal(
                 [_structs(rows, self._tie_schema) for rows in self._cuts.ties],
                 T.ArrayType(self._tie_schema),
@@ -323,20 +325,16 @@ class GlobalOrder:
         self._whole("percent_rank")
         return (self.rank() - 1).cast("double") / F.lit(float(max(self.rows - 1, 1)))
 
-    def ntile(self, tiles: int, reverse: bool = False) -> Column:
-        """NTILE; ``reverse`` numbers the tiles as if the whole order were turned round."""
+    def ntile(self, tiles: int, number: Column, reverse: bool = False) -> Column:
+        """NTILE from the ``row_number`` column already added to the arranged frame.
+
+        ``reverse`` numbers the tiles as if the whole order were turned round.
+        """
         self._whole("ntile")
-        number = self.row_number()
         if reverse:
             number = F.lit(self.rows + 1) - number
-        small, extra = divmod(self.rows, tiles)
-        edge = extra * (small + 1)
-        late = F.lit(extra + 1)
-        if small:
-            late = late + F.floor((number - 1 - edge) / F.lit(small))
-        return F.when(
-            number <= edge, F.floor((number - 1) / F.lit(small + 1)) + 1
-        ).otherwise(late)
+        starts = _literal([1, *self._tile_starts(tiles)], T.LongType())
+        return F.size(F.filter(starts, lambda s: s <= number)).cast("bigint")
 
     def _whole(self, what: str) -> None:
         if self.spec.within:

@@ -27,7 +27,7 @@ def customer_pareto(retail: Retail, tiles: int = 5) -> DataFrame:
             {
                 "RevenueRank": order.rank(),
                 "Running": order.running_sum("Revenue"),
-                "RevenueQuintile": order.ntile(tiles),
+                "Position": order.row_number(),
             }
         )
         .select(
@@ -43,7 +43,7 @@ def customer_pareto(retail: Retail, tiles: int = 5) -> DataFrame:
             safe_pct(F.col("Revenue"), grand_total, 2).alias("PctOfTotalRevenue"),
             "RevenueRank",
             safe_pct(F.col("Running"), grand_total, 1).alias("CumulativePct"),
-            "RevenueQuintile",
+            order.ntile(tiles, F.col("Position")).alias("RevenueQuintile"),
         )
     )
 

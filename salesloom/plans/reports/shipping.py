@@ -125,7 +125,7 @@ def order_size_delivery(
     (order,) = measure(base, Spec(Key("OrderRevenue", desc=True), (Key("OrderID", desc=True),)))
     return (
         order.arrange(base)
-        .withColumn("RevenueQuartile", order.ntile(tiles, reverse=True))
+        .withColumn("Position", order.row_number())
         .select(
             "OrderID",
             "CompanyName",
@@ -137,7 +137,7 @@ def order_size_delivery(
             "Freight",
             "FreightPct",
             "OrderSizeCategory",
-            "RevenueQuartile",
+            order.ntile(tiles, F.col("Position"), reverse=True).alias("RevenueQuartile"),
             "DaysToShip",
             "DeliveryStatus",
         )

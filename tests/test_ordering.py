@@ -57,13 +57,17 @@ def test_matches_builtin_windows(spark, case, tie, desc):
             "dense": order.dense_rank(),
             "rn": order.row_number(),
             "running": order.running_sum("v"),
-            "tile": order.ntile(5),
-            "back": order.ntile(4, reverse=True),
             "cume": order.cume_dist(),
             "pct": order.percent_rank(),
             "tile2": tile_columns([order], 5)[0],
         }
     )
+    got = got.withColumns(
+        {
+            "tile": order.ntile(5, F.col("rn")),
+            "back": order.ntile(4, F.col("rn"), reverse=True),
+        }
+    )
     by = F.col("v").desc() if desc else F.col("v").asc()
     w, total = W.orderBy(by), W.orderBy(by, tie)
     turned = W.orderBy(F.col("v").asc_nulls_first() if desc else F.col("v").desc_nulls_last(), F.desc(tie))
@@ -124,6 +128,16 @@ def test_frequent_value_is_spread(spark, case):
     assert max(r["count"] for r in sizes) < 0.25 * 3000
 
 
+@pytest.mark.parametrize("case", ["plain", "hot"])
+def test_many_buckets(spark, case):
+    """Enough cuts for the two-step lookup."""
+    frame = spark.createDataFrame(CASES[case], SCHEMA)
+    (order,) = measure(frame, Spec(Key("v"), (Key("id"),)), buckets=150)
+    got = order.arrange(frame).withColumn("rn", order.row_number()).select("id", "rn").collect()
+    want = frame.select("id", F.row_number().over(W.orderBy("v", "id")).alias("rn")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 def test_arranged_plan_has_one_exchange_and_no_single_partition(spark, capsys):
     frame = spark.createDataFrame(CASES["plain"], SCHEMA)
     (order,) = measure(frame, Spec(Key("v", True), (Key("id"),), sums=("v",)))
