@@ -35,12 +35,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 10_000
+ROWS_PER_BUCKET = 200_000
+MAX_BUCKETS = 4096
 SAMPLE_PER_BUCKET = 64
-SHORT_SCAN = 32
 
 _SUM_TYPE = "decimal(38,6)"
+_START, _INSIDE, _AFTER = 0, 1, 2
 _ids = itertools.count()
 
 
@@ -54,12 +54,15 @@ class Key:
     def sort(self) -> Column:
         return F.col(self.name).desc() if self.desc else F.col(self.name).asc()
 
-    def fields(self) -> list[Column]:
-        """The key as ascending, null-safe fields. Descending keys must be numeric."""
-        value = F.col(self.name)
+    def after(self, cut: str) -> str:
+        """SQL: whether the row's key sorts strictly after ``cut``; never null."""
         if self.desc:
-            return [value.isNull().cast("int"), -value]
-        return [value.isNotNull().cast("int"), value]
+            return f"coalesce({self.sql} < {cut}, {self.sql} IS NULL AND {cut} IS NOT NULL)"
+        return f"coalesce({self.sql} > {cut}, {self.sql} IS NOT NULL AND {cut} IS NULL)"
+
+    @property
+    def sql(self) -> str:
+        return "`" + self.name.replace("`", "``") + "`"
 
 
 @dataclass(frozen=True)
@@ -73,87 +76,86 @@ class Spec:
     dense: bool = False
 
     @property
-    def peers(self) -> list[Key]:
-        return [*(Key(name) for name in self.within), self.by]
+    def peers(self) -> tuple[Key, ...]:
+        return (*(Key(name) for name in self.within), self.by)
 
+    @property
+    def keys(self) -> tuple[Key, ...]:
+        return (*self.peers, *self.ties)
 
-def _fields(keys: Iterable[Key], prefix: str) -> list[Column]:
-    cols = itertools.chain.from_iterable(k.fields() for k in keys)
-    return [c.alias(f"{prefix}{i}") for i, c in enumerate(cols)]
 
+def _literal(values: Sequence[Any], element: T.DataType) -> str:
+    """SQL for an array constant; Spark folds it into one literal when it plans the query."""
+    plain = [
+        v if isinstance(v, (bool, int, float, str)) or v is None else str(v) for v in values
+    ]
+    return _json_literal(json.dumps(plain), element)
 
-def _plain(value: Any) -> Any:
-    if isinstance(value, (bool, int, float, str)) or value is None:
-        return value
-    return str(value)
 
+def _json_literal(text: str, element: T.DataType) -> str:
+    quoted = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"from_json('{quoted}', 'array<{element.simpleString()}>')"
 
-def _literal(values: Sequence[Any], element: T.DataType) -> Column:
-    """An array constant; Spark folds it into one literal when it plans the query."""
-    return F.from_json(F.lit(json.dumps(values)), T.ArrayType(element))
 
+def _beyond(keys: Sequence[Key], cuts: Sequence[str], equal: str) -> str:
+    """SQL: whether a row sorts after a cut on ``keys``, key by key; ``equal`` on a tie."""
+    out = equal
+    for key, cut in reversed(list(zip(keys, cuts))):
+        out = f"({key.after(cut)} OR ({key.sql} <=> {cut} AND {out}))"
+    return out
 
-def _structs(rows: Iterable[tuple], schema: T.StructType) -> list[dict[str, Any]]:
-    return [dict(zip(schema.names, map(_plain, row))) for row in rows]
 
+@dataclass
+class _Cuts:
+    """Cut points of one order, first to last. A row's bucket is the number of cuts it passes.
 
-def _passed(cuts: list[dict[str, Any]], schema: T.StructType, key: Column) -> Column:
-    """How many of the sorted cuts lie at or before ``key``: two short scans, not one long."""
-    if not cuts:
-        return F.lit(0)
-    if len(cuts) <= SHORT_SCAN:
-        return F.size(F.filter(_literal(cuts, schema), lambda c: c <= key))
-    width = math.isqrt(len(cuts) - 1) + 1
-    chunks = [cuts[i : i + width] for i in range(0, len(cuts), width)]
-    heads = _literal([chunk[0] for chunk in chunks], schema)
-    table = _literal(chunks, T.ArrayType(schema))
-    chunk = F.size(F.filter(heads, lambda c: c <= key))
-    inside = F.transform(
-        F.array(chunk),
-        lambda n: F.when(
-            n > 0,
-            (n - 1) * width + F.size(F.filter(F.get(table, n - 1), lambda c: c <= key)),
-        ).otherwise(0),
-    )
-    return inside[0]
+    A cut lies before all rows of a peer value, inside it at a tie-break key, or after it.
+    """
 
+    peers: list[tuple] = field(default_factory=list)
+    kinds: list[int] = field(default_factory=list)
+    ties: list[tuple] = field(default_factory=list)
 
-def _orderable(row: tuple) -> tuple:
-    # the flag before each value already separates nulls, so they only meet nulls
-    return tuple(0 if v is None else v for v in row)
+    def add(self, peer: tuple, kind: int, tie: tuple) -> None:
+        self.peers.append(peer)
+        self.kinds.append(kind)
+        self.ties.append(tie)
 
+    def runs(self) -> list[tuple[list[int], bool]]:
+        """Consecutive buckets in runs: the buckets of one frequent value, or one bucket alone."""
+        out: list[tuple[list[int], bool]] = [([0], False)]
+        for bucket, kind in enumerate(self.kinds, start=1):
+            if kind == _INSIDE:
+                out[-1] = ([*out[-1][0], bucket], True)
+            else:
+                out.append(([bucket], False))
+        return out
 
-@dataclass
-class _Cuts:
-    """Literal cut points of one order."""
 
-    slots: list[tuple] = field(default_factory=list)  # (peer fields..., after)
-    ties: list[list[tuple]] = field(default_factory=lambda: [[]])  # per slot
-    base: list[int] = field(default_factory=lambda: [0])  # first bucket per slot
-    count: int = 1  # buckets
+def _sort_rows(rows: list[tuple], keys: Sequence[Key]) -> None:
+    for i, key in reversed(list(enumerate(keys))):
+        rows.sort(key=lambda r: (r[i] is not None, 0 if r[i] is None else r[i]), reverse=key.desc)
 
 
-def _choose_cuts(sample: list[tuple[tuple, tuple]], buckets: int) -> _Cuts:
-    sample.sort(key=lambda row: (_orderable(row[0]), _orderable(row[1])))
+def _choose_cuts(sample: list[tuple], spec: Spec, buckets: int) -> _Cuts:
+    _sort_rows(sample, spec.keys)
+    width = len(spec.peers)
     picks: dict[tuple, list[tuple]] = {}
     for i in range(1, buckets):
         if not sample:
             break
-        peer, tie = sample[i * len(sample) // buckets]
-        inner = picks.setdefault(peer, [])
-        if not inner or inner[-1] != tie:
-            inner.append(tie)
+        row = sample[i * len(sample) // buckets]
+        inner = picks.setdefault(row[:width], [])
+        if not inner or inner[-1] != row[width:]:
+            inner.append(row[width:])
     cuts = _Cuts()
     for peer, inner in picks.items():
-        heavy = len(inner) > 1
-        cuts.slots.append((*peer, 0))
-        cuts.ties.append(inner if heavy else [])
-        if heavy:
-            cuts.slots.append((*peer, 1))
-            cuts.ties.append([])
-    sizes = [len(inner) + 1 for inner in cuts.ties]
-    cuts.base = list(itertools.accumulate(sizes, initial=0))[:-1]
-    cuts.count = sum(sizes)
+        nothing = (None,) * len(spec.ties)
+        cuts.add(peer, _START, nothing)
+        if len(inner) > 1:
+            for tie in inner:
+                cuts.add(peer, _INSIDE, tie)
+            cuts.add(peer, _AFTER, nothing)
     return cuts
 
 
@@ -162,50 +164,56 @@ class GlobalOrder:
 
     ``arrange`` lays a frame out in the order (one shuffle, already globally
     sorted); the figures below it may then be added with ``withColumns``.
-    ``tile`` and ``position`` need no arranged frame.
+    ``tile_columns`` and ``quantiles`` need no arranged frame.
     """
 
     def __init__(self, frame: DataFrame, spec: Spec, cuts: _Cuts):
         self.spec = spec
         self._cuts = cuts
         self._frame = frame
-        mark = next(_ids)
-        self._slot, self._bucket = f"__slot{mark}", f"__bucket{mark}"
-        peers, ties = _fields(spec.peers, "p"), _fields(spec.ties, "t")
-        schema = frame.select(*peers, *ties).schema
-        self._peer_schema = T.StructType(schema.fields[: len(peers)])
-        self._tie_schema = T.StructType(schema.fields[len(peers) :])
+        self._bucket = f"__bucket{next(_ids)}"
+        self._types = [frame.schema[key.name].dataType for key in spec.keys]
 
     # -- layout
 
     def _with_bucket(self, frame: DataFrame) -> DataFrame:
-        slot_schema = T.StructType([*self._peer_schema.fields, T.StructField("after", T.IntegerType())])
-        peer = F.struct(*_fields(self.spec.peers, "p"), F.lit(0).alias("after"))
-        slot = _passed(_structs(self._cuts.slots, slot_schema), slot_schema, peer)
-        frame = frame.withColumn(self._slot, slot)
-        bucket = F.col(self._slot)
-        if any(self._cuts.ties):
-            bucket = self._at(self._cuts.base, T.IntegerType(), bucket)
-            inner = _literal(
-                [_structs(rows, self._tie_schema) for rows in self._cuts.ties],
-                T.ArrayType(self._tie_schema),
-            )
-            tie = F.struct(*_fields(self.spec.ties, "t"))
-            bucket = bucket + F.size(F.filter(F.get(inner, F.col(self._slot)), lambda c: c <= tie))
-        return frame.withColumn(self._bucket, bucket)
+        """Binary search over the cuts: each halving step is one generated projection."""
+        cuts, spec = self._cuts, self.spec
+        if not cuts.kinds:
+            return frame.withColumn(self._bucket, F.lit(0))
+        columns = [
+            *zip(*cuts.peers),
+            *(zip(*cuts.ties) if _INSIDE in cuts.kinds else ()),
+        ]
+        tables = [_literal(values, type_) for values, type_ in zip(columns, self._types)]
+        kinds = _literal(cuts.kinds, T.IntegerType())
+        width = len(spec.peers)
+        steps = [1 << i for i in reversed(range(len(cuts.kinds).bit_length()))]
+        names = [f"{self._bucket}_{step}" for step in steps[:-1]] + [self._bucket]
+        search, at = [], "0"
+        for step, name in zip(steps, names):
+            cut = [f"get({table}, {at} + {step - 1})" for table in tables]
+            kind = f"get({kinds}, {at} + {step - 1})"
+            equal = f"{kind} = {_START}"
+            if len(cut) > width:
+                equal = f"({equal} OR ({kind} = {_INSIDE} AND {_beyond(spec.ties, cut[width:], 'true')}))"
+            # beyond the last cut every ``get`` is null; kind tells that from a null key
+            passed = f"{kind} IS NOT NULL AND {_beyond(spec.peers, cut[:width], equal)}"
+            search.append(f"{at} + IF({passed}, {step}, 0) AS {name}")
+            at = name
+        return frame.selectExpr("*", *search).drop(*names[:-1])
 
     def arrange(self, frame: DataFrame) -> DataFrame:
         """``frame`` (the measured rows, plus any columns) in this order, one bucket per partition."""
-        keys = [k.sort() for k in (*self.spec.peers, *self.spec.ties)]
         return (
             self._with_bucket(frame)
-            .repartitionById(self._cuts.count, F.col(self._bucket))
-            .sortWithinPartitions(F.col(self._bucket), *keys)
+            .repartitionById(len(self._cuts.kinds) + 1, F.col(self._bucket))
+            .sortWithinPartitions(F.col(self._bucket), *(k.sort() for k in self.spec.keys))
         )
 
     @staticmethod
     def _at(values: Sequence[Any], element: T.DataType, index: Column) -> Column:
-        return F.get(_literal(values, element), index)
+        return F.get(F.expr(_literal(values, element)), index)
 
     # -- statistics
 
@@ -228,7 +236,7 @@ class GlobalOrder:
         )
         group = F.to_json(F.struct(*spec.within)) if spec.within else F.lit("{}")
         figures = F.struct(group.alias("group"), "rows", "distinct", "sums")
-        order = F.struct(*_fields([Key(n) for n in spec.within], "g")) if spec.within else F.lit(0)
+        order = F.struct(*spec.within) if spec.within else F.lit(0)
         return groups.groupBy(F.col(self._bucket).alias("bucket")).agg(
             F.sum("rows").alias("rows"),
             F.min_by(figures, order).alias("first"),
@@ -247,10 +255,10 @@ class GlobalOrder:
         self._sums_before: list[list[Decimal]] = []
         self._first_group: list[str] = []
         group, carry = None, zero
-        for slot, inner in enumerate(self._cuts.ties):
+        for buckets, frequent in self._cuts.runs():
             start = None
-            heavy_rows = 0
-            for bucket in range(self._cuts.base[slot], self._cuts.base[slot] + len(inner) + 1):
+            run_rows = 0
+            for bucket in buckets:
                 row = by_bucket.get(bucket)
                 before = carry if row and row["first"]["group"] == group else zero
                 if start is None and row:
@@ -263,19 +271,19 @@ class GlobalOrder:
                 self._first_group.append(row["first"]["group"] if row else "{}")
                 if not row:
                     continue
-                self.rows += row["rows"]
-                heavy_rows += row["rows"]
+                run_rows += row["rows"]
                 first, last = row["first"], row["last"]
                 base = before if first["group"] == last["group"] else zero
                 # a value cut into several buckets is still one distinct value
-                seen = start[1] + 1 if inner else base[1] + last["distinct"]
+                seen = start[1] + 1 if frequent else base[1] + last["distinct"]
                 carry = (
                     base[0] + last["rows"],
                     seen,
                     [a + b for a, b in zip(base[2], last["sums"])],
                 )
                 group = last["group"]
-            self._peer_rows.extend([heavy_rows if inner else None] * (len(inner) + 1))
+            self.rows += run_rows
+            self._peer_rows.extend([run_rows if frequent else None] * len(buckets))
 
     # -- figures on an arranged frame
 
@@ -284,7 +292,7 @@ class GlobalOrder:
         if not self.spec.within:
             return offset
         schema = self._frame.select(*self.spec.within).schema
-        firsts = F.from_json(F.lit(f"[{','.join(self._first_group)}]"), T.ArrayType(schema))
+        firsts = F.expr(_json_literal(f"[{','.join(self._first_group)}]", schema))
         same = F.struct(*self.spec.within).eqNullSafe(F.get(firsts, F.col(self._bucket)))
         return F.when(same, offset).otherwise(F.lit(0))
 
@@ -333,7 +341,7 @@ class GlobalOrder:
         self._whole("ntile")
         if reverse:
             number = F.lit(self.rows + 1) - number
-        starts = _literal([1, *self._tile_starts(tiles)], T.LongType())
+        starts = F.expr(_literal([1, *self._tile_starts(tiles)], T.LongType()))
         return F.size(F.filter(starts, lambda s: s <= number)).cast("bigint")
 
     def _whole(self, what: str) -> None:
@@ -342,6 +350,22 @@ class GlobalOrder:
 
     # -- single rows of the order
 
+    def _holds(self, bucket: int) -> str:
+        """SQL: whether a bucket holds the row, from its two cuts alone: a filter, not a search."""
+        cuts, spec = self._cuts, self.spec
+
+        def passed(i: int) -> str:
+            row = (*cuts.peers[i], *cuts.ties[i])
+            cut = [f"get({_literal([v], t)}, 0)" for v, t in zip(row, self._types)]
+            equal = "true" if cuts.kinds[i] == _START else "false"
+            if cuts.kinds[i] == _INSIDE:
+                equal = _beyond(spec.ties, cut[len(spec.peers) :], "true")
+            return _beyond(spec.peers, cut[: len(spec.peers)], equal)
+
+        low = passed(bucket - 1) if bucket else "true"
+        high = passed(bucket) if bucket < len(cuts.kinds) else "false"
+        return f"{low} AND NOT {high}"
+
     def _located(self, positions: Iterable[int], label: int) -> DataFrame | None:
         """The rows at 1-based positions; only the buckets that hold them are shuffled."""
         ends = list(itertools.accumulate(self._counts))
@@ -351,18 +375,17 @@ class GlobalOrder:
             wanted.append((bucket, pos - (ends[bucket] - self._counts[bucket]), pos))
         if not wanted:
             return None
-        frame = self._with_bucket(self._frame).filter(F.col(self._bucket).isin([w[0] for w in wanted]))
-        frame = frame.withColumn("rn", F.row_number().over(self._window(total=True)))
-        pos = F.coalesce(
-            *(
-                F.when((F.col(self._bucket) == b) & (F.col("rn") == rn), F.lit(p))
-                for b, rn, p in wanted
-            )
+        inside = " ".join(
+            f"WHEN {self._holds(b)} THEN {b}" for b in sorted({w[0] for w in wanted})
         )
-        keys = F.struct(*_fields(self.spec.peers, "p"), *_fields(self.spec.ties, "t"))
+        hit = " ".join(f"WHEN {self._bucket} = {b} AND rn = {rn} THEN {p}" for b, rn, p in wanted)
+        frame = self._frame.withColumn(self._bucket, F.expr(f"CASE {inside} END"))
+        frame = frame.filter(F.col(self._bucket).isNotNull())
+        frame = frame.withColumn("rn", F.row_number().over(self._window(total=True)))
+        keys = F.struct(*(F.col(k.name).alias(f"k{i}") for i, k in enumerate(self.spec.keys)))
         value = F.col(self.spec.by.name).cast("double")
         return (
-            frame.withColumn("position", pos.cast("bigint"))
+            frame.withColumn("position", F.expr(f"CASE {hit} END").cast("bigint"))
             .filter(F.col("position").isNotNull())
             .select(
                 F.lit(label).alias("label"),
@@ -378,11 +401,16 @@ class GlobalOrder:
         starts = itertools.accumulate(sizes, initial=1)
         return [s for s in list(starts)[1:tiles] if s <= self.rows]
 
-    def _tile_column(self, keys: list[str]) -> Column:
-        schema = T.StructType([*self._peer_schema.fields, *self._tie_schema.fields])
-        cuts = F.from_json(F.lit(f"[{','.join(keys)}]"), T.ArrayType(schema))
-        key = F.struct(*_fields(self.spec.peers, "p"), *_fields(self.spec.ties, "t"))
-        return (F.size(F.filter(cuts, lambda c: c <= key)) + 1).cast("bigint")
+    def _tile_column(self, cuts: list[str]) -> Column:
+        schema = T.StructType(
+            [T.StructField(f"k{i}", type_) for i, type_ in enumerate(self._types)]
+        )
+        table = _json_literal(f"[{','.join(cuts)}]", schema)
+        tile = F.lit(1)
+        for i in range(len(cuts)):
+            cut = [f"get({table}, {i}).{name}" for name in schema.names]
+            tile = tile + F.expr(_beyond(self.spec.keys, cut, "true")).cast("int")
+        return tile.cast("bigint")
 
 
 def measure(frame: DataFrame, *specs: Spec, buckets: int | None = None) -> list[GlobalOrder]:
@@ -392,19 +420,13 @@ def measure(frame: DataFrame, *specs: Spec, buckets: int | None = None) -> list[
     n = buckets or min(
         MAX_BUCKETS, max(spark.sparkContext.defaultParallelism, rows // ROWS_PER_BUCKET)
     )
-    columns: list[Column] = []
-    spans: list[tuple[int, int, int]] = []
-    for i, spec in enumerate(specs):
-        peers, ties = _fields(spec.peers, f"p{i}_"), _fields(spec.ties, f"t{i}_")
-        at = len(columns)
-        spans.append((at, at + len(peers), at + len(peers) + len(ties)))
-        columns += [*peers, *ties]
+    names = list(dict.fromkeys(key.name for spec in specs for key in spec.keys))
     fraction = min(1.0, SAMPLE_PER_BUCKET * n / max(rows, 1))
-    sample = [tuple(r) for r in frame.select(*columns).sample(fraction, seed=11).collect()]
-    orders = [
-        GlobalOrder(frame, spec, _choose_cuts([(r[a:b], r[b:c]) for r in sample], n))
-        for spec, (a, b, c) in zip(specs, spans)
-    ]
+    sample = frame.select(*names).sample(fraction, seed=11).collect()
+    orders = []
+    for spec in specs:
+        keys = [tuple(row[key.name] for key in spec.keys) for row in sample]
+        orders.append(GlobalOrder(frame, spec, _choose_cuts(keys, spec, n)))
     stats = [order._statistics(i) for i, order in enumerate(orders)]
     union = stats[0]
     for other in stats[1:]:

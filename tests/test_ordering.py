@@ -130,7 +130,6 @@ def test_frequent_value_is_spread(spark, case):
 
 @pytest.mark.parametrize("case", ["plain", "hot"])
 def test_many_buckets(spark, case):
-    """Enough cuts for the two-step lookup."""
     frame = spark.createDataFrame(CASES[case], SCHEMA)
     (order,) = measure(frame, Spec(Key("v"), (Key("id"),)), buckets=150)
     got = order.arrange(frame).withColumn("rn", order.row_number()).select("id", "rn").collect()
