@@ -383,7 +383,9 @@ class GlobalOrder:
         frame = frame.filter(F.col(self._bucket).isNotNull())
         frame = frame.withColumn("rn", F.row_number().over(self._window(total=True)))
         keys = F.struct(*(F.col(k.name).alias(f"k{i}") for i, k in enumerate(self.spec.keys)))
-        value = F.col(self.spec.by.name).cast("double")
+        by = F.col(self.spec.by.name)
+        numeric = isinstance(self._types[len(self.spec.within)], T.NumericType)
+        value = by.cast("double") if numeric else F.lit(None).cast("double")
         return (
             frame.withColumn("position", F.expr(f"CASE {hit} END").cast("bigint"))
             .filter(F.col("position").isNotNull())

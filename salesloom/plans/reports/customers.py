@@ -58,40 +58,66 @@ def at_risk_rule(variant: str) -> Column:
     return rules[variant]
 
 
-def rfm_segments(
-    retail: Retail,
+# Highest score total of a champion, a loyal and a potential customer
+RFM_CUTS = (5, 8, 11)
+
+
+def rfm(
+    base: DataFrame,
+    recency: Key,
+    frequency: Key,
+    monetary: Key,
+    customer: str,
     tiles: int = 5,
-    champion: int = 5,
-    loyal: int = 8,
-    potential: int = 11,
+    cuts: tuple[int, int, int] = RFM_CUTS,
     at_risk: str = "reference",
 ) -> DataFrame:
-    """Recency, frequency and monetary scores (1 is best) and the segment they give."""
-    base = retail.customer_base().filter("Known")
-    latest = total(retail.orders(), F.max("OrderDate"))
-    tie = (Key("CustomerID"),)
-    # days since the last order ascending is the last order descending
-    recency = Key("LastOrderDay", desc=True)
-    base = base.withColumn("LastOrderDay", F.unix_date("LastOrder"))
-    orders = measure(
-        base,
-        Spec(recency, tie),
-        Spec(Key("Orders", desc=True), tie),
-        Spec(Key("Revenue", desc=True), tie),
-    )
+    """``base`` (a written table) with R, F and M scores, their total and the segment.
+
+    Each key sorts the best customers first; score 1 is the best. The three scores
+    are cuts in three orders, so no row moves to get them.
+    """
+    tie = (Key(customer),)
+    orders = measure(base, *(Spec(key, tie) for key in (recency, frequency, monetary)))
     r, f, m = tile_columns(orders, tiles)
-    scored = base.withColumns({"R_Score": r, "F_Score": f, "M_Score": m}).withColumn(
-        "RFM_Total", F.col("R_Score") + F.col("F_Score") + F.col("M_Score")
-    )
+    score = F.col("RFM_Total")
+    champion, loyal, potential = cuts
     segment = first_match(
         [
-            (F.col("RFM_Total") <= champion, "Champion"),
-            (F.col("RFM_Total") <= loyal, "Loyal"),
+            (score <= champion, "Champion"),
+            (score <= loyal, "Loyal"),
             (at_risk_rule(at_risk), "At Risk"),
-            (F.col("RFM_Total") <= potential, "Potential"),
+            (score <= potential, "Potential"),
         ],
         "Needs Attention",
     )
+    return (
+        base.withColumns({"R_Score": r, "F_Score": f, "M_Score": m})
+        .withColumn("RFM_Total", F.col("R_Score") + F.col("F_Score") + F.col("M_Score"))
+        .withColumn("CustomerSegment", segment)
+    )
+
+
+def rfm_segments(
+    retail: Retail,
+    tiles: int = 5,
+    cuts: tuple[int, int, int] = RFM_CUTS,
+    at_risk: str = "reference",
+) -> DataFrame:
+    """Recency, frequency and monetary scores per customer and the segment they give."""
+    base = retail.customer_base().filter("Known")
+    latest = total(retail.orders(), F.max("OrderDate"))
+    # days since the last order ascending is the last order descending
+    scored = rfm(
+        base,
+        Key("LastOrder", desc=True),
+        Key("Orders", desc=True),
+        Key("Revenue", desc=True),
+        "CustomerID",
+        tiles,
+        cuts,
+        at_risk,
+    )
     return scored.select(
         "CustomerID",
         "CompanyName",
@@ -103,7 +129,7 @@ def rfm_segments(
         "F_Score",
         "M_Score",
         "RFM_Total",
-        segment.alias("CustomerSegment"),
+        "CustomerSegment",
     ).orderBy("RFM_Total", "CustomerID")
 
 
