@@ -35,7 +35,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# a bucket holds 200,000 rows; fewer, down to 10,000, if that keeps all cores busy
 ROWS_PER_BUCKET = 200_000
+SMALL_BUCKET = 10_000
+MIN_BUCKETS = 8
 MAX_BUCKETS = 4096
 SAMPLE_PER_BUCKET = 64
 
@@ -185,12 +188,18 @@ class GlobalOrder:
             *zip(*cuts.peers),
             *(zip(*cuts.ties) if _INSIDE in cuts.kinds else ()),
         ]
-        tables = [_literal(values, type_) for values, type_ in zip(columns, self._types)]
-        kinds = _literal(cuts.kinds, T.IntegerType())
+        # each table is named once; the planner hands the one constant to every step
+        tables = {
+            f"{self._bucket}_cut{i}": _literal(values, type_)
+            for i, (values, type_) in enumerate(zip(columns, self._types))
+        }
+        kinds = f"{self._bucket}_kind"
+        search = [f"{table} AS {name}" for name, table in tables.items()]
+        search.append(f"{_literal(cuts.kinds, T.IntegerType())} AS {kinds}")
         width = len(spec.peers)
         steps = [1 << i for i in reversed(range(len(cuts.kinds).bit_length()))]
         names = [f"{self._bucket}_{step}" for step in steps[:-1]] + [self._bucket]
-        search, at = [], "0"
+        at = "0"
         for step, name in zip(steps, names):
             cut = [f"get({table}, {at} + {step - 1})" for table in tables]
             kind = f"get({kinds}, {at} + {step - 1})"
@@ -201,7 +210,7 @@ class GlobalOrder:
             passed = f"{kind} IS NOT NULL AND {_beyond(spec.peers, cut[:width], equal)}"
             search.append(f"{at} + IF({passed}, {step}, 0) AS {name}")
             at = name
-        return frame.selectExpr("*", *search).drop(*names[:-1])
+        return frame.selectExpr("*", *search).drop(*tables, kinds, *names[:-1])
 
     def arrange(self, frame: DataFrame) -> DataFrame:
         """``frame`` (the measured rows, plus any columns) in this order, one bucket per partition."""
@@ -417,11 +426,10 @@ class GlobalOrder:
 
 def measure(frame: DataFrame, *specs: Spec, buckets: int | None = None) -> list[GlobalOrder]:
     """Cut points and bucket offsets for every order, over one written frame."""
-    spark = frame.sparkSession
     rows = frame.count()
-    n = buckets or min(
-        MAX_BUCKETS, max(spark.sparkContext.defaultParallelism, rows // ROWS_PER_BUCKET)
-    )
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    spread = min(cores, max(MIN_BUCKETS, rows // SMALL_BUCKET))
+    n = buckets or min(MAX_BUCKETS, max(spread, rows // ROWS_PER_BUCKET))
     names = list(dict.fromkeys(key.name for spec in specs for key in spec.keys))
     fraction = min(1.0, SAMPLE_PER_BUCKET * n / max(rows, 1))
     sample = frame.select(*names).sample(fraction, seed=11).collect()
