@@ -23,4 +23,4 @@ def earliest_key(packed: Column) -> Column:
 
 def earliest_day(packed: Column) -> Column:
     day = (packed - F.pmod(packed, F.lit(KEY_SPAN))) / F.lit(KEY_SPAN)
-    return F.date_from_unix_date(day.cast("int"))
+    return F.date_from_unix_date(F.rint(day).cast("int"))

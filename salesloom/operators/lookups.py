@@ -11,8 +11,8 @@ BROADCAST_ROWS = 100_000
 def broadcast_up_to(frame: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``frame`` if its row bound is small; otherwise leave the join to Spark.
 
-    ``rows`` is an upper bound known without running ``frame``: the row count of
-    the dimension it is grouped by.
+    ``rows`` is a bound that is cheap to know: the row count of the dimension
+    ``frame`` is grouped by, or its own count if it aggregates a written table.
     """
     return F.broadcast(frame) if rows <= limit else frame
 

@@ -60,6 +60,12 @@ def at_risk_rule(variant: str) -> Column:
 
 # Highest score total of a champion, a loyal and a potential customer
 RFM_CUTS = (5, 8, 11)
+# and the segments
+CHAMPION = "Champion"
+LOYAL = "Loyal"
+AT_RISK = "At Risk"
+POTENTIAL = "Potential"
+OTHERS = "Needs Attention"
 
 
 def rfm(
@@ -84,12 +90,12 @@ def rfm(
     champion, loyal, potential = cuts
     segment = first_match(
         [
-            (score <= champion, "Champion"),
-            (score <= loyal, "Loyal"),
-            (at_risk_rule(at_risk), "At Risk"),
-            (score <= potential, "Potential"),
+            (score <= champion, CHAMPION),
+            (score <= loyal, LOYAL),
+            (at_risk_rule(at_risk), AT_RISK),
+            (score <= potential, POTENTIAL),
         ],
-        "Needs Attention",
+        OTHERS,
     )
     return (
         base.withColumns({"R_Score": r, "F_Score": f, "M_Score": m})

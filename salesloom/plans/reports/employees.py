@@ -14,6 +14,16 @@ from salesloom.operators.ordering import Key, Spec, measure, quantiles
 from salesloom.plans.retail import Retail
 
 
+# The performance tiers and discount flags
+TIER_TOP = "Top Performer"
+TIER_HIGH = "High Performer"
+TIER_LOW = "Needs Coaching"
+TIER_OTHER = "Average"
+FLAG_REVIEW = "REVIEW: High Discount + Low Revenue"
+FLAG_MONITOR = "Monitor: High Discount Usage"
+FLAG_NONE = "OK"
+
+
 def employee_figures(retail: Retail) -> DataFrame:
     """One row per employee who sold."""
     return retail.employee_totals().join(retail.employees(), "EmployeeID").select(
@@ -63,18 +73,18 @@ def agent_scorecard(
         "EfficiencyRank",
         first_match(
             [
-                (earned == F.lit(top), "Top Performer"),
-                (earned >= F.lit(high), "High Performer"),
-                (earned <= F.lit(low), "Needs Coaching"),
+                (earned == F.lit(top), TIER_TOP),
+                (earned >= F.lit(high), TIER_HIGH),
+                (earned <= F.lit(low), TIER_LOW),
             ],
-            "Average",
+            TIER_OTHER,
         ).alias("PerformanceTier"),
         first_match(
             [
-                (generous & (earned < mean), "REVIEW: High Discount + Low Revenue"),
-                (generous, "Monitor: High Discount Usage"),
+                (generous & (earned < mean), FLAG_REVIEW),
+                (generous, FLAG_MONITOR),
             ],
-            "OK",
+            FLAG_NONE,
         ).alias("DiscountFlag"),
     )
 

@@ -73,6 +73,7 @@ def kpi_snapshot(retail: Retail) -> DataFrame:
         {"lost": F.col("gross") - F.col("net"), "unshipped": F.col("orders") - F.col("shipped")}
     )
     c = F.col
+    # The names of the figures and their order
     figures = [
         ("Net Revenue (after discounts)", _dollars(c("net")), dec_round(c("net"), 0)),
         ("Gross Revenue (before discounts)", _dollars(c("gross")), dec_round(c("gross"), 0)),

@@ -17,6 +17,10 @@ from salesloom.plans.retail import Retail
 # Inclusive upper edges of the order sizes in units
 ORDER_SIZES = [(20, "Small  (≤20 units)"), (50, "Medium (21-50 units)")]
 ORDER_LARGE = "Large  (>50 units)"
+# The delivery outcomes
+NOT_SHIPPED = "Not Yet Shipped"
+ON_TIME = "On Time"
+LATE = "Late"
 
 
 def shipped() -> Column:
@@ -37,7 +41,7 @@ def days_to_ship() -> Column:
 
 def delivery_status() -> Column:
     """A shipped order without a required date counts as late."""
-    return first_match([(~shipped(), "Not Yet Shipped"), (on_time(), "On Time")], "Late")
+    return first_match([(~shipped(), NOT_SHIPPED), (on_time(), ON_TIME)], LATE)
 
 
 def carrier_sla(retail: Retail) -> DataFrame:

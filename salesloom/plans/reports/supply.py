@@ -12,6 +12,11 @@ from salesloom.operators.materialize import materialize
 from salesloom.operators.ordering import Key, Spec, measure
 from salesloom.plans.retail import Retail
 
+# The stock classes
+STOCK_OUT = "OUT OF STOCK"
+STOCK_CRITICAL = "CRITICAL — No Reorder Placed"
+STOCK_BELOW = "BELOW REORDER — Order Pending"
+STOCK_LOW = "LOW — Monitor Closely"
 STOCK_OK = "OK"
 
 
@@ -20,10 +25,10 @@ def stock_status(low_factor: float = 1.5) -> Column:
     below = stock < level
     return first_match(
         [
-            (stock == 0, "OUT OF STOCK"),
-            (below & (F.col("UnitsOnOrder") == 0), "CRITICAL — No Reorder Placed"),
-            (below, "BELOW REORDER — Order Pending"),
-            (stock < level * F.lit(low_factor), "LOW — Monitor Closely"),
+            (stock == 0, STOCK_OUT),
+            (below & (F.col("UnitsOnOrder") == 0), STOCK_CRITICAL),
+            (below, STOCK_BELOW),
+            (stock < level * F.lit(low_factor), STOCK_LOW),
         ],
         STOCK_OK,
     )
@@ -91,7 +96,7 @@ def supplier_portfolio(retail: Retail) -> DataFrame:
         Spec(Key("TotalProducts", desc=True), (Key("ActiveProducts", desc=True), Key("SupplierID"))),
     )
     countries = base.groupBy("Country").agg(F.sum("TotalUnitsInStock").alias("TotalStockByCountry"))
-    ranked = base.join(broadcast_up_to(countries, retail.country_count()), "Country")
+    ranked = base.join(broadcast_up_to(countries, countries.count()), "Country")
     ranked = by_stock.arrange(ranked).withColumn("StockRank", by_stock.rank())
     return (
         by_size.arrange(ranked)

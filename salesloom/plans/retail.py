@@ -52,10 +52,6 @@ class Retail(ABC):
     @abstractmethod
     def suppliers(self) -> DataFrame: ...
 
-    @abstractmethod
-    def country_count(self) -> int:
-        """Upper bound on the number of countries, known without reading the facts."""
-
     @abstractmethod
     def employees(self) -> DataFrame: ...
 
@@ -230,9 +226,6 @@ class CsvRetail(Retail):
     def suppliers(self) -> DataFrame:
         return self.tables["suppliers"].select("SupplierID", "CompanyName", "Country", "ContactName")
 
-    def country_count(self) -> int:
-        return self.tables["customers"].count() + self.tables["suppliers"].count()
-
     def employees(self) -> DataFrame:
         return self.tables["employees"].select(
             "EmployeeID", F.concat_ws(" ", "FirstName", "LastName").alias("EmployeeName"), "Title"
@@ -405,9 +398,6 @@ class StarRetail(Retail):
             )
         )
 
-    def country_count(self) -> int:
-        return self.tables["nation"].count()
-
     def employees(self) -> DataFrame:
         return self.suppliers().select(
             F.col("SupplierID").alias("EmployeeID"),
