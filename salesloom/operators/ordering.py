@@ -35,11 +35,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from salesloom.operators.materialize import materialize
+
 # a bucket holds 200,000 rows; fewer, down to 10,000, if that keeps all cores busy
 ROWS_PER_BUCKET = 200_000
 SMALL_BUCKET = 10_000
 MIN_BUCKETS = 8
 MAX_BUCKETS = 4096
+# beyond this many, tasks after the shuffle would each unpack a plan heavy with cuts
+CUTS_IN_PLAN = 512
 SAMPLE_PER_BUCKET = 64
 
 _SUM_TYPE = "decimal(38,6)"
@@ -213,12 +217,16 @@ class GlobalOrder:
         return frame.selectExpr("*", *search).drop(*tables, kinds, *names[:-1])
 
     def arrange(self, frame: DataFrame) -> DataFrame:
-        """``frame`` (the measured rows, plus any columns) in this order, one bucket per partition."""
-        return (
-            self._with_bucket(frame)
-            .repartitionById(len(self._cuts.kinds) + 1, F.col(self._bucket))
-            .sortWithinPartitions(F.col(self._bucket), *(k.sort() for k in self.spec.keys))
-        )
+        """``frame`` (the measured rows, plus any columns) in this order, one bucket per partition.
+
+        With very many buckets the rows are written with their bucket first.
+        """
+        bucketed = self._with_bucket(frame)
+        if len(self._cuts.kinds) > CUTS_IN_PLAN:
+            bucketed = materialize(bucketed)
+        return bucketed.repartitionById(
+            len(self._cuts.kinds) + 1, F.col(self._bucket)
+        ).sortWithinPartitions(F.col(self._bucket), *(k.sort() for k in self.spec.keys))
 
     @staticmethod
     def _at(values: Sequence[Any], element: T.DataType, index: Column) -> Column:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from salesloom.operators import ordering
 from salesloom.operators.ordering import Key, Spec, measure, quantiles, tile_columns
 
 SCHEMA = "id bigint, name string, g string, v decimal(18,2)"
@@ -158,3 +159,20 @@ def test_quantiles(spark, case, desc):
     want = frame.agg(F.percentile("v", [0.0, 0.25, 0.5, 0.9, 1.0]).alias("q")).first()["q"]
     got = quantiles(order, [0.0, 0.25, 0.5, 0.9, 1.0])
     assert got == (pytest.approx(want) if want else [None] * 5)
+
+
+@pytest.mark.parametrize("case", ["nulls", "hot"])
+def test_very_many_buckets_are_written_first(spark, case, monkeypatch):
+    """The tasks after the shuffle then carry no cuts."""
+    monkeypatch.setattr(ordering, "CUTS_IN_PLAN", 3)
+    frame = spark.createDataFrame(CASES[case], SCHEMA)
+    (order,) = measure(frame, Spec(Key("v", True), (Key("id"),)), buckets=20)
+    arranged = order.arrange(frame).withColumns({"rank": order.rank(), "rn": order.row_number()})
+    plan = arranged._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "from_json" not in plan
+    got = arranged.select("id", "rank", "rn").collect()
+    by = F.col("v").desc()
+    want = frame.select(
+        "id", F.rank().over(W.orderBy(by)).alias("rank"), F.row_number().over(W.orderBy(by, "id")).alias("rn")
+    ).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
