@@ -5,11 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesloom.llm import quality, slots, url_filter, warc
-from salesloom.operators.materialize import scratch_dir
+from salesloom.llm import bpe, html_text, packing, quality, slots, url_filter, warc
+from salesloom.operators.materialize import materialize, scratch_dir
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,6 +30,34 @@ def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(_table(spark, folder, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
 
+def op3_bpe(
+    spark: SparkSession, folder: str, ranks_path: str = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+) -> DataFrame:
+    codec = bpe.Codec(bpe.read_ranks(ranks_path), public_tokenizers.PATTERN)
+    decoded = bpe.decode(bpe.encode(_table(spark, folder, "documents"), codec), codec)
+    return decoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(_table(spark, folder, "pages"))
+
+
+def op7_packing(
+    spark: SparkSession, folder: str, ranks_path: str = public_tokenizers.path("byte_bpe_50k.tiktoken")
+) -> DataFrame:
+    """The ids are those of ``byte_bpe_50k.json``: the rank file holds the same vocabulary."""
+    cut = packing.pieces(_table(spark, folder, "documents"), ranks_path, public_tokenizers.PATTERN)
+    items = materialize(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return packing.packed(items).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
 def op8_slots(spark: SparkSession, folder: str) -> DataFrame:
     return slots.shard(_table(spark, folder, "documents"), shards=24)
 
@@ -70,6 +99,9 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op3_bpe": op3_bpe,
+    "op4_html_text": op4_html_text,
+    "op7_packing": op7_packing,
     "op8_slots": op8_slots,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
