@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesloom.llm.arrow import Collector, small_slices
+from salesloom.llm.arrow import Collector, map_arrow, small_slices
 
 _MEMO_ENTRIES = 300_000
 _MASK = (1 << 64) - 1
@@ -234,7 +234,7 @@ def encode(docs: DataFrame, codec: Codec) -> DataFrame:
                     yield out.take()
         yield out.take()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, codec: Codec) -> DataFrame:
@@ -251,4 +251,4 @@ def decode(encoded: DataFrame, codec: Codec) -> DataFrame:
                     yield out.take()
         yield out.take()
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, ids binary, decoded binary")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesloom.llm.arrow import Collector, small_slices
+from salesloom.llm.arrow import Collector, map_arrow, small_slices
 
 # Element names and their roles, as HTML defines them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -499,4 +499,4 @@ def extract(pages: DataFrame) -> DataFrame:
                     yield out.take()
         yield out.take()
 
-    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, "page_id long, text string")
+    return map_arrow(pages.select(F.col("page_id").cast("long"), "html"), run, "page_id long, text string")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from salesloom.llm.arrow import Collector, small_slices
+from salesloom.llm.arrow import Collector, map_arrow, small_slices
 from salesloom.llm.bpe import read_ranks
 from salesloom.operators.materialize import materialize
 
@@ -140,8 +140,10 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPAC
                     start, end, nth = end, end + capacity, nth + 1
         yield out.take()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, piece int, start long, length long, ids binary"
+    return map_arrow(
+        docs.select(F.col("doc_id").cast("long"), "text"),
+        run,
+        "doc_id long, piece int, start long, length long, ids binary",
     )
 
 
@@ -183,7 +185,7 @@ def packed(items: DataFrame, keys: tuple[str, ...] = ("doc_id", "piece"), capaci
             names = [*batch.schema.names[:-1], "sequence_id", "offset"]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], sequence, offset], names=names)
 
-    return numbered.mapInArrow(place, out_schema)
+    return map_arrow(numbered, place, out_schema)
 
 
 def sequences(placed: DataFrame) -> DataFrame:
