@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesloom.llm import bpe, html_text, packing, quality, slots, url_filter, warc
+from salesloom.llm import bpe, html_text, minhash, packing, quality, slots, url_filter, warc
 from salesloom.operators.materialize import materialize, scratch_dir
 
 
@@ -47,6 +47,10 @@ def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(_table(spark, folder, "pages"))
 
 
+def op5_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op7_packing(
     spark: SparkSession, folder: str, ranks_path: str = public_tokenizers.path("byte_bpe_50k.tiktoken")
 ) -> DataFrame:
@@ -101,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_bpe": op3_bpe,
     "op4_html_text": op4_html_text,
+    "op5_minhash": op5_minhash,
     "op7_packing": op7_packing,
     "op8_slots": op8_slots,
     "op9_quality": op9_quality,
