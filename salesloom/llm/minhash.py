@@ -9,12 +9,15 @@
    takes one sample per bin, an empty bin borrowing from another (bin-wise consistent weighted sampling). Between the
    two bounds both are made, so that neighbours in size always have a kind in common.
 3. Signatures are cut into bands. Texts that share a band form a bucket; pairs are never listed. In each round every
-   text meets one centre of its buckets that is not yet in its class, and the pair's weighted
-   Jaccard similarity is worked out from both whole texts. Links merge classes; the next round takes other centres.
+   text meets the two centres of each of its buckets, unless they are in its class already. Eight bits of each sample tell
+   how alike the two can be (a pair at the limit is let through unless off by several standard deviations); of those that
+   remain the likeliest per class is worked out as weighted Jaccard similarity of both whole texts. Links merge classes,
+   and the next round takes other centres, until a round finds no link.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesloom.llm.arrow import Collector, map_arrow, small_slices
+from salesloom.llm.tables import Appended
 from salesloom.operators.lookups import broadcast_up_to
 from salesloom.operators.materialize import materialize
 
@@ -37,7 +41,7 @@ SKETCH_ROWS, SKETCH_BITS = 4, 18
 IDF_SPAN = 0.5
 _BLOCKS = 16  # pieces that sketches are summed in
 BROADCAST_KEYS = 500_000
-QUIET_ROUNDS = 2  # rounds without a link that end the search
+LEAST_AGREEMENT = 0.5  # of the samples, below which a pair is not looked at: 0.8 less four deviations or more
 
 _U = np.uint64
 _HASH_BITS = 56
@@ -259,22 +263,28 @@ def _bands(slots: np.ndarray, salt: int) -> np.ndarray:
     return _mix((parts * seeds).sum(axis=2, dtype=_U) + _seeds(BANDS, salt + 1)).view(np.int64)
 
 
-def signature_bands(found: Shingles, weights: np.ndarray) -> list[list[int]]:
-    """Band hashes of each document: BANDS of a kind, both kinds between the bounds, none without words."""
-    out: list[list[int]] = [[] for _ in range(found.rows)]
+def signed(found: Shingles, weights: np.ndarray) -> tuple[list[list[int]], list[list[bytes | None]]]:
+    """Of each document the band hashes (BANDS of a kind, both kinds between the bounds, none without words), and per kind the
+    low byte of every sample (null for a kind it lacks)."""
+    bands: list[list[int]] = [[] for _ in range(found.rows)]
+    marks: list[list[bytes | None]] = []
     n = np.bincount(found.row, minlength=found.rows)
     log_weight = np.log(weights)
     kinds = ((_dense, (n > 0) & (n <= DENSE_UP_TO), 77), (_binned, n >= BINNED_FROM, 88))
     for make, chosen, salt in kinds:
+        mark: list[bytes | None] = [None] * found.rows
+        marks.append(mark)
         if not chosen.any():
             continue
         keep = chosen[found.row]
         part = Shingles(found.rows, found.row[keep], found.hash[keep], found.times[keep])
         number = np.cumsum(chosen) - 1
-        bands = _bands(make(part, log_weight[keep], number[part.row]), salt)
-        for row, values in zip(np.flatnonzero(chosen).tolist(), bands.tolist()):
-            out[row].extend(values)
-    return out
+        slots = make(part, log_weight[keep], number[part.row])
+        low = slots.astype(np.uint8)
+        for i, (row, values) in enumerate(zip(np.flatnonzero(chosen).tolist(), _bands(slots, salt).tolist())):
+            bands[row].extend(values)
+            mark[row] = low[i].tobytes()
+    return bands, marks
 
 
 def _keyed(docs: DataFrame, *carry: str) -> DataFrame:
@@ -283,26 +293,64 @@ def _keyed(docs: DataFrame, *carry: str) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"), *carry)
 
 
-def _buckets(rows: DataFrame, df: Frequencies) -> DataFrame:
-    """band, key: bands that at least two different texts share."""
+def _signatures(rows: DataFrame, df: Frequencies) -> DataFrame:
+    """key, bands, dense and binned (low bytes of the samples) of every different text with words; written."""
     shared = rows.sparkSession.sparkContext.broadcast(df)  # of fixed size
-    schema = pa.schema([("key", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema(
+        [("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("dense", pa.binary()), ("binned", pa.binary())]
+    )
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, out = shared.value, Collector(schema)
         for part in small_slices(batches):
             found = shingles(part["text"])
-            for key, bands in zip(part["key"].to_pylist(), signature_bands(found, known.weights(found))):
-                if bands and out.add((key, bands), 8 * len(bands) + 32):
+            bands, marks = signed(found, known.weights(found))
+            for row in zip(part["key"].to_pylist(), bands, *marks):
+                if row[1] and out.add(row, 8 * len(row[1]) + 160):
                     yield out.take()
         yield out.take()
 
-    signed = map_arrow(rows.select("key", "text"), sign, "key binary, bands array<bigint>")
-    each = materialize(signed.dropDuplicates(["key"]).select("key", F.explode("bands").alias("band")))
+    made = map_arrow(
+        rows.select("key", "text"), sign, "key binary, bands array<bigint>, dense binary, binned binary"
+    )
+    return materialize(made.dropDuplicates(["key"]))
+
+
+def _buckets(signatures: DataFrame) -> DataFrame:
+    """band, key: bands that at least two different texts share."""
+    each = signatures.select("key", F.explode("bands").alias("band"))
     shared_bands = each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     return materialize(each.join(shared_bands, "band"))
 
 
+def _agreement(offers: DataFrame, marks: DataFrame) -> DataFrame:
+    """Adds ``alike`` to the pairs (key, centre, ...): the share of samples that agree, of the kind both have where
+    it is larger; pairs below LEAST_AGREEMENT go."""
+    kept = offers.columns
+    ours = marks.select("key", "dense", "binned")
+    theirs = marks.select(F.col("key").alias("centre"), F.col("dense").alias("dense_"), F.col("binned").alias("binned_"))
+    met = offers.join(theirs, "centre").join(ours, "key").select(*kept, "dense", "dense_", "binned", "binned_")
+    blank = bytes(SLOTS)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = np.zeros(batch.num_rows)
+            for kind in ("dense", "binned"):
+                one, two = batch[kind], batch[kind + "_"]
+                both = pc.and_(pc.is_valid(one), pc.is_valid(two)).to_numpy(zero_copy_only=False)
+                a, b = (
+                    np.frombuffer(b"".join(pc.fill_null(c, blank).to_pylist()), np.uint8).reshape(-1, SLOTS)
+                    for c in (one, two)
+                )
+                best = np.maximum(best, np.where(both, (a == b).mean(axis=1), 0))
+            near = pa.array(best >= LEAST_AGREEMENT)
+            out = [batch[c].filter(near) for c in kept] + [pa.array(best).filter(near)]
+            yield pa.RecordBatch.from_arrays(out, names=[*kept, "alike"])
+
+    types = dict(offers.dtypes)
+    return map_arrow(met, compare, ", ".join(f"{c} {types[c]}" for c in kept) + ", alike double")
+
+
 def similarities(a: pa.Array, b: pa.Array, df: Frequencies) -> np.ndarray:
     """Weighted Jaccard similarity of each pair of texts; of two texts without words, 0."""
     one, two = shingles(a), shingles(b)
@@ -359,32 +407,32 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     rows = _keyed(docs)
     df = frequencies(rows)
-    buckets = _buckets(rows, df)
+    signatures = _signatures(rows, df)
+    buckets = _buckets(signatures)
     keys = materialize(buckets.select("key").distinct())
     few = broadcast_up_to(keys, keys.count(), BROADCAST_KEYS)
     texts = materialize(rows.select("key", "text").join(few, "key", "left_semi").dropDuplicates(["key"]))
     classes = materialize(keys.select("key", F.col("key").alias("root")))
-    tested: DataFrame | None = None
-    quiet = turn = 0
-    while quiet < QUIET_ROUNDS:
+    tested = Appended(docs.sparkSession, "key binary, centre binary")
+    for turn in itertools.count():
         placed = buckets.join(classes, "key").withColumn("order", F.xxhash64(F.lit(turn), "key"))
-        centres = placed.groupBy("band").agg(F.min(F.struct("order", "key", "root")).alias("c"))
+        one = F.struct("order", "key", "root")
+        ends = placed.groupBy("band").agg(F.min(one).alias("low"), F.max(one).alias("high"))
+        centres = ends.select("band", F.explode(F.array("low", "high")).alias("c"))
         apart = placed.join(centres, "band").where(F.col("root") != F.col("c.root"))
-        offers = apart.select("key", F.col("c.order").alias("order"), F.col("c.key").alias("centre")).distinct()
-        if tested is not None:
-            offers = offers.join(tested, ["key", "centre"], "left_anti")
+        offers = apart.select("key", F.col("c.key").alias("centre"), F.col("c.root").alias("to")).distinct()
+        near = _agreement(offers.join(tested.rows(), ["key", "centre"], "left_anti"), signatures)
+        # at first every text is a class of its own; then one pair for each text and class it may join
+        target = ["key"] if turn == 0 else ["key", "to"]
         pairs = materialize(
-            offers.groupBy("key").agg(F.min(F.struct("order", "centre")).alias("c")).select("key", "c.centre")
+            near.groupBy(*target).agg(F.max(F.struct("alike", "centre")).alias("c")).select("key", "c.centre")
         )
         if pairs.isEmpty():
             break
         links = materialize(_verified(pairs, texts, df, similarity))
-        tested = pairs if tested is None else tested.union(pairs)
-        turn += 1
         if links.isEmpty():
-            quiet += 1
-            continue
-        quiet = 0
+            break
+        tested.add(pairs)
         of = lambda name: classes.select(F.col("key").alias(name), F.col("root").alias(f"{name}_root"))
         joined = links.join(of("key"), "key").join(of("centre"), "centre")
         merged = components(joined.select(F.col("key_root").alias("a"), F.col("centre_root").alias("b")))
