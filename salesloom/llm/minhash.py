@@ -9,10 +9,10 @@
    takes one sample per bin, an empty bin borrowing from another (bin-wise consistent weighted sampling). Between the
    two bounds both are made, so that neighbours in size always have a kind in common.
 3. Signatures are cut into bands. Texts that share a band form a bucket; pairs are never listed. In each round every
-   text meets the two centres of each of its buckets, unless they are in its class already. Eight bits of each sample tell
-   how alike the two can be (a pair at the limit is let through unless off by several standard deviations); of those that
-   remain the likeliest per class is worked out as weighted Jaccard similarity of both whole texts. Links merge classes,
-   and the next round takes other centres, until a round finds no link.
+   text meets the centres of each of its buckets, unless they are in its class already. Eight bits of each sample tell
+   how alike the two can be (a pair at the limit is let through unless off by several standard deviations); for those that
+   remain the weighted Jaccard similarity of both whole texts is worked out. Links merge classes, and the
+   next round takes other centres, until a round finds no link.
 """
 
 from __future__ import annotations
@@ -414,33 +414,39 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     texts = materialize(rows.select("key", "text").join(few, "key", "left_semi").dropDuplicates(["key"]))
     classes = materialize(keys.select("key", F.col("key").alias("root")))
     tested = Appended(docs.sparkSession, "key binary, centre binary")
+    found = Appended(docs.sparkSession, "a binary, b binary")
     for turn in itertools.count():
         placed = buckets.join(classes, "key").withColumn("order", F.xxhash64(F.lit(turn), "key"))
         one = F.struct("order", "key", "root")
         ends = placed.groupBy("band").agg(F.min(one).alias("low"), F.max(one).alias("high"))
-        centres = ends.select("band", F.explode(F.array("low", "high")).alias("c"))
+        # at first every text is a class of its own, and a large group would offer itself many times over
+        centres = ends.select("band", F.explode(F.array("low", "high") if turn else F.array("low")).alias("c"))
         apart = placed.join(centres, "band").where(F.col("root") != F.col("c.root"))
-        offers = apart.select("key", F.col("c.key").alias("centre"), F.col("c.root").alias("to")).distinct()
+        offers = apart.select("key", F.col("c.key").alias("centre"), "root", F.col("c.root").alias("to")).distinct()
         near = _agreement(offers.join(tested.rows(), ["key", "centre"], "left_anti"), signatures)
-        # at first every text is a class of its own; then one pair for each text and class it may join
-        target = ["key"] if turn == 0 else ["key", "to"]
-        pairs = materialize(
-            near.groupBy(*target).agg(F.max(F.struct("alike", "centre")).alias("c")).select("key", "c.centre")
-        )
+        if turn == 0:
+            best = near.groupBy("key").agg(F.max(F.struct("alike", "centre", "root", "to")).alias("c"))
+            near = best.select("key", "c.centre", "c.root", "c.to")
+        pairs = materialize(near.select("key", "centre", "root", "to"))
         if pairs.isEmpty():
             break
         links = materialize(_verified(pairs, texts, df, similarity))
         if links.isEmpty():
             break
-        tested.add(pairs)
-        of = lambda name: classes.select(F.col("key").alias(name), F.col("root").alias(f"{name}_root"))
-        joined = links.join(of("key"), "key").join(of("centre"), "centre")
-        merged = components(joined.select(F.col("key_root").alias("a"), F.col("centre_root").alias("b")))
-        higher = merged.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        classes = materialize(
-            classes.join(higher, "root", "left").select("key", F.coalesce("top", "root").alias("root"))
-        )
-    return classes
+        tested.add(pairs.select("key", "centre"))
+        found.add(links.select(F.col("key").alias("a"), F.col("centre").alias("b")))
+        classes = materialize(_hooked(classes, links))
+    # the labels of the rounds only save tests; the classes are those of all links
+    return components(found.rows()).select(F.col("node").alias("key"), "root")
+
+
+def _hooked(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after one step of merging: each class takes the least label it is linked to, and that one's."""
+    low, high = F.least("root", "to"), F.greatest("root", "to")
+    hook = links.groupBy(high.alias("high")).agg(F.min(low).alias("low"))
+    further = hook.select(F.col("high").alias("low"), F.col("low").alias("lowest"))
+    hook = hook.join(further, "low", "left").select(F.col("high").alias("root"), F.coalesce("lowest", "low").alias("top"))
+    return classes.join(hook, "root", "left").select("key", F.coalesce("top", "root").alias("root"))
 
 
 def classed(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
