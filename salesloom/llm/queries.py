@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesloom.llm import bpe, html_text, minhash, packing, quality, slots, url_filter, warc
+from salesloom.llm import bpe, html_text, minhash, packing, quality, run_index, slots, url_filter, warc
 from salesloom.operators.materialize import materialize, scratch_dir
 
 
@@ -51,6 +51,17 @@ def op5_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op6_run_index(spark: SparkSession, folder: str) -> DataFrame:
+    cut = run_index.removed(_table(spark, folder, "documents"))
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        (F.size("spans") / 2).cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_packing(
     spark: SparkSession, folder: str, ranks_path: str = public_tokenizers.path("byte_bpe_50k.tiktoken")
 ) -> DataFrame:
@@ -106,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_html_text": op4_html_text,
     "op5_minhash": op5_minhash,
+    "op6_run_index": op6_run_index,
     "op7_packing": op7_packing,
     "op8_slots": op8_slots,
     "op9_quality": op9_quality,
