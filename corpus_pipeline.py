@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from salesloom.llm import quality
+from salesloom.llm import minhash, quality, run_index
+from salesloom.llm.queries import packed_digests
 from salesloom.operators.materialize import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -19,8 +21,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.where("kept").select(*COLUMNS)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_rules)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class: that with the least id."""
+    return minhash.one_of_each(docs.select(*COLUMNS))
 
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the long byte strings that occur again anywhere; a document may be left empty."""
+    cut = run_index.removed(docs, "lang", "source")
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in training sequences."""
+    return packed_digests(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("pack", pack),
+]
+
+#: No stage but the third can be said in SQL: they need a robust fit, sampling, or a packing search.
 ORACLE_SQL = None
 
 

@@ -9,7 +9,7 @@
    takes one sample per bin, an empty bin borrowing from another (bin-wise consistent weighted sampling). Between the
    two bounds both are made, so that neighbours in size always have a kind in common.
 3. Signatures are cut into bands. Texts that share a band form a bucket; pairs are never listed. In each round every
-   text meets the centres of each of its buckets, unless they are in its class already. Eight bits of each sample tell
+   text meets the centres of each of its buckets, unless they are in one class already or have met before. Eight bits of each sample tell
    how alike the two can be (a pair at the limit is let through unless off by several standard deviations); for those that
    remain the weighted Jaccard similarity of both whole texts is worked out. Links merge classes, and the
    next round takes other centres, until a round finds no link.
@@ -41,7 +41,7 @@ SKETCH_ROWS, SKETCH_BITS = 4, 18
 IDF_SPAN = 0.5
 _BLOCKS = 16  # pieces that sketches are summed in
 BROADCAST_KEYS = 500_000
-LEAST_AGREEMENT = 0.5  # of the samples, below which a pair is not looked at: 0.8 less four deviations or more
+LEAST_AGREEMENT = 0.6  # of the samples, below which a pair is not looked at: 0.8 less four deviations
 
 _U = np.uint64
 _HASH_BITS = 56
@@ -423,7 +423,8 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         centres = ends.select("band", F.explode(F.array("low", "high") if turn else F.array("low")).alias("c"))
         apart = placed.join(centres, "band").where(F.col("root") != F.col("c.root"))
         offers = apart.select("key", F.col("c.key").alias("centre"), "root", F.col("c.root").alias("to")).distinct()
-        near = _agreement(offers.join(tested.rows(), ["key", "centre"], "left_anti"), signatures)
+        offers = materialize(offers.join(tested.rows(), ["key", "centre"], "left_anti"))
+        near = _agreement(offers, signatures)
         if turn == 0:
             best = near.groupBy("key").agg(F.max(F.struct("alike", "centre", "root", "to")).alias("c"))
             near = best.select("key", "c.centre", "c.root", "c.to")
@@ -433,7 +434,7 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         links = materialize(_verified(pairs, texts, df, similarity))
         if links.isEmpty():
             break
-        tested.add(pairs.select("key", "centre"))
+        tested.add((offers if turn else pairs).select("key", "centre"))
         found.add(links.select(F.col("key").alias("a"), F.col("centre").alias("b")))
         classes = materialize(_hooked(classes, links))
     # the labels of the rounds only save tests; the classes are those of all links

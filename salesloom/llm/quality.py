@@ -198,10 +198,15 @@ def _medians(rows: DataFrame, values: Sequence[Column]) -> DataFrame:
     )
 
 
+def _small(groups: DataFrame) -> DataFrame:
+    """A written table of groups: broadcast if its count allows, so that a hot group's rows stay where they are."""
+    return broadcast_up_to(groups, groups.count())
+
+
 def _starts(rows: DataFrame) -> DataFrame:
     """Two first estimates per group: medians with median deviations, and the plain mean and covariance."""
     medians = materialize(_medians(rows, [F.col(f) for f in FIGURES]))
-    apart = rows.join(medians, "grp")
+    apart = rows.join(_small(medians), "grp")
     spread = _medians(apart, [F.abs(F.col(f) - F.col(f"q{i}")) for i, f in enumerate(FIGURES)])
     deviation = spread.toDF("grp", *[f"d{i}" for i in range(len(FIGURES))])
     robust = medians.join(deviation, "grp").select(
@@ -229,7 +234,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     """
     shape = materialize(_starts(rows))
     for _ in range(STEPS):
-        near = rows.join(shape, "grp").withColumn("d", _distance())
+        near = rows.join(_small(shape), "grp").withColumn("d", _distance())
         binned = near.withColumn("bin", F.floor(F.log2(F.col("d") + 1e-6) * _BINS_PER_DOUBLING))
         bins = materialize(binned.groupBy("grp", "start", "bin").agg(*_moments()))
         cut = _quantile_bin(bins, ["grp", "start"], "bin", HALF)
@@ -238,7 +243,7 @@ def estimates(rows: DataFrame) -> DataFrame:
         shape = materialize(_shape(sums, ["grp", "start"], _CONSISTENCY))
     best = Window.partitionBy("grp").orderBy("logdet", "start")
     chosen = shape.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth", "start")
-    near = rows.join(chosen, "grp").withColumn("bin", F.floor(F.log2(_distance() + 1e-6) * _BINS_PER_DOUBLING))
+    near = rows.join(_small(materialize(chosen)), "grp").withColumn("bin", F.floor(F.log2(_distance() + 1e-6) * _BINS_PER_DOUBLING))
     bins = near.groupBy("grp", "bin").agg(F.count("*").alias("n"))
     median = F.pow(F.lit(2.0), (F.col("cut") + 1) / _BINS_PER_DOUBLING)
     factor = _quantile_bin(bins, ["grp"], "bin", 0.5).select(
@@ -263,7 +268,7 @@ def judged(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     rows = materialize(figures(counted(docs, carry)))
     learn = rows.where(~F.col("base_failed")).select("grp", *FIGURES)
     shape = estimates(learn)
-    met = rows.join(shape, "grp", "left")
+    met = rows.join(_small(shape), "grp", "left")
     distance = F.when(~F.col("base_failed"), _distance() / F.col("factor"))
     out = met.withColumn("distance", distance)
     return out.select(

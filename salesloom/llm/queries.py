@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesloom.llm import bpe, html_text, minhash, packing, quality, run_index, slots, url_filter, warc
+from salesloom.llm import ann_forest, bpe, html_text, minhash, packing, quality, run_index, slots, url_filter, warc
 from salesloom.operators.materialize import materialize, scratch_dir
 
 
@@ -30,6 +30,10 @@ def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(_table(spark, folder, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
 
+def op2_ann_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return ann_forest.nearest(_table(spark, folder, "embeddings"))
+
+
 def op3_bpe(
     spark: SparkSession, folder: str, ranks_path: str = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 ) -> DataFrame:
@@ -66,7 +70,12 @@ def op7_packing(
     spark: SparkSession, folder: str, ranks_path: str = public_tokenizers.path("byte_bpe_50k.tiktoken")
 ) -> DataFrame:
     """The ids are those of ``byte_bpe_50k.json``: the rank file holds the same vocabulary."""
-    cut = packing.pieces(_table(spark, folder, "documents"), ranks_path, public_tokenizers.PATTERN)
+    return packed_digests(_table(spark, folder, "documents"), ranks_path)
+
+
+def packed_digests(docs: DataFrame, ranks_path: str = public_tokenizers.path("byte_bpe_50k.tiktoken")) -> DataFrame:
+    """Where each piece of ``docs`` is packed, with a checksum of its ids."""
+    cut = packing.pieces(docs, ranks_path, public_tokenizers.PATTERN)
     items = materialize(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
     return packing.packed(items).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
@@ -114,6 +123,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_ann_forest": op2_ann_forest,
     "op3_bpe": op3_bpe,
     "op4_html_text": op4_html_text,
     "op5_minhash": op5_minhash,

@@ -48,10 +48,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _LETTERS = _mix(np.arange(1, 257, dtype=_U) * _U(_BASE))
 
 
+_KNOWN_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, _U)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    known = _KNOWN_POWERS.get(base)
+    if known is None or len(known) < n:
+        steps = np.full(max(n, 1 << 20), base, _U)
+        steps[0] = 1
+        known = _KNOWN_POWERS[base] = np.multiply.accumulate(steps)
+    return known[:n]
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -83,7 +89,7 @@ def regions(data: np.ndarray, borders: np.ndarray, length: int = LENGTH, gram: i
     ranked = (hashes >> low << low) | np.arange(grams, dtype=_U)
     anchor = (_sliding_least(ranked, length - gram + 1) & ((_U(1) << low) - _U(1))).astype(np.int64)
     at = np.arange(n)
-    text = np.searchsorted(borders, at, side="right") - 1
+    text = np.repeat(np.arange(len(borders) - 1), np.diff(borders))[:n]
     inside = at + length <= borders[text + 1]
     if not inside.any():
         return empty.astype(_U), empty, empty, empty
@@ -128,9 +134,9 @@ class Bitmap:
 
 
 def _bitmap(anchors: DataFrame) -> Bitmap:
-    """Built in pieces by tasks, 16 bits for each anchor within BITMAP_BITS; the driver gets the finished pieces."""
+    """Built in pieces by tasks, 64 bits for each anchor within BITMAP_BITS; the driver gets the finished pieces."""
     written = materialize(anchors)
-    bits = min(max((16 * max(1, written.count()) - 1).bit_length(), BITMAP_BITS[0]), BITMAP_BITS[1])
+    bits = min(max((64 * max(1, written.count()) - 1).bit_length(), BITMAP_BITS[0]), BITMAP_BITS[1])
     piece_bits = bits - _BITMAP_PIECES.bit_length() + 1
     piece_bytes = 1 << (piece_bits - 3)
 
@@ -186,21 +192,22 @@ def suffix_order(data: np.ndarray, owner: np.ndarray) -> np.ndarray:
     where its region does, and equal ends are ordered by region."""
     n = len(data)
     last = np.flatnonzero(np.append(owner[1:] != owner[:-1], True))
-    # first key: up to six bytes of the region, each plus one, then 0 from the end on
-    letters = np.zeros(n + 6, _U)
-    letters[:n] = data.astype(_U) + _U(1)
-    ends = np.append(last[owner], np.full(6, n)) + 1
-    at = np.arange(n)
+    # first key: up to seven bytes of the region, each plus one, then 0 from the end on
+    step = 7
+    letters = np.zeros(n + step, _U)
+    letters[:n] = data
+    letters[:n] += _U(1)
+    ends = np.repeat(last + 1, np.diff(np.append(-1, last)))
+    room = ends - np.arange(n)
     key = np.zeros(n, _U)
-    for j in range(6):
-        here = np.where(at + j < ends[:n], letters[at + j], _U(0))
-        key = key * _U(257) + here
-    order = np.argsort(key, kind="stable")
+    for j in range(step):
+        key *= _U(257)
+        key += letters[j : j + n] * (room > j)
+    order = np.argsort(key)
     sorted_key = key[order]
     head = np.append(True, sorted_key[1:] != sorted_key[:-1])
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    step = 6
     while True:
         # only suffixes that share their rank are looked at again
         alone = head & np.append(head[1:], True)
@@ -213,7 +220,7 @@ def suffix_order(data: np.ndarray, owner: np.ndarray) -> np.ndarray:
         # beyond its region's end a suffix ranks by region, below all that go on
         second = np.where(inside, rank[np.minimum(ahead, n - 1)] + len(last), owner[part])
         key = rank[part].astype(_U) << _U(32) | second.astype(_U)
-        again = np.argsort(key, kind="stable")
+        again = np.argsort(key)
         order[open_at] = part[again]
         key = key[again]
         new_head = np.append(True, key[1:] != key[:-1])
@@ -335,7 +342,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def removed(docs: DataFrame, *carry: str) -> DataFrame:
-    """doc_id, kept (binary: the text's bytes without the repeated ones), spans (removed [first, end) byte ranges, flat and in
+    """doc_id, text (what is left as a string, without characters that lost a byte), kept (binary: the text's bytes without the repeated ones), spans (removed [first, end) byte ranges, flat and in
     order) and n_bytes, for every row of ``docs`` (doc_id, text); and the columns ``carry``.
 
     A byte goes if a LENGTH-byte string that covers it also starts anywhere else in any row, as the texts were
@@ -346,9 +353,9 @@ def removed(docs: DataFrame, *carry: str) -> DataFrame:
     marked = rows.join(repeats(docs), "key", "left").select("doc_id", "text", "stretches", *carry)
     kinds = dict(docs.dtypes)
     schema = ", ".join(
-        ["doc_id long", *(f"`{c}` {kinds[c]}" for c in carry), "n_bytes long", "spans array<bigint>", "kept binary"]
+        ["doc_id long", *(f"`{c}` {kinds[c]}" for c in carry), "n_bytes long", "spans array<bigint>", "kept binary", "text string"]
     )
-    names = ["doc_id", *carry, "n_bytes", "spans", "kept"]
+    names = ["doc_id", *carry, "n_bytes", "spans", "kept", "text"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small_slices(batches):
@@ -362,6 +369,7 @@ def removed(docs: DataFrame, *carry: str) -> DataFrame:
                 kept.append(b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2])))
             columns = [part["doc_id"], *(part[c] for c in carry), pa.array(sizes, pa.int64())]
             columns += [pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.binary())]
+            columns.append(pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return map_arrow(marked.withColumn("doc_id", F.col("doc_id").cast("long")), cut, schema)
