@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesloom.llm.arrow import Collector, map_arrow, small_slices
+from salesloom.llm.tables import bulky
 from salesloom.operators.materialize import materialize
 
 LENGTH = 200
@@ -33,6 +34,7 @@ GRAM = 50
 BITMAP_BITS = (20, 28)  # least and greatest: at most 32 MB
 _BITMAP_PIECES = 32
 BLOCK_BYTES = 2 << 20
+COMBINE_BYTES = 64 << 20
 
 _U = np.uint64
 _BASE = 0xD1342543DE82EF95
@@ -289,22 +291,59 @@ def _stretches(flags: np.ndarray) -> list[int]:
     return edges.tolist()
 
 
+def _combined(found: DataFrame) -> DataFrame:
+    """anchor, region, bytes, n: the regions of ``found``, each once for every COMBINE_BYTES of different ones that a task
+    reads."""
+    schema = pa.schema([("anchor", pa.int64()), ("region", pa.binary()), ("bytes", pa.binary()), ("n", pa.int64())])
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list] = {}
+        size = 0
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            out = Collector(schema)
+            for region, (anchor, body, n) in held.items():
+                if out.add((anchor, region, body, n), len(body) + 32):
+                    yield out.take()
+            yield out.take()
+            held.clear()
+
+        for batch in batches:
+            for anchor, region, body in zip(*(batch[c].to_pylist() for c in ("anchor", "region", "bytes"))):
+                known = held.get(region)
+                if known:
+                    known[2] += 1
+                    continue
+                held[region] = [anchor, body, 1]
+                size += len(body)
+            if size >= COMBINE_BYTES:
+                yield from flushed()
+                size = 0
+        yield from flushed()
+
+    return map_arrow(found.select("anchor", "region", "bytes"), combine, "anchor long, region binary, bytes binary, n long")
+
+
 def _marked(distinct: DataFrame) -> DataFrame:
-    """region, stretches: the repeated windows of the distinct regions that have any. ``distinct`` is dealt by block."""
+    """region, stretches: the repeated windows of the regions that have any. ``distinct`` is dealt by anchor and sorted
+    by anchor and region; rows of one region are counted together as they stream by."""
     schema = pa.schema([("region", pa.binary()), ("stretches", pa.list_(pa.int32()))])
 
     def index(parts: list[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
         flags = repeated_windows([p[1] for p in parts], [p[2] for p in parts])
         found = [(p[0], _stretches(f)) for p, f in zip(parts, flags) if f.any()]
-        columns = [pa.array(c, f.type) for c, f in zip(zip(*found), schema)] if found else [[], []]
+        columns = list(zip(*found)) if found else [[], []]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # regions come sorted by anchor, and regions of one anchor stay in one index
+        # regions of one anchor stay in one index
         held, size, last = [], 0, None
         for batch in batches:
             columns = (batch[c].to_pylist() for c in ("region", "bytes", "n", "anchor"))
             for region, body, n, anchor in zip(*columns):
+                if held and held[-1][0] == region:
+                    held[-1] = (region, body, held[-1][2] + n)
+                    continue
                 if size >= BLOCK_BYTES and anchor != last:
                     yield index(held)
                     held, size = [], 0
@@ -330,10 +369,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     rows = _keyed(docs)
     bitmap = _bitmap(_anchors(rows))
     found = _occurrences(rows, bitmap).withColumn("region", F.unhex(F.md5("bytes")))
-    found = materialize(found)
-    counted = found.groupBy("anchor", "region").agg(F.first("bytes").alias("bytes"), F.count("*").alias("n"))
-    blocks = counted.repartition("anchor").sortWithinPartitions("anchor", "region")
-    marks = materialize(_marked(blocks.select("region", "bytes", "n", "anchor")))
+    found = bulky(found)
+    blocks = _combined(found).repartition("anchor").sortWithinPartitions("anchor", "region")
+    marks = materialize(_marked(blocks))
     places = found.select("key", "first", "region").distinct()
     moved = places.join(marks, "region").select(
         "key", F.transform("stretches", lambda at: at + F.col("first")).alias("stretches")
