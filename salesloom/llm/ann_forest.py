@@ -26,7 +26,7 @@ from salesloom.operators.materialize import materialize
 
 TREES = 8
 SAMPLE = 16_384  # points that trees are fitted on
-LEAF_ROWS = 256
+LEAF_ROWS = 1024
 LEAST_LEAF_SAMPLE = 8
 VISITED = 1.3  # rows of visited leaves, over all trees, as a share of all rows
 LEAST_VISITED = 4096  # rows that a query visits at least
