@@ -45,13 +45,13 @@ def counted(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """
     # each select makes its arrays once: Spark does not merge a projection whose result is used twice
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", "lang", "source", text.alias("text"), *carry)
-    words = F.array_remove(F.split(F.translate("text", _SPACES, " " * len(_SPACES)), " "), "")
-    lines = F.filter(F.split("text", "\n"), lambda line: F.btrim(line, F.lit(_SPACES)) != "")
+    base = docs.select("doc_id", "lang", "source", text.alias("_text"), *carry)
+    words = F.array_remove(F.split(F.translate("_text", _SPACES, " " * len(_SPACES)), " "), "")
+    lines = F.filter(F.split("_text", "\n"), lambda line: F.btrim(line, F.lit(_SPACES)) != "")
     split = base.select(
-        *[c for c in base.columns if c != "text"],
-        F.length(F.translate("text", _SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", _SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        *[c for c in base.columns if c != "_text"],
+        F.length(F.translate("_text", _SPACES, "")).cast("long").alias("word_chars"),
+        (F.length("_text") - F.length(F.translate("_text", _SYMBOLS, ""))).cast("long").alias("n_symbols"),
         lines.alias("lines"),
         F.transform(words, lambda w: F.xxhash64(w)).alias("words"),
     )
