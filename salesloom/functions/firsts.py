@@ -1,26 +1,22 @@
-"""Earliest row per group as one number.
-
-``min`` over a struct makes Spark sort the rows before aggregating; over a bigint
-it stays a hash aggregate. So the day and an integer key are packed in one bigint.
-"""
+"""The earliest row of each group, with any key type and no bound on it."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-KEY_SPAN = 10**13  # keys are below this; days since 1970 then fit above them
+from collections.abc import Sequence
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def earliest(day: Column, key: Column) -> Column:
-    """Aggregate: the earliest day and, on it, the lowest key (0 <= key < KEY_SPAN)."""
-    return F.min(F.unix_date(day) * F.lit(KEY_SPAN) + key)
-
+_NULL_FIRST, _NULL_LAST = -(2**31), 2**31 - 1
 
-def earliest_key(packed: Column) -> Column:
-    return F.pmod(packed, F.lit(KEY_SPAN))
 
+def earliest(frame: DataFrame, groups: Sequence[str], day: str, key: str, nulls_first: bool = False) -> DataFrame:
+    """``groups``, ``day`` and ``key`` of each group's first row: the earliest day, and on it the lowest key.
 
-def earliest_day(packed: Column) -> Column:
-    day = (packed - F.pmod(packed, F.lit(KEY_SPAN))) / F.lit(KEY_SPAN)
-    return F.date_from_unix_date(F.rint(day).cast("int"))
+    A row without a day comes last, or first if ``nulls_first``. Two hash aggregates: the lowest key of each day, then the
+    key of the first day, which no longer has ties; a hot group is combined before either shuffle.
+    """
+    daily = frame.groupBy(*groups, day).agg(F.min(key).alias(key))
+    place = F.coalesce(F.unix_date(day), F.lit(_NULL_FIRST if nulls_first else _NULL_LAST))
+    first = daily.withColumn("_place", place).groupBy(*groups)
+    return first.agg(F.min_by(day, "_place").alias(day), F.min_by(key, "_place").alias(key))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 _MILLIONTH = Decimal("0.000001")
 _UNITS = "decimal(18,0)"
+_FINE = "decimal(24,2)"
 _EXACT = "decimal(28,8)"
 
 
@@ -32,6 +33,17 @@ def gross(cents: Column) -> Column:
     return (cents * F.lit(10_000)).cast(_UNITS)
 
 
+def fine_net(price: Column, discount: Column) -> Column:
+    """Line amount after discount in millionths, from a decimal price of four places and a discount of four: exact to
+    hundredths of a millionth."""
+    left = F.lit(Decimal("1.0000")) - discount.cast("decimal(5,4)")
+    return (price.cast("decimal(19,4)") * left * F.lit(Decimal(1_000_000))).cast(_FINE)
+
+
+def fine_gross(price: Column) -> Column:
+    return (price.cast("decimal(19,4)") * F.lit(Decimal(1_000_000))).cast(_FINE)
+
+
 def money(millionths: Column) -> Column:
     """Millionths back to the currency unit, still exact."""
     return millionths * F.lit(_MILLIONTH)

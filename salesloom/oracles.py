@@ -71,7 +71,6 @@ cov AS (
   JOIN customer ON o_custkey = c_custkey
   JOIN nation ON c_nationkey = n_nationkey
   JOIN region ON n_regionkey = r_regionkey
-  WHERE l_quantity = 50
 ),
 hired AS (SELECT l_suppkey, MIN(CAST(l_shipdate AS DATE)) AS hire FROM lineitem GROUP BY 1)"""
 

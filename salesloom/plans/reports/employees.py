@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesloom.functions.classify import first_match
-from salesloom.functions.firsts import earliest, earliest_day, earliest_key
+from salesloom.functions.firsts import earliest
 from salesloom.functions.money import dec_round, money, ratio
 from salesloom.operators.lookups import broadcast_up_to
 from salesloom.operators.materialize import materialize
@@ -33,7 +33,7 @@ def employee_figures(retail: Retail) -> DataFrame:
         "TotalOrders",
         "TotalUnitsSold",
         dec_round(money(F.col("NetU")), 2).alias("TotalRevenue"),
-        dec_round(ratio(F.col("DiscountBp"), F.col("Lines")) / 100, 2).alias("AvgDiscountPct"),
+        dec_round(ratio(F.col("DiscountBp"), F.col("Rated")) / 100, 2).alias("AvgDiscountPct"),
         dec_round(ratio(money(F.col("NetU")), F.col("TotalOrders")), 2).alias("RevenuePerOrder"),
     )
 
@@ -105,7 +105,11 @@ def territory_coverage(retail: Retail) -> DataFrame:
     (order,) = measure(
         base, Spec(Key("TerritoryCount", desc=True), (Key("EmployeeID"), Key("RegionID")))
     )
-    first_hires = base.groupBy("RegionID").agg(F.min("HireDate").alias("EarliestHireInRegion"))
+    # a missing date comes first, as in an ascending order that begins with nulls
+    unknown = F.count_if(F.col("HireDate").isNull()) > 0
+    first_hires = base.groupBy("RegionID").agg(
+        F.when(~unknown, F.min("HireDate")).alias("EarliestHireInRegion")
+    )
     with_first = base.join(broadcast_up_to(first_hires, retail.region_count()), "RegionID")
     return (
         order.arrange(with_first)
@@ -123,17 +127,10 @@ def territory_coverage(retail: Retail) -> DataFrame:
 
 
 def region_founder(retail: Retail) -> DataFrame:
-    """The first employee hired in each region (the lowest id on a shared day)."""
-    first = (
-        _region_hires(retail)
-        .groupBy("RegionID", "Region")
-        .agg(earliest(F.col("HireDate"), F.col("EmployeeID").cast("bigint")).alias("First"))
-        .select(
-            F.col("Region").alias("RegionDescription"),
-            earliest_key(F.col("First")).alias("EmployeeID"),
-            earliest_day(F.col("First")).alias("HireDate"),
-        )
-    )
+    """The first employee hired in each region: the lowest id on a shared day; one without a date comes before all,
+    so that every region with employees has a row."""
+    hires = earliest(_region_hires(retail), ["RegionID", "Region"], "HireDate", "EmployeeID", nulls_first=True)
+    first = hires.select(F.col("Region").alias("RegionDescription"), "EmployeeID", "HireDate")
     return (
         broadcast_up_to(first, retail.region_count())
         .join(retail.employees(), "EmployeeID")

@@ -53,7 +53,7 @@ def kpi_snapshot(retail: Retail) -> DataFrame:
         ),
     )
     active = F.col("Discontinued") == 0
-    products = retail.products().agg(
+    products = retail.listed_products().agg(
         F.struct(
             F.count_if(active).alias("active"),
             F.count_if(F.col("Discontinued") == 1).alias("discontinued"),
@@ -61,7 +61,7 @@ def kpi_snapshot(retail: Retail) -> DataFrame:
             F.count_if(active & (F.col("UnitsInStock") == 0)).alias("out"),
         ).alias("p")
     )
-    suppliers = retail.suppliers().agg(F.count("*").alias("n"))
+    suppliers = retail.supplier_keys().agg(F.count("*").alias("n"))
     snapshot = facts.select(
         *(F.coalesce(c, F.lit(0)).alias(c) for c in ("customers", "orders", "lines", "discounted")),
         *(F.coalesce(c, F.lit(0)).alias(c) for c in ("shipped", "late")),

@@ -103,6 +103,8 @@ def discount_depth(
             F.sum("GrossU").alias("GrossU"),
             F.sum("Quantity").alias("Units"),
             F.sum("DiscountBp").alias("DiscountBp"),
+            F.count("Quantity").alias("Counted"),
+            F.count("DiscountBp").alias("Rated"),
             F.min("DiscountBp").alias("Lowest"),
         )
     )
@@ -116,8 +118,8 @@ def discount_depth(
             rounded(money(F.col("NetU")), 2).alias("NetRevenue"),
             rounded(money(F.col("GrossU")), 2).alias("GrossRevenue"),
             rounded(money(F.col("GrossU") - F.col("NetU")), 2).alias("RevenueForgone"),
-            rounded(ratio(F.col("Units"), F.col("OrderLines")), 1).alias("AvgQuantity"),
-            rounded(ratio(F.col("DiscountBp"), F.col("OrderLines")) / 100, 1).alias(
+            rounded(ratio(F.col("Units"), F.col("Counted")), 1).alias("AvgQuantity"),
+            rounded(ratio(F.col("DiscountBp"), F.col("Rated")) / 100, 1).alias(
                 "AvgDiscountPct"
             ),
             safe_pct(F.col("OrderLines"), F.col("AllLines"), 1).alias("PctOfAllLines"),
@@ -136,7 +138,7 @@ def quarterly_trend(retail: Retail) -> DataFrame:
         .agg(
             F.count("*").alias("OrderCount"),
             money(F.sum("NetU")).alias("Revenue"),
-            F.sum("Lines").alias("Lines"),
+            F.sum("PricedLines").alias("Priced"),
         )
     )
     _, change = growth("Revenue", ["OrderYear", "Quarter"])
@@ -153,7 +155,7 @@ def quarterly_trend(retail: Retail) -> DataFrame:
             ).alias("YearQuarter"),
             "OrderCount",
             rounded(F.col("Revenue"), 2).alias("Revenue"),
-            rounded(ratio(F.col("Revenue"), F.col("Lines")), 2).alias("AvgLineRevenue"),
+            rounded(ratio(F.col("Revenue"), F.col("Priced")), 2).alias("AvgLineRevenue"),
             "QoQ_Growth_Pct",
         )
         .orderBy("OrderYear", "Quarter")

@@ -76,7 +76,7 @@ def stock_risk(retail: Retail, low_factor: float = 1.5) -> DataFrame:
 def supplier_portfolio(retail: Retail) -> DataFrame:
     """Products and stock per supplier, ranked by stock and by portfolio size."""
     portfolio = (
-        retail.products()
+        retail.listed_products()
         .join(retail.product_suppliers(), "ProductID")
         .groupBy("SupplierID")
         .agg(

@@ -5,13 +5,13 @@ Fixed values: table and column names and their order in the export.
 
 from __future__ import annotations
 
-CATEGORIES = "CategoryID int, CategoryName string, Description string"
+CATEGORIES = "CategoryID bigint, CategoryName string, Description string"
 PRODUCTS = (
-    "ProductID int, ProductName string, SupplierID int, CategoryID int, QuantityPerUnit string, "
-    "UnitPrice decimal(18,2), UnitsInStock int, UnitsOnOrder int, ReorderLevel int, Discontinued int"
+    "ProductID bigint, ProductName string, SupplierID bigint, CategoryID bigint, QuantityPerUnit string, "
+    "UnitPrice decimal(19,4), UnitsInStock int, UnitsOnOrder int, ReorderLevel int, Discontinued int"
 )
 SUPPLIERS = (
-    "SupplierID int, CompanyName string, ContactName string, ContactTitle string, Address string, "
+    "SupplierID bigint, CompanyName string, ContactName string, ContactTitle string, Address string, "
     "City string, Region string, PostalCode string, Country string, Phone string, Fax string, "
     "HomePage string"
 )
@@ -21,20 +21,20 @@ CUSTOMERS = (
     "Fax string"
 )
 EMPLOYEES = (
-    "EmployeeID int, LastName string, FirstName string, Title string, TitleOfCourtesy string, "
+    "EmployeeID bigint, LastName string, FirstName string, Title string, TitleOfCourtesy string, "
     "BirthDate timestamp_ntz, HireDate timestamp_ntz, Address string, City string, Region string, "
     "PostalCode string, Country string"
 )
-EMPLOYEE_TERRITORIES = "EmployeeID int, TerritoryID string"
-TERRITORIES = "TerritoryID string, TerritoryDescription string, RegionID int"
-REGION = "RegionID int, RegionDescription string"
-SHIPPERS = "ShipperID int, CompanyName string, Phone string"
+EMPLOYEE_TERRITORIES = "EmployeeID bigint, TerritoryID string"
+TERRITORIES = "TerritoryID string, TerritoryDescription string, RegionID bigint"
+REGION = "RegionID bigint, RegionDescription string"
+SHIPPERS = "ShipperID bigint, CompanyName string, Phone string"
 ORDERS = (
-    "OrderID int, CustomerID string, EmployeeID int, OrderDate timestamp_ntz, "
-    "RequiredDate timestamp_ntz, ShippedDate timestamp_ntz, ShipVia int, Freight decimal(18,2)"
+    "OrderID bigint, CustomerID string, EmployeeID bigint, OrderDate timestamp_ntz, "
+    "RequiredDate timestamp_ntz, ShippedDate timestamp_ntz, ShipVia bigint, Freight decimal(19,4)"
 )
 ORDER_DETAILS = (
-    "OrderID int, ProductID int, UnitPrice decimal(18,2), Quantity int, Discount decimal(5,4)"
+    "OrderID bigint, ProductID bigint, UnitPrice decimal(19,4), Quantity int, Discount decimal(5,4)"
 )
 
 # table -> (file name, schema)

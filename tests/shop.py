@@ -90,12 +90,12 @@ def write_shop(folder: Path) -> None:
             for i, n, c in customers
         ],
     )
-    hired = dt.date(1993, 10, 17)
+    hired = dt.date(2003, 3, 12)
     employees = [
-        (1, "Ash", "Ann", "Rep", dt.date(1992, 5, 1)),
+        (1, "Ash", "Ann", "Rep", dt.date(2001, 9, 24)),
         (2, "Birch", "Bo", "Rep", hired),
         (3, "Cedar", "Cy", "Manager", hired),  # hired the same day, same region
-        (4, "Dogwood", "Di", "Rep", dt.date(1994, 1, 2)),
+        (4, "Dogwood", "Di", "Rep", dt.date(2006, 6, 30)),
     ]
     _write(
         folder,
@@ -107,7 +107,7 @@ def write_shop(folder: Path) -> None:
             for i, last, first, t, h in employees
         ],
     )
-    territories = [("01581", "Westboro", 1), ("02139", "Cam", 1), ("60179", "Hoff", 2), ("00042", "Q", 2)]
+    territories = [("00731", "Northmoor", 1), ("04410", "Lea", 1), ("73055", "Quay", 2), ("00042", "Q", 2)]
     _write(
         folder,
         "Territories.csv",
@@ -118,7 +118,7 @@ def write_shop(folder: Path) -> None:
         folder,
         "EmployeeTerritories.csv",
         ["EmployeeID", "TerritoryID"],
-        [(2, "01581"), (3, "01581"), (3, "02139"), (1, "60179"), (3, "60179"), (4, "60179")],
+        [(2, "00731"), (3, "00731"), (3, "04410"), (1, "73055"), (3, "73055"), (4, "73055")],
     )
     _write(
         folder,

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from salesloom.functions.classify import bucketize
-from salesloom.functions.firsts import earliest, earliest_day, earliest_key
-from salesloom.functions.money import gross, money, net, ratio, rounded, safe_pct, whole
+from salesloom.functions.firsts import earliest
+from salesloom.functions.money import fine_gross, fine_net, gross, money, net, ratio, rounded, safe_pct, whole
 from salesloom.plans.reports.revenue import DISCOUNT_ABOVE, DISCOUNT_BUCKETS
 from salesloom.plans.reports.shipping import ORDER_LARGE, ORDER_SIZES
 from salesloom.plans.reports.supply import stock_status
@@ -74,18 +74,19 @@ def test_stock_classes(spark, stock, on_order, level, want):
     assert frame.select(stock_status().alias("s")).first()["s"].startswith(want)
 
 
-def test_earliest_handles_old_days_and_ties(spark):
-    rows = [(dt.date(1950, 1, 2), 7), (dt.date(1950, 1, 2), 3), (dt.date(1996, 1, 1), 1), (None, 0)]
-    frame = spark.createDataFrame(rows, "d date, k bigint").agg(earliest(F.col("d"), F.col("k")).alias("p"))
-    row = frame.select(earliest_key(F.col("p")).alias("k"), earliest_day(F.col("p")).alias("d")).first()
-    assert (row["k"], row["d"]) == (3, dt.date(1950, 1, 2))
+def test_earliest_takes_any_key_and_null_days(spark):
+    rows = [
+        (1, dt.date(2020, 1, 3), 10**13), (1, dt.date(2020, 1, 1), 3 * 10**13 + 7), (1, dt.date(2020, 1, 1), 4 * 10**13),
+        (2, dt.date(1900, 5, 1), -5), (2, dt.date(1900, 5, 1), 3), (3, None, 9), (3, dt.date(2000, 1, 1), 8),
+    ]
+    frame = spark.createDataFrame(rows, "g int, d date, k bigint")
+    last = {r["g"]: (r["d"], r["k"]) for r in earliest(frame, ["g"], "d", "k").collect()}
+    assert last == {1: (dt.date(2020, 1, 1), 3 * 10**13 + 7), 2: (dt.date(1900, 5, 1), -5), 3: (dt.date(2000, 1, 1), 8)}
+    first = {r["g"]: (r["d"], r["k"]) for r in earliest(frame, ["g"], "d", "k", nulls_first=True).collect()}
+    assert first == last | {3: (None, 9)}
 
 
-def test_packed_days_come_back_exactly(spark):
-    days = spark.range(0, 80_000, 7).select(
-        F.date_from_unix_date((F.col("id") - 30_000).cast("int")).alias("d"),
-        (F.col("id") * 123_456_789).alias("k"),
-    )
-    packed = days.groupBy("d", "k").agg(earliest(F.col("d"), F.col("k")).alias("p"))
-    wrong = (earliest_day(F.col("p")) != F.col("d")) | (earliest_key(F.col("p")) != F.col("k"))
-    assert packed.filter(wrong).count() == 0
+def test_four_place_prices_are_exact(spark):
+    price, discount = F.lit("1.2345").cast("decimal(19,4)") * 1000, F.lit("0.15").cast("decimal(5,4)")
+    assert str(_one(spark, money(fine_gross(price)))) == "1234.50000000"
+    assert str(_one(spark, money(fine_net(price, discount)))) == "1049.32500000"
