@@ -12,7 +12,8 @@
    text meets the centres of each of its buckets, unless they are in one class already or have met before. Eight bits of each sample tell
    how alike the two can be (a pair at the limit is let through unless off by several standard deviations); for those that
    remain the weighted Jaccard similarity of both whole texts is worked out. Links merge classes, and the
-   next round takes other centres, until a round finds no link.
+   next round takes other centres, until QUIET_ROUNDS on end find no link. A text whose only links lie at the limit, in a large
+   bucket, may be missed.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ SKETCH_ROWS, SKETCH_BITS = 4, 18
 IDF_SPAN = 0.5
 _BLOCKS = 16  # pieces that sketches are summed in
 BROADCAST_KEYS = 500_000
+QUIET_ROUNDS = 2  # rounds on end without a link that end the search
 LEAST_AGREEMENT = 0.6  # of the samples, below which a pair is not looked at: 0.8 less four deviations
 
 _U = np.uint64
@@ -415,6 +417,7 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     classes = materialize(keys.select("key", F.col("key").alias("root")))
     tested = Appended(docs.sparkSession, "key binary, centre binary")
     found = Appended(docs.sparkSession, "a binary, b binary")
+    quiet = 0
     for turn in itertools.count():
         placed = buckets.join(classes, "key").withColumn("order", F.xxhash64(F.lit(turn), "key"))
         one = F.struct("order", "key", "root")
@@ -432,9 +435,13 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         if pairs.isEmpty():
             break
         links = materialize(_verified(pairs, texts, df, similarity))
-        if links.isEmpty():
-            break
         tested.add((offers if turn else pairs).select("key", "centre"))
+        if links.isEmpty():
+            quiet += 1
+            if quiet == QUIET_ROUNDS:
+                break
+            continue
+        quiet = 0
         found.add(links.select(F.col("key").alias("a"), F.col("centre").alias("b")))
         classes = materialize(_hooked(classes, links))
     # the labels of the rounds only save tests; the classes are those of all links
