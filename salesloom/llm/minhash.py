@@ -41,7 +41,7 @@ DENSE_UP_TO, BINNED_FROM = 128, 32
 SKETCH_ROWS, SKETCH_BITS = 4, 18
 IDF_SPAN = 0.5
 _BLOCKS = 16  # pieces that sketches are summed in
-BROADCAST_KEYS = 500_000
+BROADCAST_KEYS = 200_000  # narrow rows of texts that share a band
 QUIET_ROUNDS = 2  # rounds on end without a link that end the search
 LEAST_AGREEMENT = 0.6  # of the samples, below which a pair is not looked at: 0.8 less four deviations
 
@@ -412,14 +412,17 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     signatures = _signatures(rows, df)
     buckets = _buckets(signatures)
     keys = materialize(buckets.select("key").distinct())
-    few = broadcast_up_to(keys, keys.count(), BROADCAST_KEYS)
+    n_keys = keys.count()
+    few = broadcast_up_to(keys, n_keys, BROADCAST_KEYS)
     texts = materialize(rows.select("key", "text").join(few, "key", "left_semi").dropDuplicates(["key"]))
+    marks = materialize(signatures.drop("bands").join(few, "key", "left_semi"))
+    marks = broadcast_up_to(marks, n_keys, BROADCAST_KEYS)
     classes = materialize(keys.select("key", F.col("key").alias("root")))
     tested = Appended(docs.sparkSession, "key binary, centre binary")
     found = Appended(docs.sparkSession, "a binary, b binary")
     quiet = 0
     for turn in itertools.count():
-        placed = buckets.join(classes, "key").withColumn("order", F.xxhash64(F.lit(turn), "key"))
+        placed = buckets.join(broadcast_up_to(classes, n_keys, BROADCAST_KEYS), "key").withColumn("order", F.xxhash64(F.lit(turn), "key"))
         one = F.struct("order", "key", "root")
         ends = placed.groupBy("band").agg(F.min(one).alias("low"), F.max(one).alias("high"))
         # at first every text is a class of its own, and a large group would offer itself many times over
@@ -427,7 +430,7 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         apart = placed.join(centres, "band").where(F.col("root") != F.col("c.root"))
         offers = apart.select("key", F.col("c.key").alias("centre"), "root", F.col("c.root").alias("to")).distinct()
         offers = materialize(offers.join(tested.rows(), ["key", "centre"], "left_anti"))
-        near = _agreement(offers, signatures)
+        near = _agreement(offers, marks)
         if turn == 0:
             best = near.groupBy("key").agg(F.max(F.struct("alike", "centre", "root", "to")).alias("c"))
             near = best.select("key", "c.centre", "c.root", "c.to")
