@@ -4,8 +4,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as contract
 from tests.test_reports_oracle import DATA, TABLES, _sorted
+from salesloom.catalog import star_queries
+from salesloom.oracles import ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -36,11 +37,11 @@ def hot(spark, tmp_path_factory):
     return folder, db
 
 
-@pytest.mark.parametrize("name", list(contract.oracle_sql()))
+@pytest.mark.parametrize("name", list(ORACLES))
 def test_report_equals_sql_on_hot_keys(spark, hot, name):
     folder, db = hot
-    got = contract.queries()[name](spark, folder)
-    want = db.sql(contract.oracle_sql()[name])
+    got = star_queries()[name](spark, folder)
+    want = db.sql(ORACLES[name])
     cols = sorted(got.columns)
     want_rows = _sorted(want.project(", ".join(f'"{c}"' for c in cols)).fetchall())
     got_rows = _sorted(tuple(r) for r in got.select(*cols).collect())
@@ -65,7 +66,7 @@ def test_skewed_join_is_split(spark, hot, name):
         spark.conf.set(k, v)
     try:
         if name == "q1_category_yoy":
-            frame = contract.queries()[name](spark, hot[0])
+            frame = star_queries()[name](spark, hot[0])
         else:
             frame = _orders_with_customers(spark, hot[0])
         frame.collect()

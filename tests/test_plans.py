@@ -4,10 +4,10 @@ import re
 
 import pytest
 
-import __spark_entry__ as contract
 from salesloom.operators import materialize as materialize_module
 from salesloom.plans import retail as retail_module
 from salesloom.plans.reports import employees, insights, shipping, supply
+from salesloom.catalog import star_queries
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -40,14 +40,14 @@ def plans(spark):
     with pytest.MonkeyPatch.context() as patch:
         for module in (retail_module, employees, insights, shipping, supply):
             patch.setattr(module, "materialize", spy)
-        for name, query in contract.queries().items():
+        for name, query in star_queries().items():
             seen.clear()
             result = plan_of(query(spark, FOLDER))
             out[name] = [*seen, result]
     return out
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(star_queries()))
 def test_no_cross_join_and_no_gathered_entities(plans, name):
     for plan in plans[name]:
         assert "CartesianProduct" not in plan
@@ -116,5 +116,5 @@ def test_ranked_result_needs_one_shuffle(plans, name):
     ],
 )
 def test_results_come_sorted(spark, name, key):
-    values = [r[key] for r in contract.queries()[name](spark, FOLDER).collect()]
+    values = [r[key] for r in star_queries()[name](spark, FOLDER).collect()]
     assert values == sorted(values)
