@@ -1,53 +1,49 @@
 """Rank, number, tile and accumulate over one order of a whole frame.
 
 A Spark window without PARTITION BY gathers every row in one task. Here the
-frame is cut into contiguous buckets of its sort order instead:
-
-1. cut points are taken from a small sample of the sort keys. Sampling decides
-   only where to cut, so it can make buckets uneven but never a result wrong;
-2. the bucket of a row is an expression on its own keys and literal cuts, so a
-   task that is run again puts every row where it was before;
-3. rows, distinct values and sums per bucket are collected (one row per bucket)
-   and summed up to the offset each bucket starts at;
-4. a window inside the bucket plus the offset gives the global figure.
-
-Equal values (peers) share a bucket unless one value fills several buckets on
-its own. Such a value is cut along the tie-break keys, so no value, however
-frequent, ends up in one task. ``within`` numbers each group separately without
-making the group the unit of work: a group may span any number of buckets.
-
-``measure`` runs three small jobs when it is called (row count, sample, bucket
-statistics), so hand it a written table (see ``materialize``).
+frame is laid out once in contiguous buckets of its sort order instead:
+
+1. the rows are range-partitioned on all sort keys, sorted, and written with a
+   number that holds their bucket and their place in it. Spark samples the
+   ranges; they can make buckets uneven but never a result wrong, and once
+   written they stay as they are, whatever is computed again;
+2. sums per bucket are combined into what lies before each bucket: one row per
+   bucket, kept as a table with the types of the keys;
+3. a window inside the bucket plus what lies before it gives the global figure.
+
+The range partitioning includes the tie-break keys, so no value, however frequent,
+ends up in one task; figures of a value that crosses a border are carried over it. An order
+without tie-breaks gets the row's number as one. ``within`` numbers each group separately
+without making the group the unit of work: a group may span any number of buckets.
+
+The number of buckets follows the rows. Nothing but the row count and, for quantiles, the
+sought rows reaches the driver, and no plan holds cut points.
 """
 
 from __future__ import annotations
 
 import itertools
-import json
 import math
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field
-from decimal import Decimal
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from salesloom.operators.lookups import broadcast_up_to
 from salesloom.operators.materialize import materialize
 
-# a bucket holds 200,000 rows; fewer, down to 10,000, if that keeps all cores busy
-ROWS_PER_BUCKET = 200_000
+# a bucket holds 500,000 rows; fewer, down to 10,000, if that keeps all cores busy
+ROWS_PER_BUCKET = 500_000
 SMALL_BUCKET = 10_000
-MIN_BUCKETS = 8
-MAX_BUCKETS = 4096
-# beyond this many, tasks after the shuffle would each unpack a plan heavy with cuts
-CUTS_IN_PLAN = 512
-SAMPLE_PER_BUCKET = 64
+MIN_BUCKETS = 2
+# one row per bucket, some 100 bytes each; with more buckets the join is left to Spark
+BROADCAST_BUCKETS = 500_000
 
 _SUM_TYPE = "decimal(38,6)"
-_START, _INSIDE, _AFTER = 0, 1, 2
+_PLACE_BITS = 33  # of monotonically_increasing_id: the place of a row in its partition
 _ids = itertools.count()
 
 
@@ -58,18 +54,18 @@ class Key:
     name: str
     desc: bool = False
 
+    @property
+    def column(self) -> Column:
+        return F.col("`" + self.name.replace("`", "``") + "`")
+
     def sort(self) -> Column:
-        return F.col(self.name).desc() if self.desc else F.col(self.name).asc()
+        return self.column.desc() if self.desc else self.column.asc()
 
-    def after(self, cut: str) -> str:
-        """SQL: whether the row's key sorts strictly after ``cut``; never null."""
+    def after(self, cut: Column) -> Column:
+        """Whether the row's key sorts strictly after ``cut``; never null."""
         if self.desc:
-            return f"coalesce({self.sql} < {cut}, {self.sql} IS NULL AND {cut} IS NOT NULL)"
-        return f"coalesce({self.sql} > {cut}, {self.sql} IS NOT NULL AND {cut} IS NULL)"
-
-    @property
-    def sql(self) -> str:
-        return "`" + self.name.replace("`", "``") + "`"
+            return F.coalesce(self.column < cut, self.column.isNull() & cut.isNotNull())
+        return F.coalesce(self.column > cut, self.column.isNotNull() & cut.isNull())
 
 
 @dataclass(frozen=True)
@@ -83,267 +79,212 @@ class Spec:
     dense: bool = False
 
     @property
-    def peers(self) -> tuple[Key, ...]:
-        return (*(Key(name) for name in self.within), self.by)
+    def groups(self) -> tuple[Key, ...]:
+        return tuple(Key(name) for name in self.within)
 
     @property
     def keys(self) -> tuple[Key, ...]:
-        return (*self.peers, *self.ties)
-
-
-def _literal(values: Sequence[Any], element: T.DataType) -> str:
-    """SQL for an array constant; Spark folds it into one literal when it plans the query."""
-    plain = [
-        v if isinstance(v, (bool, int, float, str)) or v is None else str(v) for v in values
-    ]
-    return _json_literal(json.dumps(plain), element)
+        return (*self.groups, self.by, *self.ties)
 
 
-def _json_literal(text: str, element: T.DataType) -> str:
-    quoted = text.replace("\\", "\\\\").replace("'", "\\'")
-    return f"from_json('{quoted}', 'array<{element.simpleString()}>')"
-
-
-def _beyond(keys: Sequence[Key], cuts: Sequence[str], equal: str) -> str:
-    """SQL: whether a row sorts after a cut on ``keys``, key by key; ``equal`` on a tie."""
-    out = equal
-    for key, cut in reversed(list(zip(keys, cuts))):
-        out = f"({key.after(cut)} OR ({key.sql} <=> {cut} AND {out}))"
+def _reached(keys: Sequence[Key], cut: Column) -> Column:
+    """Whether a row sorts at or after the row ``cut`` (a struct k0, k1, ...)."""
+    out = F.lit(True)
+    for i, key in reversed(list(enumerate(keys))):
+        at = cut.getField(f"k{i}")
+        out = key.after(at) | (key.column.eqNullSafe(at) & out)
     return out
 
 
-@dataclass
-class _Cuts:
-    """Cut points of one order, first to last. A row's bucket is the number of cuts it passes.
+class GlobalOrder:
+    """One measured order. Make it with ``measure``.
 
-    A cut lies before all rows of a peer value, inside it at a tie-break key, or after it.
+    ``arrange`` gives the measured rows in the order, globally sorted; the figures
+    below it may then be added with ``withColumns``. ``tile_columns`` and
+    ``quantiles`` need no arranged frame.
     """
 
-    peers: list[tuple] = field(default_factory=list)
-    kinds: list[int] = field(default_factory=list)
-    ties: list[tuple] = field(default_factory=list)
-
-    def add(self, peer: tuple, kind: int, tie: tuple) -> None:
-        self.peers.append(peer)
-        self.kinds.append(kind)
-        self.ties.append(tie)
-
-    def runs(self) -> list[tuple[list[int], bool]]:
-        """Consecutive buckets in runs: the buckets of one frequent value, or one bucket alone."""
-        out: list[tuple[list[int], bool]] = [([0], False)]
-        for bucket, kind in enumerate(self.kinds, start=1):
-            if kind == _INSIDE:
-                out[-1] = ([*out[-1][0], bucket], True)
-            else:
-                out.append(([bucket], False))
-        return out
-
-
-def _sort_rows(rows: list[tuple], keys: Sequence[Key]) -> None:
-    for i, key in reversed(list(enumerate(keys))):
-        rows.sort(key=lambda r: (r[i] is not None, 0 if r[i] is None else r[i]), reverse=key.desc)
-
-
-def _choose_cuts(sample: list[tuple], spec: Spec, buckets: int) -> _Cuts:
-    _sort_rows(sample, spec.keys)
-    width = len(spec.peers)
-    picks: dict[tuple, list[tuple]] = {}
-    for i in range(1, buckets):
-        if not sample:
-            break
-        row = sample[i * len(sample) // buckets]
-        inner = picks.setdefault(row[:width], [])
-        if not inner or inner[-1] != row[width:]:
-            inner.append(row[width:])
-    cuts = _Cuts()
-    for peer, inner in picks.items():
-        nothing = (None,) * len(spec.ties)
-        cuts.add(peer, _START, nothing)
-        if len(inner) > 1:
-            for tie in inner:
-                cuts.add(peer, _INSIDE, tie)
-            cuts.add(peer, _AFTER, nothing)
-    return cuts
-
+    def __init__(self, frame: DataFrame, spec: Spec, rows: int, buckets: int):
+        number = next(_ids)
+        self._at, self._bucket, self._before = (f"__{n}{number}" for n in ("at", "bucket", "before"))
+        self._named_ties = bool(spec.ties)
+        if not spec.ties:
+            tie = f"__tie{number}"
+            # written before it decides where a row goes
+            frame = materialize(frame.withColumn(tie, F.monotonically_increasing_id()))
+            spec = replace(spec, ties=(Key(tie),))
+        self.spec, self.rows, self._buckets = spec, rows, buckets
+        keys = [key.sort() for key in spec.keys]
+        laid = frame.repartitionByRange(buckets, *keys).sortWithinPartitions(*keys)
+        self._table = materialize(laid.withColumn(self._at, F.monotonically_increasing_id()))
+        self._offsets = materialize(self._carried(self._measured()))
+
+    # -- what lies before each bucket
+
+    def _small(self, frame: DataFrame) -> DataFrame:
+        return broadcast_up_to(frame, self._buckets, BROADCAST_BUCKETS)
+
+    def _measured(self) -> DataFrame:
+        """Per bucket its rows, first and last row, and figures of its last group."""
+        spec, at = self.spec, F.col(self._at)
+        groups = [k.column.alias(f"g{i}") for i, k in enumerate(spec.groups)]
+        sums = [F.coalesce(Key(name).column, F.lit(0)).cast(_SUM_TYPE).alias(f"s{i}") for i, name in enumerate(spec.sums)]
+        rows = self._table.select(
+            F.shiftright(at, _PLACE_BITS).cast("int").alias("bucket"),
+            at.alias("at"),
+            *groups,
+            spec.by.column.alias("value"),
+            *sums,
+        )
+        # column by column, so that numbers and dates are kept in a hash aggregate
+        names = [f"g{i}" for i in range(len(groups))]
+        ends = rows.groupBy("bucket").agg(
+            F.min("at").alias("low"),
+            F.max("at").alias("high"),
+            *(F.min_by(c, "at").alias(f"first_{c}") for c in (*names, "value")),
+            *(F.max_by(c, "at").alias(f"last_{c}") for c in (*names, "value")),
+        )
 
-class GlobalOrder:
-    """One measured order. Make it with ``measure``.
+        def group(prefix: str) -> Column:
+            return F.struct(*(F.col(prefix + c).alias(c) for c in names)) if names else F.lit(0)
 
-    ``arrange`` lays a frame out in the order (one shuffle, already globally
-    sorted); the figures below it may then be added with ``withColumns``.
-    ``tile_columns`` and ``quantiles`` need no arranged frame.
-    """
+        edges = materialize(
+            ends.select(
+                "*", group("first_").alias("first_group"), group("last_").alias("last_group")
+            ).drop(*(end + c for c in names for end in ("first_", "last_")))
+        )
+        rows = rows.withColumn("group", group(""))
+        met = rows.join(self._small(edges), "bucket")
+        in_first = F.col("group").eqNullSafe(F.col("first_group"))
+        in_last = F.col("group").eqNullSafe(F.col("last_group"))
+        first_peer = in_first & F.col("value").eqNullSafe(F.col("first_value"))
+        last_peer = in_last & F.col("value").eqNullSafe(F.col("last_value"))
+        figures = met.groupBy("bucket").agg(
+            F.count_if(in_last).alias("last_rows"),
+            F.count_if(first_peer).alias("first_peers"),
+            F.count_if(last_peer).alias("last_peers"),
+            *(F.sum(F.when(in_last, F.col(f"s{i}"))).cast(_SUM_TYPE).alias(f"s{i}") for i in range(len(sums))),
+        )
+        out = edges.join(figures, "bucket")
+        if spec.dense:
+            values = met.where(in_last).groupBy("bucket", "value").agg(F.count("*").alias("n"))
+            out = out.join(values.groupBy("bucket").agg(F.count("*").alias("last_values")), "bucket")
+        else:
+            out = out.withColumn("last_values", F.lit(0).cast("bigint"))
+        return out.withColumn("rows", F.col("high") - F.col("low") + 1)
+
+    def _carried(self, buckets: DataFrame) -> DataFrame:
+        """Per bucket what lies before its first group's rows there.
+
+        ``rows``, ``distinct`` and ``sums``: of that group in earlier buckets. ``start``: rows before the value
+        that crosses the lower border, else null; ``end``: rows up to the end of the value that crosses the upper one. The
+        windows run over one row per bucket.
+        """
+        line = W.orderBy("bucket")
+        upto = line.rowsBetween(W.unboundedPreceding, W.currentRow)
+        onwards = line.rowsBetween(W.currentRow, W.unboundedFollowing)
+        same_group = W.partitionBy("last_group").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
+        zero = F.lit(0).cast("bigint")
+        inherits = (F.lag(F.lit(1), 1, 0).over(line) == 1) & F.lag("last_group").over(line).eqNullSafe(F.col("first_group"))
+        out = buckets.withColumns(
+            {
+                "inherits": inherits,
+                "crossed": inherits & F.lag("last_value").over(line).eqNullSafe(F.col("first_value")),
+                "one_group": F.col("first_group").eqNullSafe(F.col("last_group")),
+            }
+        ).withColumns(
+            {
+                "crosses": F.lead("crossed", 1, False).over(line),
+                "one_value": F.col("one_group") & F.col("first_value").eqNullSafe(F.col("last_value")),
+                "upto_rows": F.sum("last_rows").over(same_group),
+                "upto_values": F.sum(
+                    F.col("last_values") - (F.col("one_group") & F.col("crossed")).cast("bigint")
+                ).over(same_group),
+                **{f"upto_s{i}": F.sum(f"s{i}").over(same_group) for i in range(len(self.spec.sums))},
+            }
+        )
 
-    def __init__(self, frame: DataFrame, spec: Spec, cuts: _Cuts):
-        self.spec = spec
-        self._cuts = cuts
-        self._frame = frame
-        self._bucket = f"__bucket{next(_ids)}"
-        self._types = [frame.schema[key.name].dataType for key in spec.keys]
+        def inherited(name: str, otherwise: Column) -> Column:
+            return F.when(F.col("inherits"), F.lag(name).over(line)).otherwise(otherwise)
+
+        out = out.withColumn("rows_before", inherited("upto_rows", zero))
+        in_group = F.when(F.col("one_group"), F.col("rows_before")).otherwise(zero)
+        own_start = F.when(~(F.col("one_value") & F.col("crossed")), in_group + F.col("last_rows") - F.col("last_peers"))
+        own_end = F.when(~(F.col("one_value") & F.col("crosses")), F.col("rows_before") + F.col("first_peers"))
+        out = out.withColumns({"own_start": own_start, "own_end": own_end}).withColumns(
+            {
+                "last_start": F.last("own_start", ignorenulls=True).over(upto),
+                "first_end": F.first("own_end", ignorenulls=True).over(onwards),
+            }
+        )
+        none = F.lit(0).cast(_SUM_TYPE)
+        sums = F.array(*(inherited(f"upto_s{i}", none).cast(_SUM_TYPE) for i in range(len(self.spec.sums))))
+        return out.select(
+            F.col("bucket").alias(self._bucket),
+            F.struct(
+                F.col("first_group").alias("group"),
+                F.col("rows").alias("held"),
+                F.col("rows_before").alias("rows"),
+                (inherited("upto_values", zero) - F.col("crossed").cast("bigint")).alias("distinct"),
+                F.when(F.col("crossed"), F.lag("last_start").over(line)).alias("start"),
+                F.when(F.col("crosses"), F.lead("first_end").over(line)).alias("end"),
+                sums.cast(f"array<{_SUM_TYPE}>").alias("sums"),
+            ).alias(self._before),
+        )
 
     # -- layout
 
-    def _with_bucket(self, frame: DataFrame) -> DataFrame:
-        """Binary search over the cuts: each halving step is one generated projection."""
-        cuts, spec = self._cuts, self.spec
-        if not cuts.kinds:
-            return frame.withColumn(self._bucket, F.lit(0))
-        columns = [
-            *zip(*cuts.peers),
-            *(zip(*cuts.ties) if _INSIDE in cuts.kinds else ()),
-        ]
-        # each table is named once; the planner hands the one constant to every step
-        tables = {
-            f"{self._bucket}_cut{i}": _literal(values, type_)
-            for i, (values, type_) in enumerate(zip(columns, self._types))
-        }
-        kinds = f"{self._bucket}_kind"
-        search = [f"{table} AS {name}" for name, table in tables.items()]
-        search.append(f"{_literal(cuts.kinds, T.IntegerType())} AS {kinds}")
-        width = len(spec.peers)
-        steps = [1 << i for i in reversed(range(len(cuts.kinds).bit_length()))]
-        names = [f"{self._bucket}_{step}" for step in steps[:-1]] + [self._bucket]
-        at = "0"
-        for step, name in zip(steps, names):
-            cut = [f"get({table}, {at} + {step - 1})" for table in tables]
-            kind = f"get({kinds}, {at} + {step - 1})"
-            equal = f"{kind} = {_START}"
-            if len(cut) > width:
-                equal = f"({equal} OR ({kind} = {_INSIDE} AND {_beyond(spec.ties, cut[width:], 'true')}))"
-            # beyond the last cut every ``get`` is null; kind tells that from a null key
-            passed = f"{kind} IS NOT NULL AND {_beyond(spec.peers, cut[:width], equal)}"
-            search.append(f"{at} + IF({passed}, {step}, 0) AS {name}")
-            at = name
-        return frame.selectExpr("*", *search).drop(*tables, kinds, *names[:-1])
-
-    def arrange(self, frame: DataFrame) -> DataFrame:
-        """``frame`` (the measured rows, plus any columns) in this order, one bucket per partition.
-
-        With very many buckets the rows are written with their bucket first.
-        """
-        bucketed = self._with_bucket(frame)
-        if len(self._cuts.kinds) > CUTS_IN_PLAN:
-            bucketed = materialize(bucketed)
-        return bucketed.repartitionById(
-            len(self._cuts.kinds) + 1, F.col(self._bucket)
-        ).sortWithinPartitions(F.col(self._bucket), *(k.sort() for k in self.spec.keys))
-
-    @staticmethod
-    def _at(values: Sequence[Any], element: T.DataType, index: Column) -> Column:
-        return F.get(F.expr(_literal(values, element)), index)
-
-    # -- statistics
-
-    def _statistics(self, label: int) -> DataFrame:
-        """Per bucket: figures of its first and of its last group."""
-        spec = self.spec
-        value = F.col(spec.by.name)
-        distinct = F.lit(0).cast("bigint")
-        if spec.dense:
-            distinct = F.count_distinct(value) + F.max(value.isNull().cast("int"))
-        sums = [F.coalesce(F.sum(F.col(s)), F.lit(0)).cast(_SUM_TYPE) for s in spec.sums]
-        groups = (
-            self._with_bucket(self._frame)
-            .groupBy(self._bucket, *spec.within)
-            .agg(
-                F.count("*").alias("rows"),
-                distinct.alias("distinct"),
-                F.array(*sums).cast(f"array<{_SUM_TYPE}>").alias("sums"),
-            )
+    def arrange(self) -> DataFrame:
+        """The measured rows in this order, one bucket per partition."""
+        bucket = F.shiftright(self._at, _PLACE_BITS).cast("int")
+        known = self._table.withColumn(self._bucket, bucket).join(self._small(self._offsets), self._bucket)
+        return known.repartitionById(self._buckets, F.col(self._bucket)).sortWithinPartitions(
+            F.col(self._bucket), *(key.sort() for key in self.spec.keys)
         )
-        group = F.to_json(F.struct(*spec.within)) if spec.within else F.lit("{}")
-        figures = F.struct(group.alias("group"), "rows", "distinct", "sums")
-        order = F.struct(*spec.within) if spec.within else F.lit(0)
-        return groups.groupBy(F.col(self._bucket).alias("bucket")).agg(
-            F.sum("rows").alias("rows"),
-            F.min_by(figures, order).alias("first"),
-            F.max_by(figures, order).alias("last"),
-        ).withColumn("label", F.lit(label))
-
-    def _set_offsets(self, rows: Iterable[T.Row]) -> None:
-        by_bucket = {row["bucket"]: row for row in rows}
-        zero = (0, 0, [Decimal(0)] * len(self.spec.sums))
-        self.rows = 0
-        self._counts: list[int] = []
-        self._rows_before: list[int] = []
-        self._peers_before: list[int] = []
-        self._peer_rows: list[int | None] = []
-        self._distinct_before: list[int] = []
-        self._sums_before: list[list[Decimal]] = []
-        self._first_group: list[str] = []
-        group, carry = None, zero
-        for buckets, frequent in self._cuts.runs():
-            start = None
-            run_rows = 0
-            for bucket in buckets:
-                row = by_bucket.get(bucket)
-                before = carry if row and row["first"]["group"] == group else zero
-                if start is None and row:
-                    start = before
-                self._counts.append(row["rows"] if row else 0)
-                self._rows_before.append(before[0])
-                self._sums_before.append(before[2])
-                self._peers_before.append((start or zero)[0])
-                self._distinct_before.append((start or zero)[1])
-                self._first_group.append(row["first"]["group"] if row else "{}")
-                if not row:
-                    continue
-                run_rows += row["rows"]
-                first, last = row["first"], row["last"]
-                base = before if first["group"] == last["group"] else zero
-                # a value cut into several buckets is still one distinct value
-                seen = start[1] + 1 if frequent else base[1] + last["distinct"]
-                carry = (
-                    base[0] + last["rows"],
-                    seen,
-                    [a + b for a, b in zip(base[2], last["sums"])],
-                )
-                group = last["group"]
-            self.rows += run_rows
-            self._peer_rows.extend([run_rows if frequent else None] * len(buckets))
 
     # -- figures on an arranged frame
 
-    def _offset(self, values: Sequence[Any], element: T.DataType) -> Column:
-        offset = self._at(values, element, F.col(self._bucket))
+    def _carry(self, name: str) -> Column:
+        return F.col(f"{self._before}.{name}")
+
+    def _inherits(self) -> Column:
         if not self.spec.within:
-            return offset
-        schema = self._frame.select(*self.spec.within).schema
-        firsts = F.expr(_json_literal(f"[{','.join(self._first_group)}]", schema))
-        same = F.struct(*self.spec.within).eqNullSafe(F.get(firsts, F.col(self._bucket)))
-        return F.when(same, offset).otherwise(F.lit(0))
+            return F.lit(True)
+        group = F.struct(*(k.column.alias(f"g{i}") for i, k in enumerate(self.spec.groups)))
+        return group.eqNullSafe(self._carry("group"))
 
     def _window(self, total: bool) -> Any:
         keys = [self.spec.by, *(self.spec.ties if total else ())]
-        return W.partitionBy(self._bucket, *self.spec.within).orderBy(*(k.sort() for k in keys))
+        groups = (key.column for key in self.spec.groups)
+        return W.partitionBy(self._bucket, *groups).orderBy(*(k.sort() for k in keys))
+
+    def _added(self, local: Column, before: Column) -> Column:
+        return local + F.when(self._inherits(), before).otherwise(F.lit(0))
 
     def rank(self) -> Column:
         local = F.rank().over(self._window(total=False))
-        return local + self._offset(self._peers_before, T.LongType())
+        crossed = self._inherits() & (local == 1) & self._carry("start").isNotNull()
+        return F.when(crossed, self._carry("start") + 1).otherwise(self._added(local, self._carry("rows")))
 
     def dense_rank(self) -> Column:
         if not self.spec.dense:
             raise ValueError("measure the order with dense=True")
-        local = F.dense_rank().over(self._window(total=False))
-        return local + self._offset(self._distinct_before, T.LongType())
+        return self._added(F.dense_rank().over(self._window(total=False)), self._carry("distinct"))
 
     def row_number(self) -> Column:
-        local = F.row_number().over(self._window(total=True))
-        return local + self._offset(self._rows_before, T.LongType())
+        return self._added(F.row_number().over(self._window(total=True)), self._carry("rows"))
 
     def running_sum(self, name: str) -> Column:
         at = self.spec.sums.index(name)
         window = self._window(total=True).rowsBetween(W.unboundedPreceding, W.currentRow)
-        offsets = [str(sums[at]) for sums in self._sums_before]
-        return F.coalesce(F.sum(name).over(window), F.lit(0)) + self._offset(
-            offsets, T.DecimalType(38, 6)
-        )
+        local = F.coalesce(F.sum(Key(name).column).over(window), F.lit(0))
+        return self._added(local, self._carry("sums")[at])
 
     def cume_dist(self) -> Column:
         self._whole("cume_dist")
         local = F.count("*").over(self._window(total=False))
-        peers = self._at(self._peer_rows, T.LongType(), F.col(self._bucket))
-        upto = self._offset(self._peers_before, T.LongType()) + F.coalesce(peers, local)
+        crosses = (local == self._carry("held")) & self._carry("end").isNotNull()
+        upto = F.when(crosses, self._carry("end")).otherwise(self._carry("rows") + local)
         return upto.cast("double") / F.lit(float(max(self.rows, 1)))
 
     def percent_rank(self) -> Column:
@@ -358,8 +299,11 @@ class GlobalOrder:
         self._whole("ntile")
         if reverse:
             number = F.lit(self.rows + 1) - number
-        starts = F.expr(_literal([1, *self._tile_starts(tiles)], T.LongType()))
-        return F.size(F.filter(starts, lambda s: s <= number)).cast("bigint")
+        small, extra = divmod(self.rows, tiles)
+        place, larger = number - 1, extra * (small + 1)
+        in_larger = F.floor(place / F.lit(small + 1)) + 1
+        in_small = F.floor((place - larger) / F.lit(max(small, 1))) + 1 + extra
+        return F.when(place < larger, in_larger).otherwise(in_small).cast("bigint")
 
     def _whole(self, what: str) -> None:
         if self.spec.within:
@@ -367,52 +311,19 @@ class GlobalOrder:
 
     # -- single rows of the order
 
-    def _holds(self, bucket: int) -> str:
-        """SQL: whether a bucket holds the row, from its two cuts alone: a filter, not a search."""
-        cuts, spec = self._cuts, self.spec
-
-        def passed(i: int) -> str:
-            row = (*cuts.peers[i], *cuts.ties[i])
-            cut = [f"get({_literal([v], t)}, 0)" for v, t in zip(row, self._types)]
-            equal = "true" if cuts.kinds[i] == _START else "false"
-            if cuts.kinds[i] == _INSIDE:
-                equal = _beyond(spec.ties, cut[len(spec.peers) :], "true")
-            return _beyond(spec.peers, cut[: len(spec.peers)], equal)
-
-        low = passed(bucket - 1) if bucket else "true"
-        high = passed(bucket) if bucket < len(cuts.kinds) else "false"
-        return f"{low} AND NOT {high}"
-
-    def _located(self, positions: Iterable[int], label: int) -> DataFrame | None:
-        """The rows at 1-based positions; only the buckets that hold them are shuffled."""
-        ends = list(itertools.accumulate(self._counts))
-        wanted = []
-        for pos in set(positions):
-            bucket = next(b for b, end in enumerate(ends) if end >= pos)
-            wanted.append((bucket, pos - (ends[bucket] - self._counts[bucket]), pos))
-        if not wanted:
-            return None
-        inside = " ".join(
-            f"WHEN {self._holds(b)} THEN {b}" for b in sorted({w[0] for w in wanted})
-        )
-        hit = " ".join(f"WHEN {self._bucket} = {b} AND rn = {rn} THEN {p}" for b, rn, p in wanted)
-        frame = self._frame.withColumn(self._bucket, F.expr(f"CASE {inside} END"))
-        frame = frame.filter(F.col(self._bucket).isNotNull())
-        frame = frame.withColumn("rn", F.row_number().over(self._window(total=True)))
-        keys = F.struct(*(F.col(k.name).alias(f"k{i}") for i, k in enumerate(self.spec.keys)))
-        by = F.col(self.spec.by.name)
-        numeric = isinstance(self._types[len(self.spec.within)], T.NumericType)
-        value = by.cast("double") if numeric else F.lit(None).cast("double")
-        return (
-            frame.withColumn("position", F.expr(f"CASE {hit} END").cast("bigint"))
-            .filter(F.col("position").isNotNull())
-            .select(
-                F.lit(label).alias("label"),
-                "position",
-                value.alias("value"),
-                F.to_json(keys).alias("keys"),
-            )
-        )
+    def _places(self, positions: Iterable[int]) -> dict[int, int]:
+        """The number a row was written with, for each 1-based position."""
+        self._whole("a position")
+        low, high = self._carry("rows"), self._carry("rows") + self._carry("held")
+        wanted = F.array(*(F.lit(p).cast("bigint") for p in sorted(set(positions))))
+        inside = F.filter(wanted, lambda p: (p > low) & (p <= high))
+        at = F.shiftleft(F.col(self._bucket).cast("bigint"), _PLACE_BITS) + F.col("position") - F.col("low") - 1
+        found = self._offsets.select(self._bucket, low.alias("low"), F.explode(inside).alias("position"))
+        return {r["position"]: r["at"] for r in found.select("position", at.alias("at")).collect()}
+
+    def _rows_at(self, places: Iterable[int]) -> DataFrame:
+        """Rows by the number they were written with: only the files that hold them are read."""
+        return self._table.where(F.col(self._at).isin(list(places)))
 
     def _tile_starts(self, tiles: int) -> list[int]:
         small, extra = divmod(self.rows, tiles)
@@ -420,64 +331,41 @@ class GlobalOrder:
         starts = itertools.accumulate(sizes, initial=1)
         return [s for s in list(starts)[1:tiles] if s <= self.rows]
 
-    def _tile_column(self, cuts: list[str]) -> Column:
-        schema = T.StructType(
-            [T.StructField(f"k{i}", type_) for i, type_ in enumerate(self._types)]
-        )
-        table = _json_literal(f"[{','.join(cuts)}]", schema)
-        tile = F.lit(1)
-        for i in range(len(cuts)):
-            cut = [f"get({table}, {i}).{name}" for name in schema.names]
-            tile = tile + F.expr(_beyond(self.spec.keys, cut, "true")).cast("int")
-        return tile.cast("bigint")
-
-
-def measure(frame: DataFrame, *specs: Spec, buckets: int | None = None) -> list[GlobalOrder]:
-    """Cut points and bucket offsets for every order, over one written frame."""
-    rows = frame.count()
+    def tile_column(self, tiles: int) -> Column:
+        """NTILE without moving the frame: the number of tiles that start at or before a row. The rows they start with are
+        looked up exactly and stay in Spark, with the types they have."""
+        if not self._named_ties:
+            raise ValueError("tiles need tie-break keys that the frame has")
+        starts = self._tile_starts(tiles)
+        if not starts:
+            return F.lit(1).cast("bigint")
+        places = self._places(starts).values()
+        keys = F.struct(*(k.column.alias(f"k{i}") for i, k in enumerate(self.spec.keys)))
+        cuts = self._rows_at(places).agg(F.collect_list(keys).alias("cuts")).scalar()
+        reached = (_reached(self.spec.keys, F.get(cuts, F.lit(i))).cast("bigint") for i in range(len(places)))
+        return sum(reached, F.lit(1).cast("bigint"))
+
+
+def measure(
+    frame: DataFrame, *specs: Spec, buckets: int | None = None, rows: int | None = None, keys_only: bool = False
+) -> list[GlobalOrder]:
+    """Lay ``frame`` out in every order. ``rows`` is its row count if known; with ``keys_only`` nothing but the
+    sort keys and sums is written, enough for tiles and quantiles."""
+    rows = frame.count() if rows is None else rows
     cores = frame.sparkSession.sparkContext.defaultParallelism
     spread = min(cores, max(MIN_BUCKETS, rows // SMALL_BUCKET))
-    n = buckets or min(MAX_BUCKETS, max(spread, rows // ROWS_PER_BUCKET))
-    names = list(dict.fromkeys(key.name for spec in specs for key in spec.keys))
-    fraction = min(1.0, SAMPLE_PER_BUCKET * n / max(rows, 1))
-    sample = frame.select(*names).sample(fraction, seed=11).collect()
+    n = buckets or max(spread, rows // ROWS_PER_BUCKET)
     orders = []
     for spec in specs:
-        keys = [tuple(row[key.name] for key in spec.keys) for row in sample]
-        orders.append(GlobalOrder(frame, spec, _choose_cuts(keys, spec, n)))
-    stats = [order._statistics(i) for i, order in enumerate(orders)]
-    union = stats[0]
-    for other in stats[1:]:
-        union = union.unionByName(other)
-    collected = union.collect()
-    for i, order in enumerate(orders):
-        order._set_offsets(row for row in collected if row["label"] == i)
+        names = dict.fromkeys([*(key.name for key in spec.keys), *spec.sums])
+        narrow = frame.select(*(Key(name).column for name in names)) if keys_only else frame
+        orders.append(GlobalOrder(narrow, spec, rows, n))
     return orders
 
 
-def _locate(wanted: list[tuple[GlobalOrder, list[int]]]) -> dict[tuple[int, int], T.Row]:
-    parts = [order._located(positions, i) for i, (order, positions) in enumerate(wanted)]
-    parts = [p for p in parts if p is not None]
-    if not parts:
-        return {}
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return {(row["label"], row["position"]): row for row in union.collect()}
-
-
 def tile_columns(orders: Sequence[GlobalOrder], tiles: int) -> list[Column]:
-    """NTILE of several orders without moving the frame.
-
-    An NTILE is ``tiles - 1`` cuts in the order. They are looked up exactly (one
-    job) and the tile of a row is the number of cuts at or before it.
-    """
-    starts = [order._tile_starts(tiles) for order in orders]
-    found = _locate(list(zip(orders, starts)))
-    return [
-        order._tile_column([found[i, s]["keys"] for s in starts[i]])
-        for i, order in enumerate(orders)
-    ]
+    """NTILE of several orders, for the measured frame or any other with the same keys."""
+    return [order.tile_column(tiles) for order in orders]
 
 
 def quantiles(order: GlobalOrder, fractions: Sequence[float]) -> list[float | None]:
@@ -488,9 +376,11 @@ def quantiles(order: GlobalOrder, fractions: Sequence[float]) -> list[float | No
     positions = [[math.floor(s) + 1, math.ceil(s) + 1] for s in spots]
     if order.spec.by.desc:
         positions = [[order.rows + 1 - p for p in pair] for pair in positions]
-    found = _locate([(order, list(itertools.chain.from_iterable(positions)))])
+    places = order._places(itertools.chain.from_iterable(positions))
+    rows = order._rows_at(places.values()).select(order._at, order.spec.by.column.cast("double").alias("value"))
+    values = {r[order._at]: r["value"] for r in rows.collect()}
     out = []
     for spot, (low, high) in zip(spots, positions):
-        a, b = found[0, low]["value"], found[0, high]["value"]
+        a, b = values[places[low]], values[places[high]]
         out.append(a + (b - a) * (spot - math.floor(spot)))
     return out

@@ -20,7 +20,7 @@ from salesloom.operators.ordering import GlobalOrder, Key, Spec, measure
 def _arranged(frame: DataFrame, spec: Spec, written: bool) -> tuple[DataFrame, GlobalOrder]:
     table = frame if written else materialize(frame)
     (order,) = measure(table, spec)
-    return order.arrange(table), order
+    return order.arrange(), order
 
 
 def _only(frame: DataFrame, before: DataFrame, out: str) -> DataFrame:
@@ -41,7 +41,7 @@ def global_rank(
     out: str = "rank",
     written: bool = False,
 ) -> DataFrame:
-    """RANK or DENSE_RANK. ``ties`` do not change it; they let one frequent value be spread."""
+    """RANK or DENSE_RANK. ``ties`` do not change it; without them rows of one value are spread by their number."""
     spec = Spec(Key(by, desc), _ties(ties), within=tuple(within), dense=dense)
     arranged, order = _arranged(frame, spec, written)
     figure = order.dense_rank() if dense else order.rank()

@@ -22,7 +22,7 @@ def customer_pareto(retail: Retail, tiles: int = 5) -> DataFrame:
         known, Spec(Key("Revenue", desc=True), (Key("CustomerID"),), sums=("Revenue",))
     )
     return (
-        order.arrange(known)
+        order.arrange()
         .withColumns(
             {
                 "RevenueRank": order.rank(),
@@ -81,10 +81,10 @@ def rfm(
     """``base`` (a written table) with R, F and M scores, their total and the segment.
 
     Each key sorts the best customers first; score 1 is the best. The three scores
-    are cuts in three orders, so no row moves to get them.
+    are cuts in three orders of the bare keys, so no wide row moves to get them.
     """
     tie = (Key(customer),)
-    orders = measure(base, *(Spec(key, tie) for key in (recency, frequency, monetary)))
+    orders = measure(base, *(Spec(key, tie) for key in (recency, frequency, monetary)), keys_only=True)
     r, f, m = tile_columns(orders, tiles)
     score = F.col("RFM_Total")
     champion, loyal, potential = cuts

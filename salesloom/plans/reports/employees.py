@@ -47,17 +47,22 @@ def agent_scorecard(
     """Sales, discount and efficiency ranks per employee, with a tier and a discount flag."""
     base = materialize(employee_figures(retail))
     tie = (Key("EmployeeID"),)
-    discount, efficiency, revenue = measure(
+    discount, efficiency = measure(
         base,
         Spec(Key("AvgDiscountPct", desc=True), tie),
         Spec(Key("RevenuePerOrder", desc=True), tie),
+        keys_only=True,
+    )
+    discounts = discount.arrange().select("EmployeeID", discount.rank().alias("DiscountRank"))
+    efficiencies = efficiency.arrange().select("EmployeeID", efficiency.rank().alias("EfficiencyRank"))
+    (revenue,) = measure(
+        base.join(discounts, "EmployeeID").join(efficiencies, "EmployeeID"),
         Spec(Key("TotalRevenue", desc=True), tie),
+        rows=discount.rows,
     )
     low, high, top = quantiles(revenue, [low_quantile, high_quantile, 1.0])
     mean = base.agg(ratio(F.sum("TotalRevenue"), F.count("TotalRevenue")).alias("mean")).scalar()
-    ranked = discount.arrange(base).withColumn("DiscountRank", discount.rank())
-    ranked = efficiency.arrange(ranked).withColumn("EfficiencyRank", efficiency.rank())
-    ranked = revenue.arrange(ranked).withColumn("RevenueRank", revenue.rank())
+    ranked = revenue.arrange().withColumn("RevenueRank", revenue.rank())
     earned = F.col("TotalRevenue").cast("double")
     generous = F.col("AvgDiscountPct").cast("double") > high_discount
     return ranked.select(
@@ -102,17 +107,17 @@ def _region_hires(retail: Retail) -> DataFrame:
 def territory_coverage(retail: Retail) -> DataFrame:
     """Territories per employee and region, and the earliest hire in that region."""
     base = materialize(_region_hires(retail).join(retail.employees(), "EmployeeID"))
-    (order,) = measure(
-        base, Spec(Key("TerritoryCount", desc=True), (Key("EmployeeID"), Key("RegionID")))
-    )
     # a missing date comes first, as in an ascending order that begins with nulls
     unknown = F.count_if(F.col("HireDate").isNull()) > 0
     first_hires = base.groupBy("RegionID").agg(
         F.when(~unknown, F.min("HireDate")).alias("EarliestHireInRegion")
     )
     with_first = base.join(broadcast_up_to(first_hires, retail.region_count()), "RegionID")
+    (order,) = measure(
+        with_first, Spec(Key("TerritoryCount", desc=True), (Key("EmployeeID"), Key("RegionID"))), rows=base.count()
+    )
     return (
-        order.arrange(with_first)
+        order.arrange()
         .withColumn("TerritoryRank", order.rank())
         .select(
             "EmployeeID",

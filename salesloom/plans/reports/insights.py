@@ -105,14 +105,15 @@ def product_dense_rank(retail: Retail) -> DataFrame:
     """Products by units sold: dense rank in the category and overall."""
     known = retail.product_base().filter("Known")
     tie = (Key("ProductID"),)
-    in_category, overall = measure(
-        known,
-        Spec(Key("Units", desc=True), tie, within=("CategoryName",), dense=True),
-        Spec(Key("Units", desc=True), tie, dense=True),
+    (in_category,) = measure(
+        known, Spec(Key("Units", desc=True), tie, within=("CategoryName",), dense=True), keys_only=True
+    )
+    ranks = in_category.arrange().select("ProductID", in_category.dense_rank().alias("DenseRankInCategory"))
+    (overall,) = measure(
+        known.join(ranks, "ProductID"), Spec(Key("Units", desc=True), tie, dense=True), rows=in_category.rows
     )
-    ranked = in_category.arrange(known).withColumn("DenseRankInCategory", in_category.dense_rank())
     return (
-        overall.arrange(ranked)
+        overall.arrange()
         .withColumn("DenseRank", overall.dense_rank())
         .select(
             "CategoryName",
@@ -234,9 +235,9 @@ def monthly_run_rate(retail: Retail, first_month: int = 1, last_month: int = 12)
 
 def recent_demand(retail: Retail, months: int = 3, low_factor: float = 1.5) -> DataFrame:
     """Units sold lately of every active product whose stock is not OK, most demanded first."""
-    orders = retail.orders()
-    since = F.add_months(total(orders, F.max("OrderDate")), -months)
-    recent = orders.filter(F.col("OrderDate") > since).select("OrderID")
+    # one value, fetched first: as a literal the bound reaches the scan
+    latest = retail.orders().agg(F.add_months(F.max("OrderDate"), -months)).first()[0]
+    recent = retail.orders_after(latest).select("OrderID")
     demand = (
         retail.lines()
         .join(recent, "OrderID")

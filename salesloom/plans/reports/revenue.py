@@ -64,14 +64,18 @@ def product_pareto(retail: Retail) -> DataFrame:
     base = retail.product_base()
     grand_total = total(base, money(F.sum("NetU")))
     known = base.filter("Known")
-    in_category, overall = measure(
-        known,
-        Spec(Key("Revenue", desc=True), (Key("ProductID"),), within=("CategoryName",)),
-        Spec(Key("Revenue", desc=True), (Key("ProductID"),), sums=("Revenue",)),
+    tie = (Key("ProductID"),)
+    (in_category,) = measure(
+        known, Spec(Key("Revenue", desc=True), tie, within=("CategoryName",)), keys_only=True
+    )
+    ranks = in_category.arrange().select("ProductID", in_category.rank().alias("RankInCategory"))
+    (overall,) = measure(
+        known.join(ranks, "ProductID"),
+        Spec(Key("Revenue", desc=True), tie, sums=("Revenue",)),
+        rows=in_category.rows,
     )
-    ranked = in_category.arrange(known).withColumn("RankInCategory", in_category.rank())
     return (
-        overall.arrange(ranked)
+        overall.arrange()
         .withColumns({"GlobalRank": overall.rank(), "Running": overall.running_sum("Revenue")})
         .select(
             "CategoryName",

@@ -128,7 +128,7 @@ def order_size_delivery(
     )
     (order,) = measure(base, Spec(Key("OrderRevenue", desc=True), (Key("OrderID", desc=True),)))
     return (
-        order.arrange(base)
+        order.arrange()
         .withColumn("Position", order.row_number())
         .select(
             "OrderID",

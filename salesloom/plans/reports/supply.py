@@ -54,7 +54,7 @@ def stock_risk(retail: Retail, low_factor: float = 1.5) -> DataFrame:
         base, Spec(Key("UnitsInStock"), (Key("ReorderLevel", desc=True), Key("ProductID")))
     )
     return (
-        order.arrange(base)
+        order.arrange()
         .withColumns({"StockCumDist": order.cume_dist(), "StockPercentile": order.percent_rank()})
         .select(
             "Supplier",
@@ -90,16 +90,16 @@ def supplier_portfolio(retail: Retail) -> DataFrame:
         )
     )
     base = materialize(portfolio.join(retail.suppliers(), "SupplierID"))
-    by_stock, by_size = measure(
-        base,
-        Spec(Key("TotalUnitsInStock", desc=True), (Key("SupplierID"),)),
-        Spec(Key("TotalProducts", desc=True), (Key("ActiveProducts", desc=True), Key("SupplierID"))),
-    )
+    tie = (Key("SupplierID"),)
+    (by_stock,) = measure(base, Spec(Key("TotalUnitsInStock", desc=True), tie), keys_only=True)
+    ranks = by_stock.arrange().select("SupplierID", by_stock.rank().alias("StockRank"))
     countries = base.groupBy("Country").agg(F.sum("TotalUnitsInStock").alias("TotalStockByCountry"))
-    ranked = base.join(broadcast_up_to(countries, countries.count()), "Country")
-    ranked = by_stock.arrange(ranked).withColumn("StockRank", by_stock.rank())
+    ranked = base.join(broadcast_up_to(countries, countries.count()), "Country").join(ranks, "SupplierID")
+    (by_size,) = measure(
+        ranked, Spec(Key("TotalProducts", desc=True), (Key("ActiveProducts", desc=True), *tie)), rows=by_stock.rows
+    )
     return (
-        by_size.arrange(ranked)
+        by_size.arrange()
         .withColumn("PortfolioSizeRank", by_size.rank())
         .select(
             "CompanyName",

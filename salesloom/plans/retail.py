@@ -19,7 +19,8 @@ discount in basis points.
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from datetime import date, datetime, time, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,8 @@ class Retail(ABC):
     def lines(self) -> DataFrame: ...
 
     @abstractmethod
-    def orders(self) -> DataFrame: ...
+    def orders(self, stored: DataFrame | None = None) -> DataFrame:
+        """All orders, or those among the rows ``stored`` of the stored table."""
 
     @abstractmethod
     def customers(self) -> DataFrame: ...
@@ -81,6 +83,17 @@ class Retail(ABC):
     def employee_totals(self) -> DataFrame:
         """EmployeeID, TotalOrders, TotalUnitsSold, NetU, DiscountBp (summed), Rated (lines with a discount given)."""
 
+    def orders_after(self, day: date) -> DataFrame:
+        """Orders dated later than ``day``, or none if it is null; the bound is a literal on the stored column."""
+        stored, column = self._dated_orders()
+        # the first instant of the next day: dates later than a day, whatever their time
+        bound = F.lit(None if day is None else datetime.combine(day + timedelta(days=1), time())).cast("timestamp_ntz")
+        return self.orders(stored.filter(F.col(column) >= bound))
+
+    @abstractmethod
+    def _dated_orders(self) -> tuple[DataFrame, str]:
+        """The stored orders and their date column."""
+
     @abstractmethod
     def employee_sales(self) -> DataFrame:
         """EmployeeID, OrderDate, NetU: any number of rows per employee and day."""
@@ -93,37 +106,36 @@ class Retail(ABC):
     def _delivery(self, book: DataFrame) -> DataFrame:
         """Add ShipperID, ShippedDate, RequiredDate, Freight to orders joined with their totals."""
 
-    def _line_measures(self) -> list[Column]:
-        """Extra per-order aggregates a source needs for its delivery columns."""
-        return []
+    def _line_measures(self) -> dict[str, tuple[Column, Callable[[str], Column]]]:
+        """Extra per-order aggregates a source needs for its delivery columns, and what combines them."""
+        return {}
 
     def order_totals(self, products: bool = False) -> DataFrame:
         """One row per order that has lines.
 
         Sums are combined before the shuffle, so an order with any number of lines
-        costs a handful of rows. Distinct products are counted beside the sums, not
-        with them: only the two keys travel as pairs (order, product), the pairs of a
-        huge order stay spread out, and both halves meet already partitioned by order.
+        costs a handful of rows. With ``products`` one scan is summed by (order, product)
+        first and by order then: the pairs of a huge order stay spread out, and the second
+        step counts them.
         """
-        lines = self.lines()
-        totals = lines.groupBy("OrderID").agg(
-            F.sum("Quantity").alias("Units"),
-            F.sum("NetU").alias("NetU"),
-            F.sum("GrossU").alias("GrossU"),
-            F.count("*").alias("Lines"),
-            F.count("NetU").alias("PricedLines"),
-            F.count_if(F.col("DiscountBp") > 0).alias("DiscountedLines"),
-            *self._line_measures(),
-        )
+        measures = {
+            "Units": (F.sum("Quantity"), F.sum),
+            "NetU": (F.sum("NetU"), F.sum),
+            "GrossU": (F.sum("GrossU"), F.sum),
+            "Lines": (F.count("*"), F.sum),
+            "PricedLines": (F.count("NetU"), F.sum),
+            "DiscountedLines": (F.count_if(F.col("DiscountBp") > 0), F.sum),
+            **self._line_measures(),
+        }
+        keys = ["OrderID", "ProductID"] if products else ["OrderID"]
+        totals = self.lines().groupBy(*keys).agg(*(first.alias(n) for n, (first, _) in measures.items()))
         if not products:
             return totals
-        distinct = (
-            lines.select("OrderID", "ProductID")
-            .distinct()
-            .groupBy("OrderID")
-            .agg(F.count("ProductID").alias("Products"))
+        types = dict(totals.dtypes)
+        return totals.groupBy("OrderID").agg(
+            *(again(n).cast(types[n]).alias(n) for n, (_, again) in measures.items()),
+            F.count("ProductID").alias("Products"),
         )
-        return totals.join(distinct, "OrderID")
 
     def order_book(self, how: str, products: bool = False) -> DataFrame:
         """Orders joined with their line totals, both unique on OrderID.
@@ -195,8 +207,11 @@ class CsvRetail(Retail):
             fine_gross(price).alias("GrossU"),
         )
 
-    def orders(self) -> DataFrame:
-        return self.tables["orders"].select(
+    def _dated_orders(self) -> tuple[DataFrame, str]:
+        return self.tables["orders"], "OrderDate"
+
+    def orders(self, stored: DataFrame | None = None) -> DataFrame:
+        return (self.tables["orders"] if stored is None else stored).select(
             "OrderID",
             "CustomerID",
             "EmployeeID",
@@ -331,11 +346,14 @@ class StarRetail(Retail):
             F.to_date("l_shipdate").alias("ShipDate"),
         )
 
-    def _line_measures(self) -> list[Column]:
-        return [F.sum("FreightU").alias("FreightU"), F.max("ShipDate").alias("LastShip")]
+    def _line_measures(self) -> dict[str, tuple[Column, Callable[[str], Column]]]:
+        return {"FreightU": (F.sum("FreightU"), F.sum), "LastShip": (F.max("ShipDate"), F.max)}
+
+    def _dated_orders(self) -> tuple[DataFrame, str]:
+        return self.tables["orders"], "o_orderdate"
 
-    def orders(self) -> DataFrame:
-        return self.tables["orders"].select(
+    def orders(self, stored: DataFrame | None = None) -> DataFrame:
+        return (self.tables["orders"] if stored is None else stored).select(
             F.col("o_orderkey").alias("OrderID"),
             F.col("o_custkey").alias("CustomerID"),
             F.to_date("o_orderdate").alias("OrderDate"),
@@ -459,21 +477,29 @@ class StarRetail(Retail):
         return self.tables["region"].count()
 
     def employee_totals(self) -> DataFrame:
-        """Sums by employee shrink before the shuffle; only the key pairs travel line by line."""
-        lines = self.lines()
-        sums = lines.groupBy("EmployeeID").agg(
-            F.sum("Quantity").alias("TotalUnitsSold"),
-            F.sum("NetU").alias("NetU"),
-            F.sum("DiscountBp").alias("DiscountBp"),
-            F.count("DiscountBp").alias("Rated"),
+        """One scan, summed by (employee, order) first and by employee then, which counts the orders; lines without
+        an employee are no one's."""
+        pairs = (
+            self.lines()
+            .groupBy("EmployeeID", "OrderID")
+            .agg(
+                F.sum("Quantity").alias("Units"),
+                F.sum("NetU").alias("NetU"),
+                F.sum("DiscountBp").alias("DiscountBp"),
+                F.count("DiscountBp").alias("Rated"),
+            )
         )
-        orders = (
-            lines.select("EmployeeID", "OrderID")
-            .distinct()
+        return (
+            pairs.where("EmployeeID IS NOT NULL")
             .groupBy("EmployeeID")
-            .agg(F.count("*").alias("TotalOrders"))
+            .agg(
+                F.sum("Units").alias("TotalUnitsSold"),
+                F.sum("NetU").cast("decimal(38,0)").alias("NetU"),
+                F.sum("DiscountBp").alias("DiscountBp"),
+                F.sum("Rated").alias("Rated"),
+                F.count("*").alias("TotalOrders"),
+            )
         )
-        return sums.join(orders, "EmployeeID")
 
     def employee_sales(self) -> DataFrame:
         dates = self.orders().select("OrderID", "OrderDate")

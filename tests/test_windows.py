@@ -80,7 +80,7 @@ def test_random_frames(spark, vs, desc, buckets):
     ).coalesce(1)
     (order,) = measure(frame, Spec(Key("v", desc), (Key("id"),)), buckets=buckets)
     by = F.col("v").desc() if desc else F.col("v").asc()
-    got = order.arrange(frame).withColumns({"a": order.rank(), "b": order.row_number()})
+    got = order.arrange().withColumns({"a": order.rank(), "b": order.row_number()})
     want = frame.withColumns(
         {"a": F.rank().over(W.orderBy(by)), "b": F.row_number().over(W.orderBy(by, "id"))}
     )
