@@ -27,6 +27,7 @@ REPORTS: dict[str, Callable[..., DataFrame]] = {
     "q13_carrier_sla": shipping.carrier_sla,
     "q14_order_size_delivery": shipping.order_size_delivery,
     "x1_month_agent_pivot": insights.monthly_pivot,
+    "x1_monthly_sales": insights.monthly_sales,
     "x2_median_order_value": insights.median_order_value,
     "x3_dense_rank_lead": insights.category_quarters,
     "x3_product_dense_rank": insights.product_dense_rank,
@@ -37,6 +38,8 @@ REPORTS: dict[str, Callable[..., DataFrame]] = {
     "x8_recent_demand": insights.recent_demand,
     "x9_late_rate_by_size": insights.late_rate_by_size,
     "x10_revenue_per_territory": insights.revenue_per_territory,
+    "x11_discounted_lines": insights.discounted_lines,
+    "x12_discount_revenue": insights.discount_revenue_correlation,
 }
 
 

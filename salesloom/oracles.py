@@ -528,6 +528,20 @@ s AS (
   COUNT(*) FILTER (WHERE freight > revenue * 0.2) AS HighFreightOrders,
   {_pct("COUNT(*) FILTER (WHERE shipped > required)", "COUNT(shipped)", 1)} AS LatePct
 FROM s GROUP BY size""",
+    "x1_monthly_sales": _with(_LINES)
+    + f"""SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS Month, CAST(s_suppkey AS BIGINT) AS EmployeeID,
+  s_name AS EmployeeName, {_r("SUM(net)", 2)} AS Revenue
+FROM li JOIN orders ON l_orderkey = o_orderkey
+JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+GROUP BY 1, 2, 3""",
+    "x11_discounted_lines": _with(_LINES)
+    + f"""SELECT CASE WHEN disc > 0 THEN 'Discounted' ELSE 'Undiscounted' END AS LineKind, COUNT(*) AS Lines,
+  {_pct("COUNT(*)", "SUM(COUNT(*)) OVER ()", 1)} AS SharePct,
+  {_r(_ratio("SUM(qty)", "COUNT(qty)"), 2)} AS AvgQuantity, {_r("MAX(disc) * 100", 2)} AS MaxDiscountPct
+FROM li GROUP BY 1""",
+    "x12_discount_revenue": _with(_LINES, _AGENTS)
+    + f"""SELECT COUNT(*) AS Employees, ROUND(CORR({_d("disc_pct")}, {_d("revenue")}), 3) AS Correlation
+FROM agent""",
     "x10_revenue_per_territory": _with(
         _LINES,
         _AGENTS,

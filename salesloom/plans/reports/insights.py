@@ -20,6 +20,30 @@ from salesloom.plans.reports.supply import STOCK_OK, stock_status
 from salesloom.plans.retail import Retail
 
 MAX_PIVOT_COLUMNS = 1000
+NO_LABEL = "(none)"
+
+
+def monthly_sales(retail: Retail) -> DataFrame:
+    """Monthly revenue per employee, a row for each: the report behind the pivot, for any number of employees."""
+    return (
+        retail.employee_sales()
+        .groupBy("EmployeeID", F.trunc("OrderDate", "month").alias("Month"))
+        .agg(F.sum("NetU").alias("NetU"))
+        .join(retail.employees(), "EmployeeID")
+        .orderBy("Month", "EmployeeID")
+        .select("Month", "EmployeeID", "EmployeeName", rounded(money(F.col("NetU")), 2).alias("Revenue"))
+    )
+
+
+def _labelled(staff: DataFrame, column: str) -> DataFrame:
+    """Employees with a label each: those who share a name, or have none, get their id beside it."""
+    if column != "EmployeeName":
+        return staff.withColumn(column, F.coalesce(column, F.lit(NO_LABEL)))
+    number = F.concat(F.lit("("), F.col("EmployeeID").cast("string"), F.lit(")"))
+    shared = F.count("*").over(W.partitionBy(column)) > 1
+    return staff.withColumn(
+        column, F.when(shared, F.concat_ws(" ", column, number)).otherwise(F.coalesce(column, number))
+    )
 
 
 def monthly_pivot(
@@ -28,9 +52,10 @@ def monthly_pivot(
     """Monthly revenue with one column per employee, or per value of another employee column.
 
     The columns come from ``values`` (default: the employees), read when the report
-    is built; more than MAX_PIVOT_COLUMNS of them is an error, never a cut.
+    is built; more than MAX_PIVOT_COLUMNS of them is an error, never a cut: ``monthly_sales`` has no limit.
     """
-    source = retail.employees().select(column) if values is None else values
+    staff = _labelled(retail.employees(), column)
+    source = staff.select(column) if values is None else values.select(F.coalesce(column, F.lit(NO_LABEL)))
     labels = sorted(r[0] for r in source.distinct().limit(MAX_PIVOT_COLUMNS + 1).collect())
     if len(labels) > MAX_PIVOT_COLUMNS:
         raise ValueError(f"more than {MAX_PIVOT_COLUMNS} values of {column}: pivot a coarser column")
@@ -38,7 +63,7 @@ def monthly_pivot(
         retail.employee_sales()
         .groupBy("EmployeeID", F.trunc("OrderDate", "month").alias("Month"))
         .agg(F.sum("NetU").alias("NetU"))
-        .join(retail.employees().select("EmployeeID", column), "EmployeeID")
+        .join(staff.select("EmployeeID", column), "EmployeeID")
         .groupBy("Month", column)
         .agg(rounded(money(F.sum("NetU")), 2).alias("Revenue"))
     )
@@ -298,3 +323,32 @@ def revenue_per_territory(retail: Retail) -> DataFrame:
             "RevenuePerTerritory",
         )
     )
+
+
+def discounted_lines(retail: Retail) -> DataFrame:
+    """Lines with and without a discount: share, mean quantity and largest discount. A line whose discount is unknown
+    counts as one without."""
+    kinds = (
+        retail.lines()
+        .groupBy(F.when(F.col("DiscountBp") > 0, "Discounted").otherwise("Undiscounted").alias("LineKind"))
+        .agg(
+            F.count("*").alias("Lines"),
+            F.sum("Quantity").alias("Units"),
+            F.count("Quantity").alias("Counted"),
+            F.max("DiscountBp").alias("Highest"),
+        )
+    )
+    return kinds.select(
+        "LineKind",
+        "Lines",
+        safe_pct(F.col("Lines"), F.sum("Lines").over(W.partitionBy()), 1).alias("SharePct"),
+        rounded(ratio(F.col("Units"), F.col("Counted")), 2).alias("AvgQuantity"),
+        rounded(F.col("Highest") / 100, 2).alias("MaxDiscountPct"),
+    ).orderBy("LineKind")
+
+
+def discount_revenue_correlation(retail: Retail) -> DataFrame:
+    """Correlation, over the employees, of the mean discount given with the revenue earned; null if either is constant."""
+    figures = employee_figures(retail)
+    found = F.corr(F.col("AvgDiscountPct").cast("double"), F.col("TotalRevenue").cast("double"))
+    return figures.agg(F.count("*").alias("Employees"), F.round(found, 3).alias("Correlation"))

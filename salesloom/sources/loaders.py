@@ -16,19 +16,23 @@ def load_csv(
 ) -> DataFrame:
     """One exported CSV table: header line, quoted text, ``NULL`` for missing, padded text trimmed.
 
-    Columns are matched by position, so padding in the header does not matter. The header must
-    hold every column of ``schema``: a shorter or longer line is an error, not a row of nulls.
+    Columns are found by their name in the header, in any order and however padded; further columns are ignored. A
+    column of ``schema`` that the header lacks or names twice is an error, and so is a line shorter or longer than the
+    header. The files of a folder must share one header.
     """
-    frame = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("encoding", "UTF-8")
-        .option("escape", '"')
-        .option("nullValue", null_value)
-        .option("multiLine", False)
-        .option("mode", "FAILFAST")
-        .csv(path)
+    reader = spark.read.options(
+        header=True, encoding="UTF-8", escape='"', nullValue=null_value, multiLine=False, mode="FAILFAST"
     )
+    wanted = {f.name: f.dataType for f in (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)}
+    # only the header line is read for this; names twice in it get their number from Spark
+    header = [name.strip("\ufeff ") for name in reader.csv(path).columns]
+    missing = [name for name in wanted if name not in header]
+    if missing:
+        raise ValueError(f"{path}: the header lacks, or names twice, {', '.join(missing)}")
+    stored = T.StructType(
+        [T.StructField(name if name in wanted else f"_other{i}", wanted.get(name, T.StringType())) for i, name in enumerate(header)]
+    )
+    frame = reader.schema(stored).csv(path).select(*wanted)
     return frame.select(
         *(
             F.trim(f.name).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name)

@@ -19,6 +19,7 @@ BOUNDED = {
     "q13_carrier_sla",
     "x4_top_n_share",
     "x7_monthly_run_rate",
+    "x11_discounted_lines",
 }
 GATHERED = re.compile(r"Window[^\n]*\n(?:[^\n]*Sort [^\n]*\n)?[^\n]*Exchange SinglePartition")
 
@@ -80,6 +81,8 @@ def _scans(plans, name, table):
         ("q14_order_size_delivery", 1),
         ("x4_top_n_share", 2),
         ("x8_recent_demand", 1),
+        ("x11_discounted_lines", 1),
+        ("x12_discount_revenue", 1),
     ],
 )
 def test_line_scans(plans, name, times):
