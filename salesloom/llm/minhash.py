@@ -12,8 +12,9 @@
    text meets the centres of each of its buckets, unless they are in one class already or have met before. Eight bits of each sample tell
    how alike the two can be (a pair at the limit is let through unless off by several standard deviations); for those that
    remain the weighted Jaccard similarity of both whole texts is worked out. Links merge classes, and the
-   next round takes other centres, until QUIET_ROUNDS on end find no link. A text whose only links lie at the limit, in a large
-   bucket, may be missed.
+   next round takes other centres, for CENTRE_ROUNDS or until a round finds no link. These rounds only save work: then every
+   pair of a bucket that is still in two classes is compared by its samples, in cells of bounded size, and all that
+   may be alike are verified, the likeliest first, until no such pair between two classes is left.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from salesloom.llm.arrow import Collector, map_arrow, small_slices
 from salesloom.llm.tables import Appended
@@ -42,7 +44,8 @@ SKETCH_ROWS, SKETCH_BITS = 4, 18
 IDF_SPAN = 0.5
 _BLOCKS = 16  # pieces that sketches are summed in
 BROADCAST_KEYS = 200_000  # narrow rows of texts that share a band
-QUIET_ROUNDS = 2  # rounds on end without a link that end the search
+CENTRE_ROUNDS = 4  # rounds of centres before all pairs that are still apart are looked at
+CELL_ROWS = 512  # texts of a bucket that are compared with as many others in one cell
 LEAST_AGREEMENT = 0.6  # of the samples, below which a pair is not looked at: 0.8 less four deviations
 
 _U = np.uint64
@@ -353,6 +356,48 @@ def _agreement(offers: DataFrame, marks: DataFrame) -> DataFrame:
     return map_arrow(met, compare, ", ".join(f"{c} {types[c]}" for c in kept) + ", alike double")
 
 
+def _unjoined(buckets: DataFrame, classes: DataFrame, marks: DataFrame) -> DataFrame:
+    """key, centre, alike: each pair (key below centre) of texts in different classes that share a band, unless its samples
+    agree in less than LEAST_AGREEMENT. A bucket's texts are dealt into blocks, and any two blocks meet in one cell."""
+    placed = buckets.join(classes, "key")
+    ends = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = ends.where("low <> high").select("band", F.ceil(F.col("n") / CELL_ROWS).alias("blocks"))
+    dealt = placed.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    met = dealt.join(marks.select("key", "dense", "binned"), "key")
+    cells = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        "band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "key", "root", "dense", "binned"
+    )
+    names = ["band", "one", "two"]
+    schema = pa.schema([("key", pa.binary()), ("centre", pa.binary()), ("alike", pa.float64())])
+    blank = bytes(SLOTS)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Collector(schema)
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        for (_, one, two), cell in itertools.groupby(rows, key=lambda row: row[:3]):
+            _, _, _, block, key, root, *kinds = zip(*cell)
+            number = {r: i for i, r in enumerate(set(root))}
+            classed, block = np.array([number[r] for r in root]), np.array(block)
+            held = [np.array([m is not None for m in kind]) for kind in kinds]
+            marked = [np.frombuffer(b"".join(m or blank for m in kind), np.uint8).reshape(-1, SLOTS) for kind in kinds]
+            place = np.arange(len(key))
+            for i in place[block == one].tolist():
+                apart = (place > i) if one == two else (block == two)
+                at = np.flatnonzero(apart & (classed != classed[i]))
+                best = np.zeros(len(at))
+                for has, mark in zip(held, marked):
+                    if has[i] and len(at):
+                        best = np.maximum(best, np.where(has[at], (mark[at] == mark[i]).mean(axis=1), 0))
+                near = best >= LEAST_AGREEMENT
+                for j, alike in zip(at[near].tolist(), best[near].tolist()):
+                    if out.add((min(key[i], key[j]), max(key[i], key[j]), alike)):
+                        yield out.take()
+        yield out.take()
+
+    ordered = cells.repartition(*names).sortWithinPartitions(*names)
+    return map_arrow(ordered, compare, "key binary, centre binary, alike double").distinct()
+
+
 def similarities(a: pa.Array, b: pa.Array, df: Frequencies) -> np.ndarray:
     """Weighted Jaccard similarity of each pair of texts; of two texts without words, 0."""
     one, two = shingles(a), shingles(b)
@@ -420,8 +465,7 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     classes = materialize(keys.select("key", F.col("key").alias("root")))
     tested = Appended(docs.sparkSession, "key binary, centre binary")
     found = Appended(docs.sparkSession, "a binary, b binary")
-    quiet = 0
-    for turn in itertools.count():
+    for turn in range(CENTRE_ROUNDS):
         placed = buckets.join(broadcast_up_to(classes, n_keys, BROADCAST_KEYS), "key").withColumn("order", F.xxhash64(F.lit(turn), "key"))
         one = F.struct("order", "key", "root")
         ends = placed.groupBy("band").agg(F.min(one).alias("low"), F.max(one).alias("high"))
@@ -440,13 +484,28 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         links = materialize(_verified(pairs, texts, df, similarity))
         tested.add((offers if turn else pairs).select("key", "centre"))
         if links.isEmpty():
-            quiet += 1
-            if quiet == QUIET_ROUNDS:
-                break
-            continue
-        quiet = 0
+            break
         found.add(links.select(F.col("key").alias("a"), F.col("centre").alias("b")))
         classes = materialize(_hooked(classes, links))
+    # all that is left: pairs in two classes, of each text the likeliest first
+    small = lambda: broadcast_up_to(classes, n_keys, BROADCAST_KEYS)
+    met = tested.rows().select(F.least("key", "centre").alias("key"), F.greatest("key", "centre").alias("centre"))
+    rest = materialize(_unjoined(buckets, small(), marks).join(met, ["key", "centre"], "left_anti"))
+    likeliest = Window.partitionBy("key").orderBy(F.desc("alike"), "centre")
+    width = 1
+    while True:
+        to = small().select(F.col("key").alias("centre"), F.col("root").alias("to"))
+        apart = rest.join(small(), "key").join(to, "centre").where("root <> to")
+        ranked = materialize(apart.withColumn("nth", F.row_number().over(likeliest)))
+        pairs = ranked.where(F.col("nth") <= width).select("key", "centre", "root", "to")
+        if pairs.isEmpty():
+            break
+        links = materialize(_verified(pairs, texts, df, similarity))
+        rest = ranked.where(F.col("nth") > width).select("key", "centre", "alike")
+        width *= 4
+        if not links.isEmpty():
+            found.add(links.select(F.col("key").alias("a"), F.col("centre").alias("b")))
+            classes = materialize(_hooked(classes, links))
     # the labels of the rounds only save tests; the classes are those of all links
     return components(found.rows()).select(F.col("node").alias("key"), "root")
 

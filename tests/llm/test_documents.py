@@ -250,6 +250,23 @@ def test_near_duplicates_follow_weighted_jaccard(spark):
     assert sum(got[i] == true[i] for i in ids) >= 95
 
 
+def test_near_duplicates_among_pages_of_a_template(spark):
+    """One large bucket of texts just below the limit, each with one partner just above it: every pair is found."""
+    template, texts = _prose(70, 154), {}
+    for i in range(150):
+        for side in (0, 1):
+            shared, own = (f"s{i}x{n}" for n in range(3)), (f"u{side}x{i}x{n}" for n in range(11))
+            texts[2 * i + side] = " ".join([template, *shared, *own])
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    df = minhash.frequencies(frame)
+    alike = lambda a, b: minhash.similarities(pa.array([texts[i] for i in a]), pa.array([texts[i] for i in b]), df)
+    pairs, others = alike(range(0, 300, 2), range(1, 300, 2)), alike([0] * 298, range(2, 300))
+    limit = float(pairs.min() + others.max()) / 2
+    assert 0.75 < others.max() < limit < pairs.min()
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(frame, limit).collect()}
+    assert got == {i: i // 2 * 2 for i in texts}
+
+
 def test_weighted_jaccard_by_hand(spark):
     texts = ["a b c d e f", "a b c d e g", "a b c d e f"]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
