@@ -4,10 +4,12 @@
    Count-Min sketch over all documents: its size is fixed and its error is a fixed share of the corpus,
    so weights behave alike at every size. A weight is tf x idf, idf = 1 + IDF_SPAN ln(N / df) / ln(1 + N): a shingle
    of one document weighs up to half as much again as one of all, so large groups of copies keep their likeness.
-2. Signatures are improved consistent weighted samples (Ioffe). A document of up to DENSE_UP_TO shingles takes
-   a sample for each slot over all its shingles; one of at least BINNED_FROM deals its shingles into bins and
-   takes one sample per bin, an empty bin borrowing from another (bin-wise consistent weighted sampling). Between the
-   two bounds both are made, so that neighbours in size always have a kind in common.
+2. Signatures are improved consistent weighted samples (Ioffe). A shingle heavier than PIECE counts as several pieces of
+   that weight and one of the rest, which leaves the weighted Jaccard similarity as it is. A document of up to
+   DENSE_UP_TO pieces takes a sample for each slot over all its shingles; one of at least BINNED_FROM deals its pieces into
+   bins and takes one sample per bin, an empty bin borrowing from another (bin-wise consistent weighted sampling): as no
+   piece is heavy, bins weigh nearly the same. Between the two bounds both are made, so that neighbours in
+   weight always have a kind in common.
 3. Signatures are cut into bands. Texts that share a band form a bucket; pairs are never listed. In each round every
    text meets the centres of each of its buckets, unless they are in one class already or have met before. Eight bits of each sample tell
    how alike the two can be (a pair at the limit is let through unless off by several standard deviations); for those that
@@ -42,6 +44,7 @@ SLOTS = BANDS * ROWS
 DENSE_UP_TO, BINNED_FROM = 128, 32
 SKETCH_ROWS, SKETCH_BITS = 4, 18
 IDF_SPAN = 0.5
+PIECE = 1 + IDF_SPAN  # a shingle that a document holds once is never cut
 _BLOCKS = 16  # pieces that sketches are summed in
 BROADCAST_KEYS = 200_000  # narrow rows of texts that share a band
 CENTRE_ROUNDS = 4  # rounds of centres before all pairs that are still apart are looked at
@@ -262,6 +265,21 @@ def _binned(found: Shingles, log_weight: np.ndarray, row: np.ndarray) -> np.ndar
     return out
 
 
+def _pieces(found: Shingles, weights: np.ndarray) -> tuple[Shingles, np.ndarray]:
+    """The shingles cut into pieces of weight PIECE and a rest, by document and hash, and the weights of the pieces. The
+    n-th piece of a shingle has the same hash everywhere, so what two documents share of it are pieces, too."""
+    n = np.maximum(np.ceil(weights / PIECE), 1).astype(np.int64)
+    if not (n > 1).any():
+        return found, weights
+    of = np.repeat(np.arange(len(n)), n)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    salted = _mix(found.hash[of] + nth.astype(_U) * _U(_BASE)) & _LOW
+    hashes = np.where(nth > 0, salted, found.hash[of])
+    weight = np.where(nth < n[of] - 1, PIECE, np.maximum(weights[of] - PIECE * (n[of] - 1), 1e-9))
+    order = np.argsort((found.row[of].astype(_U) << _U(_HASH_BITS)) | hashes)
+    return Shingles(found.rows, found.row[of][order], hashes[order], np.ones(len(of), np.int64)), weight[order]
+
+
 def _bands(slots: np.ndarray, salt: int) -> np.ndarray:
     parts = slots.reshape(len(slots), BANDS, ROWS)
     seeds = _seeds(BANDS * ROWS, salt).reshape(BANDS, ROWS) | _U(1)
@@ -273,18 +291,21 @@ def signed(found: Shingles, weights: np.ndarray) -> tuple[list[list[int]], list[
     low byte of every sample (null for a kind it lacks)."""
     bands: list[list[int]] = [[] for _ in range(found.rows)]
     marks: list[list[bytes | None]] = []
-    n = np.bincount(found.row, minlength=found.rows)
-    log_weight = np.log(weights)
-    kinds = ((_dense, (n > 0) & (n <= DENSE_UP_TO), 77), (_binned, n >= BINNED_FROM, 88))
-    for make, chosen, salt in kinds:
+    pieces, piece_weights = _pieces(found, weights)
+    n = np.bincount(pieces.row, minlength=found.rows)
+    kinds = (
+        (_dense, (n > 0) & (n <= DENSE_UP_TO), 77, found, weights),
+        (_binned, n >= BINNED_FROM, 88, pieces, piece_weights),
+    )
+    for make, chosen, salt, of, weight in kinds:
         mark: list[bytes | None] = [None] * found.rows
         marks.append(mark)
         if not chosen.any():
             continue
-        keep = chosen[found.row]
-        part = Shingles(found.rows, found.row[keep], found.hash[keep], found.times[keep])
+        keep = chosen[of.row]
+        part = Shingles(of.rows, of.row[keep], of.hash[keep], of.times[keep])
         number = np.cumsum(chosen) - 1
-        slots = make(part, log_weight[keep], number[part.row])
+        slots = make(part, np.log(weight[keep]), number[part.row])
         low = slots.astype(np.uint8)
         for i, (row, values) in enumerate(zip(np.flatnonzero(chosen).tolist(), _bands(slots, salt).tolist())):
             bands[row].extend(values)

@@ -267,6 +267,25 @@ def test_near_duplicates_among_pages_of_a_template(spark):
     assert got == {i: i // 2 * 2 for i in texts}
 
 
+def test_samples_follow_the_weights_of_repeated_lines(spark):
+    """A line repeated in long documents that otherwise differ: samples agree as often as the weights are shared."""
+    line = " ".join(f"line{n}" for n in range(14))
+    texts = [f"{line} " * 200 + " ".join(f"own{i}x{n}" for n in range(150)) for i in range(40)]
+    texts += [f"{line} " * 200, _prose(71, 400)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df = minhash.frequencies(frame)
+    found = minhash.shingles(pa.array(texts))
+    bands, (_, binned) = minhash.signed(found, df.weights(found))
+    marks = np.array([list(m) for m in binned])
+    true = minhash.similarities(pa.array([texts[0]] * 40), pa.array(texts[1:41]), df)
+    assert true.min() > 0.8
+    agree = (marks[1:41] == marks[0]).mean(axis=1)
+    assert abs(agree.mean() - true.mean()) < 0.06 and agree.min() >= minhash.LEAST_AGREEMENT
+    assert all(set(bands[0]) & set(b) for b in bands[1:41])
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(frame).collect()}
+    assert got == {i: 0 if i < 41 else i for i in range(42)}
+
+
 def test_weighted_jaccard_by_hand(spark):
     texts = ["a b c d e f", "a b c d e g", "a b c d e f"]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
