@@ -11,12 +11,16 @@ begins, the length a suffix shares with the one before it is compared; elsewhere
 in the text. The same holds for the suffix after it and the ends of runs. A window is repeated if
 one of the two reaches LENGTH, or if its whole region occurs again.
 
+The regions of an anchor whose regions hold more than BLOCK_BYTES are not indexed: each of their windows is counted by its digest,
+so their number under one anchor bounds no task.
+
 Anchors that occur once cannot bear a repeat. They are recognised with a bitmap of fixed greatest size; a chance hit costs
 work and changes nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 
 from salesloom.llm.arrow import Collector, map_arrow, small_slices
 from salesloom.llm.tables import bulky
+from salesloom.operators.lookups import broadcast_up_to
 from salesloom.operators.materialize import materialize
 
 LENGTH = 200
@@ -324,7 +329,36 @@ def _combined(found: DataFrame) -> DataFrame:
     return map_arrow(found.select("anchor", "region", "bytes"), combine, "anchor long, region binary, bytes binary, n long")
 
 
-def _marked(distinct: DataFrame) -> DataFrame:
+def _crowded(found: DataFrame, block_bytes: int) -> DataFrame:
+    """anchor: those whose regions, copies counted, hold more than ``block_bytes``; written."""
+    held = found.groupBy("anchor").agg(F.sum(F.col("windows").cast("long") + (LENGTH - 1)).alias("bytes"))
+    return materialize(held.where(F.col("bytes") > block_bytes).select("anchor"))
+
+
+def _counted(combined: DataFrame) -> DataFrame:
+    """Like `_marked`, in any order and for any number of regions under one anchor: windows are counted by their 128-bit
+    digest, summed in tasks before they are dealt."""
+    schema = pa.schema([("region", pa.binary()), ("at", pa.int32()), ("window", pa.binary()), ("n", pa.int64())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Collector(schema)
+        for batch in batches:
+            for region, body, n in zip(*(batch[c].to_pylist() for c in ("region", "bytes", "n"))):
+                for at in range(len(body) - LENGTH + 1):
+                    if out.add((region, at, hashlib.md5(body[at : at + LENGTH]).digest(), n)):
+                        yield out.take()
+        yield out.take()
+
+    windows = materialize(map_arrow(combined, cut, "region binary, at int, window binary, n long"))
+    again = windows.groupBy("window").agg(F.sum("n").alias("times")).where("times > 1").select("window")
+    places = windows.join(again, "window").groupBy("region").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    # neighbouring places as one [first, end) pair
+    edge = lambda k: F.filter("at", lambda x: ~F.array_contains("at", x + k))
+    pairs = F.zip_with(edge(-1), edge(1), lambda a, b: F.array(a, b + 1))
+    return places.select("region", F.flatten(pairs).alias("stretches"))
+
+
+def _marked(distinct: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """region, stretches: the repeated windows of the regions that have any. ``distinct`` is dealt by anchor and sorted
     by anchor and region; rows of one region are counted together as they stream by."""
     schema = pa.schema([("region", pa.binary()), ("stretches", pa.list_(pa.int32()))])
@@ -344,7 +378,7 @@ def _marked(distinct: DataFrame) -> DataFrame:
                 if held and held[-1][0] == region:
                     held[-1] = (region, body, held[-1][2] + n)
                     continue
-                if size >= BLOCK_BYTES and anchor != last:
+                if size >= block_bytes and anchor != last:
                     yield index(held)
                     held, size = [], 0
                 held.append((region, body, n))
@@ -361,7 +395,7 @@ def _keyed(docs: DataFrame, carry: list[Column] | None = None) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"), *(carry or []))
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """key, stretches: per different text with repeated windows their starts, as sorted [first, end) pairs, flat.
 
     ``docs`` has doc_id and text and is read twice. Equal rows count as separate places of their strings.
@@ -370,8 +404,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     bitmap = _bitmap(_anchors(rows))
     found = _occurrences(rows, bitmap).withColumn("region", F.unhex(F.md5("bytes")))
     found = bulky(found)
-    blocks = _combined(found).repartition("anchor").sortWithinPartitions("anchor", "region")
-    marks = materialize(_marked(blocks))
+    crowded = _crowded(found, block_bytes)
+    n_crowded = crowded.count()
+    few = broadcast_up_to(crowded, n_crowded)
+    light = found.join(few, "anchor", "left_anti") if n_crowded else found
+    blocks = _combined(light).repartition("anchor").sortWithinPartitions("anchor", "region")
+    marks = materialize(_marked(blocks, block_bytes))
+    if n_crowded:
+        marks = marks.unionByName(_counted(_combined(found.join(few, "anchor", "left_semi"))))
     places = found.select("key", "first", "region").distinct()
     moved = places.join(marks, "region").select(
         "key", F.transform("stretches", lambda at: at + F.col("first")).alias("stretches")

@@ -1,5 +1,6 @@
 """Operators on documents against brute force, with nulls, empty and long texts, repeated rows and clashing columns."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -321,6 +322,31 @@ def test_repeats_are_removed(docs, none):
     assert run_index.removed(none).count() == 0
 
 
+def test_regions_of_a_crowded_anchor_are_counted(spark):
+    """A phrase in differing surroundings, some shared: no anchor over the bound is indexed in one task, nothing is lost."""
+    phrase, raws = _prose(80, 24), []
+    for i in range(60):
+        before, after = _prose(1000 + i // 3, 40), _prose(2000 + i // 2, 40)
+        raws.append(f"{before} {phrase} {after}".encode())
+    frame = spark.createDataFrame([(i, r.decode()) for i, r in enumerate(raws)], "doc_id long, text string").repartition(3)
+    rows = run_index._keyed(frame)
+    found = run_index._occurrences(rows, run_index._bitmap(run_index._anchors(rows)))
+    bound = 4000
+    crowded = {r["anchor"] for r in run_index._crowded(found, bound).collect()}
+    held = Counter()
+    for r in found.collect():
+        held[r["anchor"]] += len(r["bytes"])
+    assert crowded == {a for a, n in held.items() if n > bound} and crowded
+    got = {}
+    for r in run_index.repeats(frame, bound).collect():
+        got[bytes(r["key"])] = run_index._covered(r["stretches"])
+    kept = []
+    for raw in raws:
+        ends = [0, *got.get(hashlib.md5(raw).digest(), []), len(raw)]
+        kept.append(b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2])))
+    assert kept == _without_repeats(raws, 200) and kept != raws
+
+
 def test_index_finds_every_repeat():
     rnd = np.random.default_rng(3)
     for _ in range(30):
