@@ -28,8 +28,10 @@ _WORD = r"[^\x20\x09-\x0D]+"
 _SYMBOLS = "#*$%&|<>"
 
 FIGURES = ("f0", "f1", "f2", "f3")
-#: Standard deviations below which a spread counts as none: log word length, and square roots of shares.
-FLOORS = (0.08, 0.05, 0.15, 0.15)
+#: Standard deviations below which a spread counts as none: log word length, and square roots of shares. Where a figure is
+#: mostly zero, its floor times the root of CUTOFF is the root of the share that rejects by itself: 8 % of symbols, 30 % of
+#: repeated lines or of repeated words (base rules let pass up to half of the words).
+FLOORS = (0.08, 0.05, 0.0948, 0.0948)
 HALF = 0.75  # share of a group that a concentration step keeps
 STEPS = 5
 #: Squared distance beyond which a document is rejected; the chi-square quantile of 4 degrees of freedom at 1 - 1e-6.

@@ -186,6 +186,22 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert all(kept[i] for i in range(300)) and not any(kept[1000 + i] for i in range(40))
 
 
+def test_quality_rejects_repeated_lines_and_words_alone(spark):
+    """Outliers in one figure only, which pass the base rules; a little of the same is kept."""
+    plain = lambda seed: [f"w{seed}x{n:03}" for n in range(120)]
+    lines = lambda words, size: [" ".join(words[i : i + size]) for i in range(0, len(words), size)]
+    rows = [(i, "\n".join(lines(plain(i), 6)), "en", "s", 0) for i in range(200)]
+    for i in range(20):
+        made = lines(plain(300 + i), 6)
+        rows.append((1000 + i, "\n".join(made + ["----"] * 13), "en", "s", 0))  # 12 of 33 lines
+        rows.append((2000 + i, " ".join(plain(400 + i) + plain(400 + i)[:35]), "en", "s", 0))  # 70 of 155 words
+        rows.append((3000 + i, "\n".join(made + ["----"] * 2), "en", "s", 0))
+    judged = quality.judged(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert not any(r["base_failed"] for r in judged)
+    kept = {r["doc_id"]: r["kept"] for r in judged}
+    assert all(k == (i < 1000 or i >= 3000) for i, k in kept.items())
+
+
 def test_mcd_matches_numpy(spark):
     """The last concentration step, worked out again in numpy from the kept documents."""
     rows = [(i, _prose(i, 60 + i % 90), "en", "s", 0) for i in range(200)]
