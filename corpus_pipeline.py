@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesloom.llm import minhash, quality, run_index
-from salesloom.llm.queries import packed_digests
+from salesloom.llm.queries import packed_pieces
 from salesloom.operators.materialize import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -33,8 +33,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in training sequences."""
-    return packed_digests(docs)
+    """The pieces of all documents with their token ids, and their places in training sequences."""
+    return packed_pieces(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [

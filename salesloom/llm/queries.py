@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesloom.llm import ann_forest, bpe, html_text, minhash, packing, quality, run_index, slots, url_filter, warc
+from salesloom.llm.tables import bulky
 from salesloom.operators.materialize import materialize, scratch_dir
 
 
@@ -70,18 +71,19 @@ def op7_packing(
     spark: SparkSession, folder: str, ranks_path: str = public_tokenizers.path("byte_bpe_50k.tiktoken")
 ) -> DataFrame:
     """The ids are those of ``byte_bpe_50k.json``: the rank file holds the same vocabulary."""
-    return packed_digests(_table(spark, folder, "documents"), ranks_path)
-
-
-def packed_digests(docs: DataFrame, ranks_path: str = public_tokenizers.path("byte_bpe_50k.tiktoken")) -> DataFrame:
-    """Where each piece of ``docs`` is packed, with a checksum of its ids."""
-    cut = packing.pieces(docs, ranks_path, public_tokenizers.PATTERN)
+    cut = packing.pieces(_table(spark, folder, "documents"), ranks_path, public_tokenizers.PATTERN)
     items = materialize(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
     return packing.packed(items).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
 
 
+def packed_pieces(docs: DataFrame, ranks_path: str = public_tokenizers.path("byte_bpe_50k.tiktoken")) -> DataFrame:
+    """Where each piece of ``docs`` is packed, with its ids: `packing.sequences` puts them together."""
+    items = bulky(packing.pieces(docs, ranks_path, public_tokenizers.PATTERN))
+    return packing.packed(items).select("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")
+
+
 def op8_slots(spark: SparkSession, folder: str) -> DataFrame:
     return slots.shard(_table(spark, folder, "documents"), shards=24)
 

@@ -406,3 +406,16 @@ def test_pipeline(spark, docs, tmp_path):
     empty = spark.createDataFrame([], SCHEMA)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder).count() == 0, name
+
+
+def test_pipeline_gives_the_ids_of_its_sequences(spark, tmp_path):
+    texts = {i: _prose(200 + i, 90) for i in range(20)}
+    frame = spark.createDataFrame([(i, t, "en", "web", 1) for i, t in texts.items()], SCHEMA)
+    placed = dict(corpus_pipeline.STAGES)["pack"](spark, frame, str(tmp_path)).persist()
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = placed.collect()
+    for r in rows:
+        ids = [*encoding.encode_ordinary(texts[r["doc_id"]]), 0]
+        assert np.frombuffer(r["ids"], "<u4").tolist() == ids[r["start"] : r["start"] + r["length"]]
+    assert sum(len(r["ids"]) for r in packing.sequences(placed).collect()) == 4 * sum(r["length"] for r in rows)
