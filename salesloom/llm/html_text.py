@@ -273,7 +273,7 @@ class _Table:
                     part = lines[i] if i < len(lines) else ""
                     if part:
                         text = text.ljust(start)
-                        text += ("  " if text and not text.endswith("  ") and len(text) >= start and start else "") + part
+                        text += ("  " if text and not text.endswith("  ") and len(text) >= start else "") + part
                     start += sum(widths[c] + 2 for c in here)
                     column += across
                 out.append(text.rstrip(" "))

@@ -162,3 +162,7 @@ def test_recall(spark):
         d[q] = np.inf
         hits += len(found & set(np.argsort(d)[:10].tolist()))
     assert len(got) == 30 and hits >= 0.9 * 300
+
+
+def test_cells_over_several_columns_stay_apart():
+    assert html_text.visible_text("<table><tr><td colspan=2>Alpha<td colspan=2>Beta</table>") == "Alpha  Beta"
