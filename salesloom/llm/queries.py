@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesloom.llm import ann_forest, bpe, html_text, minhash, packing, quality, run_index, slots, url_filter, warc
+from salesloom.llm import (
+    ann_forest,
+    bpe,
+    hard_negatives,
+    html_text,
+    minhash,
+    packing,
+    piece_bpe,
+    prefix_trie,
+    quality,
+    run_index,
+    slots,
+    url_filter,
+    warc,
+)
 from salesloom.llm.tables import bulky
 from salesloom.operators.materialize import materialize, scratch_dir
 
@@ -123,6 +137,27 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_threshold_join(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.mine(_table(spark, folder, "embeddings"))
+
+
+def op12_burst_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(_table(spark, folder, "conversations")))
+
+
+def op13_piece_bpe(
+    spark: SparkSession, folder: str, model_path: str = public_tokenizers.path("piece_bpe_32k.model")
+) -> DataFrame:
+    codec = piece_bpe.Codec(model_path)
+    decoded = piece_bpe.decode(piece_bpe.encode(_table(spark, folder, "documents"), codec), codec)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_ann_forest": op2_ann_forest,
@@ -134,6 +169,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_slots": op8_slots,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
+    "op11_threshold_join": op11_threshold_join,
+    "op12_burst_trie": op12_burst_trie,
+    "op13_piece_bpe": op13_piece_bpe,
 }
 
 _OP1_SQL = r"""
@@ -174,4 +212,76 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM firsts
 """
 
-ORACLES: dict[str, str] = {"op1_url_filter": _OP1_SQL, "op10_warc": _OP10_SQL}
+_OP11_SQL = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END::BIGINT AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label,
+         list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM usable a JOIN usable b ON a.vec_id <> b.vec_id
+  WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+  FROM pairs WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+       (row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id))::INTEGER AS rank,
+       n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND n.label <> n.anchor_label
+WHERE 80 * p.positive_score <= 100 * n.score AND 100 * n.score <= 100 * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id) <= 5
+"""
+
+_OP12_SQL = """
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+-- crc32 bit by bit: a byte is mixed in, then eight shifts (marked -1)
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+         xor(list_reduce(
+           list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+             lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x)
+                               WHEN crc % 2 = 1 THEN xor(crc // 2, 3988292384::BIGINT) ELSE crc // 2 END),
+           4294967295::BIGINT) % 6 AS taken
+  FROM (SELECT DISTINCT conv_id FROM own)),
+turns AS (
+  SELECT c.conv_id, 0 AS part, o.place, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.base AND o.place <= c.taken
+  UNION ALL
+  SELECT c.conv_id, 1, o.place, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.place > c.taken),
+seqs AS (
+  SELECT c.conv_id, coalesce(t.said, []) AS said
+  FROM convs c LEFT JOIN (
+    SELECT conv_id, list({'role': role, 'text': text} ORDER BY part, place) AS said FROM turns GROUP BY conv_id) t
+  USING (conv_id)),
+steps AS (SELECT conv_id, said, unnest(range(0, len(said) + 1)) AS depth FROM seqs),
+nodes AS (
+  SELECT said[1:depth] AS head, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(said) = depth), '') AS ends
+  FROM steps GROUP BY ALL),
+tied AS (
+  SELECT n.*, p.conv_id AS parent_conv_id,
+         (n.n_convs - 1) * CASE WHEN n.depth = 0 THEN 0 ELSE length(n.head[n.depth].text) END AS saved,
+         (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND c.head[1:n.depth] = n.head) AS n_children
+  FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.head = n.head[1:n.depth - 1]),
+below AS (
+  SELECT t.head, sum(d.saved) AS saved_tokens, count(*) FILTER (WHERE d.n_children = 0) AS n_leaves
+  FROM tied t JOIN tied d ON d.depth >= t.depth AND d.head[1:t.depth] = t.head
+  GROUP BY t.head)
+SELECT t.conv_id, t.depth::BIGINT AS depth, t.parent_conv_id, t.n_convs, t.n_children, b.n_leaves::BIGINT AS n_leaves,
+       b.saved_tokens::BIGINT AS saved_tokens, sha256(t.ends) AS ends_sha256
+FROM tied t JOIN below b ON b.head = t.head
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_url_filter": _OP1_SQL,
+    "op10_warc": _OP10_SQL,
+    "op11_threshold_join": _OP11_SQL,
+    "op12_burst_trie": _OP12_SQL,
+}
