@@ -7,7 +7,7 @@ finds the rows whose inner product with an anchor reaches it:
    left out, times the largest norm of an anchor in them, stays below the least threshold: such a part alone cannot
    reach it.
 2. Scores are added up from the last group to the first over the rows each group's list holds. A pair goes once its sum and the product of
-   the norms of both remainders stay below the anchor's threshold.
+   the norms of both remainders stay below the anchor's threshold; few pairs are listed, many stay a matrix.
 3. What is left is finished with the dimensions that were left out of the index. All scores are exact integers.
 
 Only an anchor whose window is not yet full comes again, with a lower threshold; the last one lets every row in, or ends at the
@@ -35,10 +35,12 @@ from salesloom.operators.materialize import materialize
 WINDOW = 5
 BLOCK_VALUES = 1 << 19  # components of the rows of a block: 4 MB
 ANCHOR_VALUES = 1 << 20  # components of the anchors that are sent to all blocks at once: 8 MB
-PAIR_VALUES = 1 << 20  # scores that are worked on at once
+PAIR_VALUES = 1 << 18  # scores that are worked on at once
 GROUPS = 8  # that the dimensions are taken in
 LEVELS = (0.8, 0.55, 0.4, 0.25)  # thresholds of the rounds as shares of the greatest possible score; then none
-_EXACT = 2.0**53
+_EXACT, _EXACT_SINGLE = 2.0**53, 2.0**24  # below which sums of whole numbers are exact
+_ROOM = 1 + 1e-5  # for the rounding of norms
+_SPARSE = 16  # pairs are listed once this many times fewer are left
 _LONG = (1 << 63) - 1
 
 
@@ -97,73 +99,121 @@ def _padded(vector: list[float], width: int) -> np.ndarray:
 
 class Index:
     """Inverted lists of a block's rows for thresholds that are not below ``least``. ``reach`` holds the largest norm of an
-    anchor in the first k groups of dimensions, for every k."""
+    anchor in the first k groups of dimensions, for every k. Rows are ordered by how many groups are left out, so
+    that a group's list is a slice."""
 
     def __init__(self, vectors: np.ndarray, least: float, reach: np.ndarray, edges: np.ndarray):
-        self.vectors, self.edges = vectors, edges
-        squares = np.add.reduceat(vectors**2, edges[:-1], axis=1) if len(edges) > 1 else np.zeros((len(vectors), 0))
-        self.norms = np.sqrt(np.cumsum(squares, axis=1))  # of the first k + 1 groups
-        below = self.norms * reach * (1 + 1e-9) < least
-        # groups left out: the longest run of covered ones from the first
-        self.left_out = np.cumprod(below, axis=1).sum(axis=1)
-        self.lists = [np.flatnonzero(self.left_out <= g) for g in range(len(edges) - 1)]
-
-    def scores(self, anchors: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
-        """(anchors, rows) scores; minus infinity for pairs that stay below their anchor's threshold."""
-        edges, groups = self.edges, len(self.edges) - 1
-        sums = np.zeros((len(anchors), len(self.vectors)))
-        open_pairs = np.ones(sums.shape, bool)
-        squares = np.add.reduceat(anchors**2, edges[:-1], axis=1) if groups else np.zeros((len(anchors), 0))
-        norms = np.sqrt(np.cumsum(squares, axis=1))
-        for g in range(groups - 1, -1, -1):
-            rows = self.lists[g]
-            rows = rows[open_pairs[:, rows].any(axis=0)]
-            part = slice(edges[g], edges[g + 1])
-            sums[:, rows] += anchors[:, part] @ self.vectors[rows, part].T
-            # to come: the groups before this one, and those the index left out
-            ahead = np.maximum(self.left_out, g) - 1
-            some = np.flatnonzero(ahead >= 0)
-            rest = norms[:, ahead[some]] * self.norms[some, ahead[some]] * (1 + 1e-9)
-            open_pairs[:, some] &= sums[:, some] + rest >= thresholds[:, None]
-        # rows that are still open are finished with what the index left out
-        for g in range(groups):
-            rows = np.flatnonzero((self.left_out > g) & open_pairs.any(axis=0))
-            part = slice(edges[g], edges[g + 1])
-            sums[:, rows] += anchors[:, part] @ self.vectors[rows, part].T
-        return np.where(open_pairs & (sums >= thresholds[:, None]), sums, -np.inf)
-
-
-def best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(anchor, row) places of the ``k`` greatest finite scores of each anchor, ties to the earlier row."""
-    n = scores.shape[1]
-    if n > k:
-        # the k-th score; of those equal to it the first ones that still fit
-        kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-        above = scores > kth
-        equal = scores == kth
-        room = k - above.sum(axis=1, keepdims=True)
-        scores = np.where(above | (equal & (np.cumsum(equal, axis=1) <= room)), scores, -np.inf)
-    return np.nonzero(scores > -np.inf)
-
-
-def _exact_scores(anchors: np.ndarray, vectors: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
-    """The same with Python integers, held to the range of a long."""
-    out = np.empty((len(anchors), len(vectors)), object)
+        norms = _prefix_norms(vectors, edges)
+        covered = norms * reach * _ROOM < least
+        left_out = np.cumprod(covered, axis=1).sum(axis=1)  # the run of covered groups from the first
+        self.rows = np.argsort(left_out, kind="stable")
+        self.vectors, self.norms, self.left_out = vectors[self.rows], norms[self.rows], left_out[self.rows]
+        self.edges, self.groups = edges, len(edges) - 1
+        self.listed = [int((left_out <= g).sum()) for g in range(self.groups)]
+
+    def pairs(self, anchors: np.ndarray, thresholds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(anchor, row, score) of all pairs that reach their anchor's threshold."""
+        norms, part = _prefix_norms(anchors, self.edges), lambda g: slice(self.edges[g], self.edges[g + 1])
+        sums = np.zeros((len(anchors), len(self.vectors)), anchors.dtype)
+        group = self.groups
+        # whole matrices, until few pairs are left
+        while group:
+            group -= 1
+            n = self.listed[group]
+            sums[:, :n] += anchors[:, part(group)] @ self.vectors[:n, part(group)].T
+            if group % 2 and group < self.groups - 1:
+                continue
+            kept = sums + self._ahead(norms, group) >= thresholds[:, None]
+            if np.count_nonzero(kept) * _SPARSE <= kept.size:
+                break
+        else:
+            kept = sums + self._ahead(norms, 0) >= thresholds[:, None]
+        a, b = np.nonzero(kept)
+        score = sums[a, b]
+        while group:
+            group -= 1
+            on = np.flatnonzero(b < self.listed[group])
+            score[on] += _products(anchors, a[on], self.vectors, b[on], part(group))
+            ahead = np.maximum(self.left_out[b], group) - 1
+            rest = np.where(ahead >= 0, norms[a, ahead] * self.norms[b, ahead], 0) * _ROOM
+            kept = score + rest >= thresholds[a]
+            a, b, score = a[kept], b[kept], score[kept]
+        # what the index left out
+        for g in range(self.groups):
+            on = np.flatnonzero(self.left_out[b] > g)
+            if not len(on):
+                break
+            score[on] += _products(anchors, a[on], self.vectors, b[on], part(g))
+        kept = score >= thresholds[a]
+        return a[kept], self.rows[b[kept]], score[kept]
+
+    def _ahead(self, norms: np.ndarray, group: int) -> np.ndarray:
+        """Bound of what pairs may still gain: the groups before this one, and those the index left out."""
+        out = np.zeros((len(norms), len(self.vectors)), norms.dtype)
+        ahead = np.maximum(self.left_out, group) - 1  # ascending, like the rows
+        for last in np.unique(ahead[ahead >= 0]).tolist():
+            rows = slice(*np.searchsorted(ahead, [last, last + 1]).tolist())
+            np.multiply(norms[:, last, None] * norms.dtype.type(_ROOM), self.norms[None, rows, last], out=out[:, rows])
+        return out
+
+
+def _prefix_norms(vectors: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Norms over the first k + 1 groups of dimensions."""
+    squares = np.add.reduceat(vectors.astype(np.float64) ** 2, edges[:-1], axis=1)
+    return np.sqrt(np.cumsum(squares, axis=1)).astype(vectors.dtype)
+
+
+def _products(one: np.ndarray, a: np.ndarray, two: np.ndarray, b: np.ndarray, part: slice) -> np.ndarray:
+    return np.einsum("ij,ij->i", one[a, part], two[b, part])
+
+
+def first_of_each(a: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` greatest scores of each anchor, ties to the smaller id."""
+    order = np.lexsort((ids, -score, a))
+    starts = np.flatnonzero(np.append(True, a[order][1:] != a[order][:-1])) if len(a) else np.empty(0, np.int64)
+    nth = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a))))
+    return order[nth < k]
+
+
+def _exact_pairs(anchors: np.ndarray, vectors: np.ndarray, thresholds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same with Python integers, for numbers too large for doubles; scores are held to the range of a long."""
+    found = []
     for i, anchor in enumerate(anchors.tolist()):
         for j, vector in enumerate(vectors.tolist()):
-            score = sum(int(a) * int(b) for a, b in zip(anchor, vector))
-            score = max(-_LONG, min(_LONG, score))
-            out[i, j] = score if score >= thresholds[i] else -np.inf
-    return out
-
-
-def _best_exact(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    places = []
-    for i, row in enumerate(scores.tolist()):
-        found = sorted((-s, j) for j, s in enumerate(row) if s != -np.inf)[:k]
-        places += [(i, j) for _, j in found]
-    a, b = zip(*places) if places else ((), ())
-    return np.array(a, np.int64), np.array(b, np.int64)
+            score = max(-_LONG, min(_LONG, sum(int(x) * int(y) for x, y in zip(anchor, vector))))
+            if score >= thresholds[i]:
+                found.append((i, j, score))
+    a, b, score = zip(*found) if found else ((), (), ())
+    return np.array(a, np.int64), np.array(b, np.int64), np.array(score, np.int64)
+
+
+def _in_block(known: dict, points: np.ndarray, ids: np.ndarray, labels: np.ndarray, rows: np.ndarray, same: bool):
+    """(anchor, row, score) of the pairs of a block from each anchor's ``low`` on: with rows of its own label (``same``) or of others."""
+    own_labels = np.unique(known["labels"]).tolist() if same else [None]
+    for label in own_labels:
+        mine = np.flatnonzero(known["labels"] == label) if same else np.arange(len(points))
+        theirs = np.flatnonzero(labels == label) if same else np.arange(len(ids))
+        if not len(mine) or not len(theirs):
+            continue
+        one, two, low = points[mine], rows[theirs], known["low"][mine]
+        width, greatest = one.shape[1], 0.0
+        if one.dtype == object or two.dtype == object:
+            greatest = np.inf
+        elif width:
+            greatest = float(np.abs(one).max() * np.abs(two).max() * width)
+        index = None
+        if greatest < _EXACT and width:
+            kind = np.float32 if greatest < _EXACT_SINGLE else np.float64
+            one, two, low = one.astype(kind), two.astype(kind), low.astype(np.float64)
+            edges = np.unique(np.linspace(0, width, GROUPS + 1).astype(np.int64))
+            index = Index(two, float(low.min()), _prefix_norms(one, edges).max(axis=0), edges)
+        step = max(1, PAIR_VALUES // len(two))
+        for start in range(0, len(one), step):
+            part = slice(start, start + step)
+            a, b, score = index.pairs(one[part], low[part]) if index else _exact_pairs(one[part], two, low[part])
+            a, b = mine[a + start], theirs[b]
+            right = known["ids"][a] != ids[b] if same else known["labels"][a] != labels[b]
+            yield a[right], b[right], score[right].astype(np.int64)
 
 
 def _search(packed: DataFrame, anchors: dict[str, np.ndarray], scale: int, same_label: bool) -> DataFrame:
@@ -175,39 +225,16 @@ def _search(packed: DataFrame, anchors: dict[str, np.ndarray], scale: int, same_
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         points = whole_numbers(known["vectors"], scale)
-        width = points.shape[1]
-        edges = np.unique(np.linspace(0, width, GROUPS + 1).astype(np.int64))
         for batch in batches:
-            for ids, labels, flat in zip(*(batch[c].to_pylist() for c in ("ids", "labels", "vectors"))):
-                ids, labels = np.array(ids), np.array(labels)
-                order = np.argsort(ids, kind="stable")
-                ids, labels = ids[order], labels[order]
-                rows = whole_numbers(np.array(flat, np.float64).reshape(len(ids), -1), scale)[order]
-                exact = rows.dtype != object and points.dtype != object
-                exact = exact and np.abs(rows).max(initial=0) * np.abs(points).max(initial=0) * width < _EXACT
-                index = None
-                if exact and width:
-                    squares = np.add.reduceat(points**2, edges[:-1], axis=1)
-                    reach = np.sqrt(np.cumsum(squares, axis=1)).max(axis=0)
-                    index = Index(rows, float(known["low"].min()), reach, edges)
-                step = max(1, PAIR_VALUES // len(ids))
-                for start in range(0, len(points), step):
-                    part = slice(start, start + step)
-                    low, high = known["low"][part], known["high"][part]  # one low, a high for each place
-                    if index:
-                        scores, choose = index.scores(points[part], low.astype(np.float64)), best
-                    elif width:
-                        scores, choose = _exact_scores(points[part], rows, low), _best_exact
-                    else:
-                        scores, choose = np.where(low[:, None] <= 0, np.zeros((len(low), len(ids))), -np.inf), best
-                    alike = known["labels"][part, None] == labels[None]
-                    own = known["ids"][part, None] == ids[None]
-                    scores = np.where((alike & ~own) if same_label else ~alike, scores, -np.inf)
-                    for place in range(high.shape[1]):
-                        top = high[:, place : place + 1]
-                        a, b = choose(np.where(scores <= top, scores, -np.inf), WINDOW)
-                        if len(a):
-                            columns = (known["numbers"][part][a], np.full(len(a), place), ids[b], [int(s) for s in scores[a, b]])
+            for i in range(batch.num_rows):
+                ids, labels, flat = (batch[c][i].values.to_numpy(zero_copy_only=False) for c in ("ids", "labels", "vectors"))
+                rows = whole_numbers(flat.reshape(len(ids), -1), scale)
+                for a, b, score in _in_block(known, points, ids, labels, rows, same_label):
+                    for place in range(known["high"].shape[1]):
+                        under = np.flatnonzero(score <= known["high"][a, place])
+                        best = under[first_of_each(a[under], ids[b[under]], score[under], WINDOW)]
+                        if len(best):
+                            columns = (known["numbers"][a[best]], np.full(len(best), place), ids[b[best]], score[best])
                             yield pa.RecordBatch.from_arrays(
                                 [pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema
                             )
