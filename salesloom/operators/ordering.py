@@ -16,7 +16,8 @@ ends up in one task; figures of a value that crosses a border are carried over i
 without tie-breaks gets the row's number as one. ``within`` numbers each group separately
 without making the group the unit of work: a group may span any number of buckets.
 
-The number of buckets follows the rows. Nothing but the row count and, for quantiles, the
+The number of buckets follows the rows. The layout is written when it is first asked for, and what lies before its
+buckets only for figures that need it: tiles and quantiles do with the rows in each bucket. Nothing but the row count and, for quantiles, the
 sought rows reaches the driver, and no plan holds cut points.
 """
 
@@ -26,6 +27,7 @@ import itertools
 import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -113,11 +115,26 @@ class GlobalOrder:
             # written before it decides where a row goes
             frame = materialize(frame.withColumn(tie, F.monotonically_increasing_id()))
             spec = replace(spec, ties=(Key(tie),))
-        self.spec, self.rows, self._buckets = spec, rows, buckets
-        keys = [key.sort() for key in spec.keys]
-        laid = frame.repartitionByRange(buckets, *keys).sortWithinPartitions(*keys)
-        self._table = materialize(laid.withColumn(self._at, F.monotonically_increasing_id()))
-        self._offsets = materialize(self._carried(self._measured()))
+        self.spec, self.rows, self._buckets, self._frame = spec, rows, buckets, frame
+
+    @cached_property
+    def _table(self) -> DataFrame:
+        """The rows as laid out, written."""
+        keys = [key.sort() for key in self.spec.keys]
+        laid = self._frame.repartitionByRange(self._buckets, *keys).sortWithinPartitions(*keys)
+        return materialize(laid.withColumn(self._at, F.monotonically_increasing_id()))
+
+    @cached_property
+    def _offsets(self) -> DataFrame:
+        return materialize(self._carried(self._measured()))
+
+    @cached_property
+    def _held(self) -> DataFrame:
+        """Per bucket the rows before it (``before``) and in it: enough to find a position."""
+        bucket = F.shiftright(self._at, _PLACE_BITS).cast("int").alias("bucket")
+        held = self._table.groupBy(bucket).agg(F.count("*").alias("held"))
+        before = F.sum("held").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
+        return held.withColumn("before", F.coalesce(before, F.lit(0).cast("bigint")))
 
     # -- what lies before each bucket
 
@@ -280,12 +297,20 @@ class GlobalOrder:
         local = F.coalesce(F.sum(Key(name).column).over(window), F.lit(0))
         return self._added(local, self._carry("sums")[at])
 
-    def cume_dist(self) -> Column:
-        self._whole("cume_dist")
+    def last_peer(self) -> Column:
+        """The position of the last row with the same sort value; ``rank`` is that of the first."""
+        self._whole("the last peer")
         local = F.count("*").over(self._window(total=False))
         crosses = (local == self._carry("held")) & self._carry("end").isNotNull()
-        upto = F.when(crosses, self._carry("end")).otherwise(self._carry("rows") + local)
-        return upto.cast("double") / F.lit(float(max(self.rows, 1)))
+        return F.when(crosses, self._carry("end")).otherwise(self._carry("rows") + local)
+
+    def average_rank(self) -> Column:
+        """The mean position of all rows with the same sort value."""
+        return (self.rank() + self.last_peer()).cast("double") / 2
+
+    def cume_dist(self) -> Column:
+        self._whole("cume_dist")
+        return self.last_peer().cast("double") / F.lit(float(max(self.rows, 1)))
 
     def percent_rank(self) -> Column:
         self._whole("percent_rank")
@@ -314,11 +339,11 @@ class GlobalOrder:
     def _places(self, positions: Iterable[int]) -> dict[int, int]:
         """The number a row was written with, for each 1-based position."""
         self._whole("a position")
-        low, high = self._carry("rows"), self._carry("rows") + self._carry("held")
+        low, high = F.col("before"), F.col("before") + F.col("held")
         wanted = F.array(*(F.lit(p).cast("bigint") for p in sorted(set(positions))))
         inside = F.filter(wanted, lambda p: (p > low) & (p <= high))
-        at = F.shiftleft(F.col(self._bucket).cast("bigint"), _PLACE_BITS) + F.col("position") - F.col("low") - 1
-        found = self._offsets.select(self._bucket, low.alias("low"), F.explode(inside).alias("position"))
+        at = F.shiftleft(F.col("bucket").cast("bigint"), _PLACE_BITS) + F.col("position") - F.col("before") - 1
+        found = self._held.select("bucket", "before", F.explode(inside).alias("position"))
         return {r["position"]: r["at"] for r in found.select("position", at.alias("at")).collect()}
 
     def _rows_at(self, places: Iterable[int]) -> DataFrame:

@@ -539,9 +539,17 @@ GROUP BY 1, 2, 3""",
   {_pct("COUNT(*)", "SUM(COUNT(*)) OVER ()", 1)} AS SharePct,
   {_r(_ratio("SUM(qty)", "COUNT(qty)"), 2)} AS AvgQuantity, {_r("MAX(disc) * 100", 2)} AS MaxDiscountPct
 FROM li GROUP BY 1""",
-    "x12_discount_revenue": _with(_LINES, _AGENTS)
-    + f"""SELECT COUNT(*) AS Employees, ROUND(CORR({_d("disc_pct")}, {_d("revenue")}), 3) AS Correlation
-FROM agent""",
+    "x12_discount_revenue": _with(
+        _LINES,
+        _AGENTS,
+        """ranked AS (
+  SELECT *, RANK() OVER (ORDER BY disc_pct) + (COUNT(*) OVER (PARTITION BY disc_pct) - 1) / 2.0 AS disc_rank,
+         RANK() OVER (ORDER BY revenue) + (COUNT(*) OVER (PARTITION BY revenue) - 1) / 2.0 AS rev_rank
+  FROM agent)""",
+    )
+    + f"""SELECT COUNT(*) AS Employees, ROUND(CORR({_d("disc_pct")}, {_d("revenue")}), 3) AS Correlation,
+  ROUND(CORR({_d("disc_rank")}, {_d("rev_rank")}), 3) AS RankCorrelation
+FROM ranked""",
     "x10_revenue_per_territory": _with(
         _LINES,
         _AGENTS,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -348,7 +348,41 @@ def discounted_lines(retail: Retail) -> DataFrame:
 
 
 def discount_revenue_correlation(retail: Retail) -> DataFrame:
-    """Correlation, over the employees, of the mean discount given with the revenue earned; null if either is constant."""
-    figures = employee_figures(retail)
-    found = F.corr(F.col("AvgDiscountPct").cast("double"), F.col("TotalRevenue").cast("double"))
-    return figures.agg(F.count("*").alias("Employees"), F.round(found, 3).alias("Correlation"))
+    """Correlation, over the employees, of the mean discount given with the revenue earned, and of their ranks (Spearman; employees
+    with equal figures share the mean of their ranks). Null if either is constant."""
+    figures = materialize(
+        employee_figures(retail).select(
+            "EmployeeID", F.col("AvgDiscountPct").alias("Discount"), F.col("TotalRevenue").alias("Revenue")
+        )
+    )
+    by_amount = figures.agg(
+        F.count("*").alias("Employees"),
+        # not F.corr, which divides by zero if a column is constant
+        F.round(_correlation(F.col("Discount").cast("double"), F.col("Revenue").cast("double")), 3).alias("Correlation"),
+    )
+    by_rank = rank_correlation(figures, "EmployeeID", "Discount", "Revenue")
+    return by_amount.withColumn("RankCorrelation", by_rank.scalar())
+
+
+def _correlation(one: Column, two: Column) -> Column:
+    both = one.isNotNull() & two.isNotNull()
+    one, two = F.when(both, one), F.when(both, two)
+    return ratio(F.covar_pop(one, two), F.stddev_pop(one) * F.stddev_pop(two))
+
+
+def rank_correlation(figures: DataFrame, key: str, one: str, two: str) -> DataFrame:
+    """RankCorrelation, one row: Spearman's coefficient of two columns over the rows that have both. Ranks are doubled, so that means of
+    peers are whole and all sums exact."""
+    held = materialize(figures.where(F.col(one).isNotNull() & F.col(two).isNotNull()).select(key, one, two))
+    (by_one,) = measure(held, Spec(Key(one), (Key(key),)))
+    ranked = by_one.arrange().select(key, two, (by_one.rank() + by_one.last_peer()).alias("first"))
+    (by_two,) = measure(materialize(ranked), Spec(Key(two), (Key(key),)), rows=by_one.rows)
+    ranks = by_two.arrange().select("first", (by_two.rank() + by_two.last_peer()).alias("second"))
+    # both columns of ranks have the mean rows + 1
+    apart = {c: (F.col(c) - (by_one.rows + 1)).cast("decimal(19,0)") for c in ("first", "second")}
+    sums = ranks.agg(
+        F.sum(apart["first"] * apart["second"]).cast("double").alias("both"),
+        F.sum(apart["first"] * apart["first"]).cast("double").alias("one"),
+        F.sum(apart["second"] * apart["second"]).cast("double").alias("two"),
+    )
+    return sums.select(F.round(F.try_divide("both", F.sqrt("one") * F.sqrt("two")), 3).alias("RankCorrelation"))
