@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salesloom.plans.reports import customers, employees, insights, kpi, revenue, shipping, supply
+from salesloom.plans.reports import customers, employees, insights, kpi, revenue, shipping, spread, supply
 from salesloom.plans.retail import Retail, StarRetail
 
 REPORTS: dict[str, Callable[..., DataFrame]] = {
@@ -40,6 +40,8 @@ REPORTS: dict[str, Callable[..., DataFrame]] = {
     "x10_revenue_per_territory": insights.revenue_per_territory,
     "x11_discounted_lines": insights.discounted_lines,
     "x12_discount_revenue": insights.discount_revenue_correlation,
+    "x13_group_quantiles": spread.order_value_quantiles,
+    "x14_pareto_cut": spread.pareto_cut,
 }
 
 

@@ -559,4 +559,35 @@ FROM ranked""",
     + f"""SELECT s_name AS EmployeeName, {_d("revenue")} AS TotalRevenue, n AS Territories,
   {_r(_ratio("revenue", "n"), 2)} AS RevenuePerTerritory
 FROM agent JOIN terr ON s_suppkey = l_suppkey""",
+    "x13_group_quantiles": _with(
+        _LINES,
+        """v AS (
+  SELECT n_name AS country, YEAR(CAST(o_orderdate AS DATE)) AS yr, CAST(ROUND(SUM(net), 2) AS DOUBLE) AS amount
+  FROM orders JOIN li ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  GROUP BY o_orderkey, n_name, yr)""",
+    )
+    + f"""SELECT country AS Country, yr AS OrderYear, COUNT(*) AS Orders,
+  {_r("QUANTILE_CONT(amount, 0.25)", 2)} AS LowerQuartile,
+  {_r("QUANTILE_CONT(amount, 0.5)", 2)} AS MedianOrderValue,
+  {_r("QUANTILE_CONT(amount, 0.75)", 2)} AS UpperQuartile
+FROM v GROUP BY country, yr""",
+    "x14_pareto_cut": _with(
+        _LINES,
+        _PARTS,
+        _PRODUCTS,
+        _CUSTOMERS,
+        _TOTAL,
+        f"""earner AS (
+  SELECT 'Product' AS entity, p_partkey AS k, revenue FROM prod WHERE revenue > 0
+  UNION ALL SELECT 'Customer', c_custkey, revenue FROM cust WHERE revenue > 0),
+run AS (
+  SELECT *, ROW_NUMBER() OVER best AS n, SUM(revenue) OVER (best {_RUNNING}) AS running,
+         COUNT(*) OVER (PARTITION BY entity) AS members
+  FROM earner WINDOW best AS (PARTITION BY entity ORDER BY revenue DESC, k)),
+goal AS (SELECT entity, pct, total * pct / 100 AS amount, total FROM t, (SELECT DISTINCT entity FROM earner), (VALUES (50), (80), (95)) g(pct))""",
+    )
+    + f"""SELECT r.entity AS Entity, CAST(pct AS DOUBLE) AS TargetPct, n AS Members, members AS AllMembers,
+  {_pct("n", "members", 1)} AS MembersPct, {_r("running", 2)} AS Revenue, {_pct("running", "total", 1)} AS SharePct,
+  {_d("revenue")} AS SmallestRevenue, CAST(k AS VARCHAR) AS LastKey
+FROM goal JOIN run r ON r.entity = goal.entity AND running >= amount AND running - revenue < amount""",
 }
