@@ -42,6 +42,8 @@ REPORTS: dict[str, Callable[..., DataFrame]] = {
     "x12_discount_revenue": insights.discount_revenue_correlation,
     "x13_group_quantiles": spread.order_value_quantiles,
     "x14_pareto_cut": spread.pareto_cut,
+    "x15_customer_quarters": revenue.customer_quarters,
+    "x15_filled_category_years": partial(revenue.category_yoy, fill=True),
 }
 
 

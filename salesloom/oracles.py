@@ -590,4 +590,33 @@ goal AS (SELECT entity, pct, total * pct / 100 AS amount, total FROM t, (SELECT
   {_pct("n", "members", 1)} AS MembersPct, {_r("running", 2)} AS Revenue, {_pct("running", "total", 1)} AS SharePct,
   {_d("revenue")} AS SmallestRevenue, CAST(k AS VARCHAR) AS LastKey
 FROM goal JOIN run r ON r.entity = goal.entity AND running >= amount AND running - revenue < amount""",
+    "x15_customer_quarters": _with(
+        _LINES,
+        """s AS (
+  SELECT o_custkey, DATE_TRUNC('quarter', CAST(o_orderdate AS DATE))::DATE AS q, COUNT(DISTINCT o_orderkey) AS orders,
+         ROUND(SUM(net), 2) AS revenue
+  FROM orders JOIN li ON o_orderkey = l_orderkey WHERE o_custkey IS NOT NULL AND o_orderdate IS NOT NULL GROUP BY ALL),
+spine AS (
+  SELECT o_custkey, UNNEST(GENERATE_SERIES(MIN(q), MAX(q), INTERVAL 3 MONTH))::DATE AS q FROM s GROUP BY o_custkey),
+f AS (
+  SELECT o_custkey, q, COALESCE(orders, 0) AS orders, COALESCE(revenue, 0) AS revenue FROM spine LEFT JOIN s USING (o_custkey, q)),
+g AS (
+  SELECT *, LAG(revenue) OVER line AS prev, SUM(revenue) OVER line AS so_far
+  FROM f WINDOW line AS (PARTITION BY o_custkey ORDER BY q))""",
+    )
+    + f"""SELECT CAST(o_custkey AS VARCHAR) AS CustomerID, q AS QuarterStart, orders AS Orders, {_d("revenue")} AS Revenue,
+  {_d("prev")} AS PrevQuarterRevenue, {_pct("revenue - prev", "prev", 1)} AS QoQ_Growth_Pct, {_d("so_far")} AS RevenueSoFar
+FROM g""",
+    "x15_filled_category_years": _with(
+        _LINES,
+        """s AS (
+  SELECT p_type AS category, YEAR(CAST(o_orderdate AS DATE)) AS yr, ROUND(SUM(net), 2) AS revenue
+  FROM li JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+spine AS (SELECT category, UNNEST(GENERATE_SERIES(MIN(yr), MAX(yr))) AS yr FROM s GROUP BY category),
+f AS (SELECT category, yr, COALESCE(revenue, 0) AS revenue FROM spine LEFT JOIN s USING (category, yr)),
+g AS (SELECT *, LAG(revenue) OVER (PARTITION BY category ORDER BY yr) AS prev FROM f)""",
+    )
+    + f"""SELECT category AS CategoryName, CAST(yr AS BIGINT) AS OrderYear, {_d("revenue")} AS Revenue, {_d("prev")} AS PrevYearRevenue,
+  {_pct("revenue - prev", "prev", 1)} AS YoY_Growth_Pct, RANK() OVER (PARTITION BY yr ORDER BY revenue DESC) AS RankWithinYear
+FROM g""",
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from salesloom.functions.classify import bucketize
 from salesloom.functions.money import dec_round, money, ratio, rounded, safe_pct
+from salesloom.operators.calendar import filled
 from salesloom.operators.growth import growth
 from salesloom.operators.lookups import total
 from salesloom.operators.ordering import Key, Spec, measure
@@ -26,9 +27,12 @@ DISCOUNT_BUCKETS = [
 DISCOUNT_ABOVE = "21-25%"
 
 
-def category_yoy(retail: Retail) -> DataFrame:
+def category_yoy(retail: Retail, fill: bool = False) -> DataFrame:
     """Revenue per category and year, growth on the previous year, rank within the year.
 
+    ``fill`` adds the years between a category's first and last one in which it sold nothing, so that growth is
+    against the year before and not the last one with sales.
+
     Lines meet their orders once, then shrink to product and year before the
     products are joined. A hot order or product is met by the partial sums and, in
     the join, by the adaptive skew split.
@@ -45,6 +49,10 @@ def category_yoy(retail: Retail) -> DataFrame:
         .groupBy("CategoryName", "OrderYear")
         .agg(dec_round(money(F.sum("NetU")), 2).alias("Revenue"))
     )
+    if fill:
+        begun = revenue.withColumn("Begins", F.make_date("OrderYear", F.lit(1), F.lit(1)))
+        revenue = filled(begun, "Begins", "year", ["CategoryName"], zero=["Revenue"])
+        revenue = revenue.withColumn("OrderYear", F.year("Begins").cast("bigint")).drop("Begins")
     prev, change = growth("Revenue", ["OrderYear"], ["CategoryName"])
     rank = F.rank().over(W.partitionBy("OrderYear").orderBy(F.desc("Revenue")))
     return (
@@ -131,8 +139,8 @@ def discount_depth(
     )
 
 
-def quarterly_trend(retail: Retail) -> DataFrame:
-    """Orders and revenue per quarter and the change on the quarter before."""
+def quarterly_trend(retail: Retail, fill: bool = False) -> DataFrame:
+    """Orders and revenue per quarter and the change on the quarter before; ``fill`` adds quarters without orders."""
     quarters = (
         retail.order_book("inner")
         .groupBy(
@@ -145,6 +153,11 @@ def quarterly_trend(retail: Retail) -> DataFrame:
             F.sum("PricedLines").alias("Priced"),
         )
     )
+    if fill:
+        begun = quarters.withColumn("Begins", F.make_date("OrderYear", F.col("Quarter") * 3 - 2, F.lit(1)))
+        quarters = filled(begun, "Begins", "quarter", zero=["OrderCount", "Revenue", "Priced"])
+        year, quarter = F.year("Begins").cast("bigint"), F.quarter("Begins").cast("bigint")
+        quarters = quarters.withColumns({"OrderYear": year, "Quarter": quarter}).drop("Begins")
     _, change = growth("Revenue", ["OrderYear", "Quarter"])
     return (
         quarters.withColumn("QoQ_Growth_Pct", change)
@@ -164,3 +177,27 @@ def quarterly_trend(retail: Retail) -> DataFrame:
         )
         .orderBy("OrderYear", "Quarter")
     )
+
+
+def customer_quarters(retail: Retail) -> DataFrame:
+    """Orders and revenue of each customer in every quarter from the first to the last order, quarters without orders included: revenue
+    of the quarter before, change against it (null if that was nothing), and revenue so far."""
+    series = (
+        retail.order_book("inner")
+        .where(F.col("CustomerID").isNotNull() & F.col("OrderDate").isNotNull())
+        .groupBy("CustomerID", F.trunc("OrderDate", "quarter").alias("QuarterStart"))
+        .agg(F.count("*").alias("Orders"), dec_round(money(F.sum("NetU")), 2).alias("Revenue"))
+    )
+    line = W.partitionBy("CustomerID").orderBy("QuarterStart")
+    series = series.withColumn("RevenueSoFar", F.sum("Revenue").over(line))
+    full = filled(series, "QuarterStart", "quarter", ["CustomerID"], zero=["Orders", "Revenue"], carried=["RevenueSoFar"])
+    prev, change = growth("Revenue", ["QuarterStart"], ["CustomerID"])
+    return full.select(
+        F.col("CustomerID").cast("string").alias("CustomerID"),
+        "QuarterStart",
+        "Orders",
+        F.col("Revenue").cast("double").alias("Revenue"),
+        prev.cast("double").alias("PrevQuarterRevenue"),
+        change.alias("QoQ_Growth_Pct"),
+        F.col("RevenueSoFar").cast("double").alias("RevenueSoFar"),
+    )
