@@ -7,7 +7,8 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salesloom.plans.reports import customers, employees, insights, kpi, revenue, shipping, spread, supply
+from salesloom.plans.audit import reference_audit
+from salesloom.plans.reports import customers, employees, insights, kpi, revenue, shipping, sketched, spread, supply
 from salesloom.plans.retail import Retail, StarRetail
 
 REPORTS: dict[str, Callable[..., DataFrame]] = {
@@ -44,6 +45,9 @@ REPORTS: dict[str, Callable[..., DataFrame]] = {
     "x14_pareto_cut": spread.pareto_cut,
     "x15_customer_quarters": revenue.customer_quarters,
     "x15_filled_category_years": partial(revenue.category_yoy, fill=True),
+    "x16_period_sketches": sketched.period_sketches,
+    "x17_refreshed_trend": revenue.refreshed_trend,
+    "x18_reference_audit": reference_audit,
 }
 
 

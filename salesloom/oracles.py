@@ -203,6 +203,36 @@ JOIN (SELECT CAST(UNNEST([3, 5, 10]) AS BIGINT) AS n) k ON rn <= n CROSS JOIN t
 GROUP BY n"""
 
 
+def _audit() -> str:
+    """Each check by itself: a grouped count for a key, an anti join for a reference."""
+    keys = {
+        "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"],
+        "part": ["p_partkey"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"],
+    }
+    references = [
+        ("nation", "n_regionkey", "region"), ("customer", "c_nationkey", "nation"), ("supplier", "s_nationkey", "nation"),
+        ("orders", "o_custkey", "customer"), ("lineitem", "l_orderkey", "orders"), ("lineitem", "l_partkey", "part"),
+        ("lineitem", "l_suppkey", "supplier"),
+    ]
+    parts = []
+    for table, columns in keys.items():
+        cols, null = ", ".join(columns), " OR ".join(f"{c} IS NULL" for c in columns)
+        twice = f"(SELECT COUNT(*) AS n FROM {table} WHERE NOT ({null}) GROUP BY {cols} HAVING COUNT(*) > 1)"
+        parts.append(
+            f"SELECT 'key' AS Kind, '{table}({cols})' AS Relation, (SELECT COUNT(*) FROM {table}) AS CheckedRows,"
+            f" (SELECT COUNT(*) FROM {table} WHERE {null}) AS NullRows,"
+            f" (SELECT CAST(COALESCE(SUM(n), 0) AS BIGINT) FROM {twice}) AS FaultyRows, (SELECT COUNT(*) FROM {twice}) AS FaultyKeys"
+        )
+    for table, column, to in references:
+        lost = f"{table} WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT {keys[to][0]} FROM {to} WHERE {keys[to][0]} IS NOT NULL)"
+        parts.append(
+            f"SELECT 'reference', '{table}({column}) -> {to}', (SELECT COUNT(*) FROM {table}),"
+            f" (SELECT COUNT(*) FROM {table} WHERE {column} IS NULL),"
+            f" (SELECT COUNT(*) FROM {lost}), (SELECT COUNT(DISTINCT {column}) FROM {lost})"
+        )
+    return "\nUNION ALL ".join(parts)
+
+
 ORACLES: dict[str, str] = {
     "kpi_snapshot": _kpi(),
     "q1_category_yoy": _with(
@@ -619,4 +649,16 @@ g AS (SELECT *, LAG(revenue) OVER (PARTITION BY category ORDER BY yr) AS prev FR
     + f"""SELECT category AS CategoryName, CAST(yr AS BIGINT) AS OrderYear, {_d("revenue")} AS Revenue, {_d("prev")} AS PrevYearRevenue,
   {_pct("revenue - prev", "prev", 1)} AS YoY_Growth_Pct, RANK() OVER (PARTITION BY yr ORDER BY revenue DESC) AS RankWithinYear
 FROM g""",
+    "x16_period_sketches": _with(
+        _LINES,
+        """v AS (
+  SELECT n_name AS country, YEAR(CAST(o_orderdate AS DATE)) AS yr, o_custkey, CAST(ROUND(SUM(net), 2) AS DOUBLE) AS amount
+  FROM orders JOIN li ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  WHERE o_orderdate IS NOT NULL GROUP BY o_orderkey, n_name, yr, o_custkey)""",
+    )
+    + f"""SELECT country AS Country, yr AS OrderYear, COUNT(*) AS Orders, COUNT(DISTINCT o_custkey) AS Customers,
+  {_r("QUANTILE_CONT(amount, 0.5)", 2)} AS MedianOrderValue, TRUE AS CustomersAgree, TRUE AS MedianAgrees
+FROM v GROUP BY country, yr""",
+    "x18_reference_audit": _audit(),
 }
+ORACLES["x17_refreshed_trend"] = ORACLES["q4_quarterly_trend"]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,7 +13,9 @@ from salesloom.functions.classify import bucketize
 from salesloom.functions.money import dec_round, money, ratio, rounded, safe_pct
 from salesloom.operators.calendar import filled
 from salesloom.operators.growth import growth
+from salesloom.operators.increments import Ledger
 from salesloom.operators.lookups import total
+from salesloom.operators.materialize import materialize, scratch_dir
 from salesloom.operators.ordering import Key, Spec, measure
 from salesloom.plans.retail import Retail
 
@@ -143,16 +146,67 @@ def quarterly_trend(retail: Retail, fill: bool = False) -> DataFrame:
     """Orders and revenue per quarter and the change on the quarter before; ``fill`` adds quarters without orders."""
     quarters = (
         retail.order_book("inner")
-        .groupBy(
-            F.year("OrderDate").cast("bigint").alias("OrderYear"),
-            F.quarter("OrderDate").cast("bigint").alias("Quarter"),
-        )
+        .groupBy(*_quarter())
         .agg(
             F.count("*").alias("OrderCount"),
             money(F.sum("NetU")).alias("Revenue"),
             F.sum("PricedLines").alias("Priced"),
         )
     )
+    return _trend(quarters, fill)
+
+
+def _quarter() -> list[Column]:
+    return [F.year("OrderDate").cast("bigint").alias("OrderYear"), F.quarter("OrderDate").cast("bigint").alias("Quarter")]
+
+
+# what reports by day and customer need, kept up to date by batches of orders
+DAY_KEYS, DAY_SUMS = ("CustomerID", "OrderDate"), ("NetU", "GrossU", "Units", "Lines", "PricedLines")
+
+
+def order_changes(retail: Retail, sign: int = 1) -> DataFrame:
+    """The rows a `Ledger` of DAY_KEYS and DAY_SUMS takes: one for each order with lines. A batch holds whole orders; an order that
+    changes is taken back as it was (``sign=-1``) and added as it is."""
+    return retail.order_book("inner").select(*DAY_KEYS, *DAY_SUMS, F.lit(sign).alias("sign"))
+
+
+def trend_of_days(state: DataFrame, fill: bool = False) -> DataFrame:
+    """`quarterly_trend` from the state of a ledger, without the orders."""
+    quarters = state.groupBy(*_quarter()).agg(
+        F.sum("rows").alias("OrderCount"), money(F.sum("NetU")).alias("Revenue"), F.sum("PricedLines").alias("Priced")
+    )
+    return _trend(quarters, fill)
+
+
+def customers_of_days(state: DataFrame) -> DataFrame:
+    """CustomerID, Orders, NetU, FirstOrder and LastOrder, as the customer reports sum them, from the state of a ledger."""
+    return state.groupBy("CustomerID").agg(
+        F.sum("rows").alias("Orders"),
+        F.sum("NetU").alias("NetU"),
+        F.min("OrderDate").alias("FirstOrder"),
+        F.max("OrderDate").alias("LastOrder"),
+    )
+
+
+def refreshed_trend(retail: Retail, batches: int = 4) -> DataFrame:
+    """`quarterly_trend` from a ledger that took the orders in ``batches``, each twice, with a batch that was wrong and taken
+    back between them."""
+    spark = retail.orders().sparkSession
+    ledger = Ledger(spark, f"{scratch_dir(spark)}/ledger-{uuid.uuid4().hex}", DAY_KEYS, DAY_SUMS)
+    changes = materialize(retail.order_book("inner").select("OrderID", *DAY_KEYS, *DAY_SUMS))
+    part = F.pmod(F.xxhash64("OrderID"), F.lit(batches))
+    for i in range(batches):
+        batch = changes.where(part == i).drop("OrderID")
+        if i == 1:
+            wrong = batch.withColumn("NetU", F.col("NetU") * 2)
+            ledger.apply("wrong", wrong.withColumn("sign", F.lit(1)))
+            ledger.apply("taken back", wrong.withColumn("sign", F.lit(-1)))
+        for _ in range(2):
+            ledger.apply(f"part {i}", batch.withColumn("sign", F.lit(1)))
+    return trend_of_days(ledger.state())
+
+
+def _trend(quarters: DataFrame, fill: bool) -> DataFrame:
     if fill:
         begun = quarters.withColumn("Begins", F.make_date("OrderYear", F.col("Quarter") * 3 - 2, F.lit(1)))
         quarters = filled(begun, "Begins", "quarter", zero=["OrderCount", "Revenue", "Priced"])

@@ -45,7 +45,7 @@ def test_report_equals_sql(spark, data, name):
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
     types = dict(zip(want.columns, map(str, want.types)))
-    names = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE"}
+    names = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN"}
     assert {c: names.get(t, t) for c, t in got.dtypes} == types
     quoted = ", ".join(f'"{c}"' for c in cols)
     want_rows = _sorted(want.project(quoted).fetchall())
