@@ -10,18 +10,20 @@
    bins and takes one sample per bin, an empty bin borrowing from another (bin-wise consistent weighted sampling): as no
    piece is heavy, bins weigh nearly the same. Between the two bounds both are made, so that neighbours in
    weight always have a kind in common.
-3. Signatures are cut into bands. Texts that share a band form a bucket; pairs are never listed. In each round every
-   text meets the centres of each of its buckets, unless they are in one class already or have met before. Eight bits of each sample tell
+3. Signatures are cut into bands. Texts that share a band form a bucket; pairs are never listed. In CENTRE_ROUNDS rounds every
+   text meets the centres of each of its buckets, unless they are in one class already. Eight bits of each sample tell
    how alike the two can be (a pair at the limit is let through unless off by several standard deviations); for those that
-   remain the weighted Jaccard similarity of both whole texts is worked out. Links merge classes, and the
-   next round takes other centres, for CENTRE_ROUNDS or until a round finds no link. These rounds only save work: then every
-   pair of a bucket that is still in two classes is compared by its samples, in cells of bounded size, and all that
-   may be alike are verified, the likeliest first, until no such pair between two classes is left.
+   remain the weighted Jaccard similarity of both whole texts is worked out, and links merge classes.
+4. The rounds only save work. Then the texts of every bucket that still holds several classes are dealt into cells of
+   bounded size, so that any two of different classes meet in one cell of the first band they share. A cell compares
+   its pairs by their samples, verifies the likeliest of each two classes first, merges what links, and gives at most one
+   link for each of its texts. Texts are sent to cells only if a pass over the samples found them a partner.
 """
 
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,10 +32,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from salesloom.llm.arrow import Collector, map_arrow, small_slices
-from salesloom.llm.tables import Appended
+from salesloom.llm.tables import Appended, Workspace
 from salesloom.operators.lookups import broadcast_up_to
 from salesloom.operators.materialize import materialize
 
@@ -47,8 +48,10 @@ IDF_SPAN = 0.5
 PIECE = 1 + IDF_SPAN  # a shingle that a document holds once is never cut
 _BLOCKS = 16  # pieces that sketches are summed in
 BROADCAST_KEYS = 200_000  # narrow rows of texts that share a band
-CENTRE_ROUNDS = 4  # rounds of centres before all pairs that are still apart are looked at
+CENTRE_ROUNDS = 2  # rounds of centres before all pairs that are still apart are looked at
 CELL_ROWS = 512  # texts of a bucket that are compared with as many others in one cell
+CELL_BYTES = 4 << 20  # of these texts
+_ROUNDING = 1e-9  # a similarity that is the limit but for rounding reaches it
 LEAST_AGREEMENT = 0.6  # of the samples, below which a pair is not looked at: 0.8 less four deviations
 
 _U = np.uint64
@@ -319,7 +322,7 @@ def _keyed(docs: DataFrame, *carry: str) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"), *carry)
 
 
-def _signatures(rows: DataFrame, df: Frequencies) -> DataFrame:
+def _signatures(rows: DataFrame, df: Frequencies, held: Workspace) -> DataFrame:
     """key, bands, dense and binned (low bytes of the samples) of every different text with words; written."""
     shared = rows.sparkSession.sparkContext.broadcast(df)  # of fixed size
     schema = pa.schema(
@@ -339,14 +342,14 @@ def _signatures(rows: DataFrame, df: Frequencies) -> DataFrame:
     made = map_arrow(
         rows.select("key", "text"), sign, "key binary, bands array<bigint>, dense binary, binned binary"
     )
-    return materialize(made.dropDuplicates(["key"]))
+    return held.table(made.dropDuplicates(["key"]))
 
 
 def _buckets(signatures: DataFrame) -> DataFrame:
     """band, key: bands that at least two different texts share."""
     each = signatures.select("key", F.explode("bands").alias("band"))
     shared_bands = each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    return materialize(each.join(shared_bands, "band"))
+    return each.join(shared_bands, "band")
 
 
 def _agreement(offers: DataFrame, marks: DataFrame) -> DataFrame:
@@ -377,46 +380,150 @@ def _agreement(offers: DataFrame, marks: DataFrame) -> DataFrame:
     return map_arrow(met, compare, ", ".join(f"{c} {types[c]}" for c in kept) + ", alike double")
 
 
-def _unjoined(buckets: DataFrame, classes: DataFrame, marks: DataFrame) -> DataFrame:
-    """key, centre, alike: each pair (key below centre) of texts in different classes that share a band, unless its samples
-    agree in less than LEAST_AGREEMENT. A bucket's texts are dealt into blocks, and any two blocks meet in one cell."""
-    placed = buckets.join(classes, "key")
-    ends = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    mixed = ends.where("low <> high").select("band", F.ceil(F.col("n") / CELL_ROWS).alias("blocks"))
-    dealt = placed.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
-    met = dealt.join(marks.select("key", "dense", "binned"), "key")
-    cells = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "key", "root", "dense", "binned"
+def _dealt(buckets: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """band, one, two, block and the columns of ``texts`` (key, size, ...): the texts of buckets with several classes, in cells.
+
+    The members of a bucket's largest class need not meet each other: they and the others are dealt into blocks, and each block of
+    others meets itself, its like and the blocks of the largest class.
+    """
+    placed = buckets.join(classes, "key").join(texts.select("key", "size"), "key")
+    by_class = placed.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    total = by_class.groupBy("band").agg(
+        F.count("*").alias("classes"),
+        F.sum("n").alias("n"),
+        F.sum("size").alias("size"),
+        F.max(F.struct("n", "size", "root")).alias("most"),
+    )
+    blocks = lambda n, size: F.greatest(F.ceil(n / CELL_ROWS), F.ceil(size / CELL_BYTES), F.lit(1)).cast("int")
+    mixed = total.where("classes > 1").select(
+        "band",
+        F.col("most.root").alias("largest"),
+        blocks(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("others"),
+        blocks(F.col("most.n"), F.col("most.size")).alias("inside"),
+    )
+    own = F.col("root") == F.col("largest")
+    dealt = placed.drop("size").join(mixed, "band").withColumn(
+        "block",
+        F.when(own, F.col("others") + F.pmod(F.xxhash64("key"), F.col("inside"))).otherwise(F.pmod(F.xxhash64("key"), F.col("others"))).cast("int"),
+    )
+    meets = F.sequence(F.lit(0), F.when(own, F.col("others") - 1).otherwise(F.col("others") + F.col("inside") - 1))
+    each = dealt.withColumn("other", F.explode(meets)).select(
+        "band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "key", "root"
     )
+    return each.join(texts, "key")
+
+
+class _Cell:
+    """The texts of one cell: which pairs may be alike, and which are."""
+
+    def __init__(self, band: int, one: int, two: int, rows: list[dict]):
+        self._one, self._two, self.rows = one, two, rows
+        number = {r: i for i, r in enumerate({row["root"] for row in rows})}
+        self.classes = np.array([number[row["root"]] for row in rows])
+        self._block = np.array([row["block"] for row in rows])
+        blank = bytes(SLOTS)
+        self._held = [np.array([row[kind] is not None for row in rows]) for kind in ("dense", "binned")]
+        self._marks = [
+            np.frombuffer(b"".join(row[kind] or blank for row in rows), np.uint8).reshape(-1, SLOTS) for kind in ("dense", "binned")
+        ]
+        # bands of both kinds in columns of their own; what a text lacks differs from all
+        self._bands = np.arange(-1, -2 * BANDS * len(rows) - 1, -1).reshape(len(rows), 2 * BANDS)
+        for i, row in enumerate(rows):
+            start = 0 if row["dense"] is not None else BANDS
+            self._bands[i, start : start + len(row["bands"])] = row["bands"]
+        self._here = self._bands == band
+
+    def partners(self, i: int) -> np.ndarray:
+        """Texts of other classes that may be as alike to ``i`` as asked, likeliest first: those whose first common band is this one."""
+        if self._block[i] != self._one:
+            return np.empty(0, np.int64)
+        apart = self._block == self._two
+        if self._one == self._two:
+            apart[: i + 1] = False
+        at = np.flatnonzero(apart & (self.classes != self.classes[i]))
+        if not len(at):
+            return at
+        agree = np.zeros(len(at))
+        for has, mark in zip(self._held, self._marks):
+            if has[i]:
+                agree = np.maximum(agree, np.where(has[at], (mark[at] == mark[i]).mean(axis=1), 0))
+        first = (self._bands[at] == self._bands[i]).argmax(axis=1)
+        kept = (agree >= LEAST_AGREEMENT) & self._here[at, first]
+        return at[kept][np.argsort(-agree[kept], kind="stable")]
+
+    def joined(self, i: int, j: int) -> None:
+        self.classes[self.classes == self.classes[j]] = self.classes[i]
+
+
+def _each_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[_Cell]:
+    rows = (row for batch in batches for row in batch.to_pylist())
+    for (band, one, two), members in itertools.groupby(rows, key=lambda row: (row["band"], row["one"], row["two"])):
+        yield _Cell(band, one, two, list(members))  # bounded by CELL_ROWS and CELL_BYTES
+
+
+def _in_cells(cells: DataFrame) -> DataFrame:
     names = ["band", "one", "two"]
-    schema = pa.schema([("key", pa.binary()), ("centre", pa.binary()), ("alike", pa.float64())])
-    blank = bytes(SLOTS)
+    return cells.repartition(*names).sortWithinPartitions(*names)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _with_partners(cells: DataFrame) -> DataFrame:
+    """key: the texts that have a partner in a cell."""
+    schema = pa.schema([("key", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Collector(schema)
-        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
-        for (_, one, two), cell in itertools.groupby(rows, key=lambda row: row[:3]):
-            _, _, _, block, key, root, *kinds = zip(*cell)
-            number = {r: i for i, r in enumerate(set(root))}
-            classed, block = np.array([number[r] for r in root]), np.array(block)
-            held = [np.array([m is not None for m in kind]) for kind in kinds]
-            marked = [np.frombuffer(b"".join(m or blank for m in kind), np.uint8).reshape(-1, SLOTS) for kind in kinds]
-            place = np.arange(len(key))
-            for i in place[block == one].tolist():
-                apart = (place > i) if one == two else (block == two)
-                at = np.flatnonzero(apart & (classed != classed[i]))
-                best = np.zeros(len(at))
-                for has, mark in zip(held, marked):
-                    if has[i] and len(at):
-                        best = np.maximum(best, np.where(has[at], (mark[at] == mark[i]).mean(axis=1), 0))
-                near = best >= LEAST_AGREEMENT
-                for j, alike in zip(at[near].tolist(), best[near].tolist()):
-                    if out.add((min(key[i], key[j]), max(key[i], key[j]), alike)):
-                        yield out.take()
+        for cell in _each_cell(batches):
+            found = np.zeros(len(cell.rows), bool)
+            for i in range(len(cell.rows)):
+                partners = cell.partners(i)
+                found[partners] = True
+                found[i] |= len(partners) > 0
+            for i in np.flatnonzero(found).tolist():
+                if out.add((cell.rows[i]["key"],)):
+                    yield out.take()
         yield out.take()
 
-    ordered = cells.repartition(*names).sortWithinPartitions(*names)
-    return map_arrow(ordered, compare, "key binary, centre binary, alike double").distinct()
+    return map_arrow(_in_cells(cells), run, "key binary").distinct()
+
+
+def _links_in_cells(cells: DataFrame, df: Frequencies, similarity: float) -> DataFrame:
+    """a, b: verified links, at most one for each text of a cell: they join the classes that all links of the cell join."""
+    shared = cells.sparkSession.sparkContext.broadcast(df)  # of fixed size
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, known = Collector(schema), shared.value
+        for cell in _each_cell(batches):
+            vectors: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+            def vector(i: int) -> tuple[np.ndarray, np.ndarray]:
+                if i not in vectors:
+                    found = shingles(pa.array([cell.rows[i]["text"]], pa.string()))
+                    vectors[i] = (found.hash, known.weights(found))
+                return vectors[i]
+
+            for i in range(len(cell.rows)):
+                at = cell.partners(i)
+                while len(at):
+                    # the likeliest of each other class; the rest of a class only if that one was not alike
+                    nearest = np.sort(np.unique(cell.classes[at], return_index=True)[1])
+                    for j in at[nearest].tolist():
+                        if cell.classes[i] != cell.classes[j] and _alike(vector(i), vector(j)) >= similarity - _ROUNDING:
+                            cell.joined(i, j)
+                            if out.add((cell.rows[i]["key"], cell.rows[j]["key"])):
+                                yield out.take()
+                    at = np.delete(at, nearest)
+                    at = at[cell.classes[at] != cell.classes[i]]
+        yield out.take()
+
+    return map_arrow(_in_cells(cells), run, "a binary, b binary")
+
+
+def _alike(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two vectors of distinct hashes, in order, and weights."""
+    _, a, b = np.intersect1d(one[0], two[0], assume_unique=True, return_indices=True)
+    common = float(np.minimum(one[1][a], two[1][b]).sum())
+    return common / max(float(one[1].sum() + two[1].sum()) - common, 1e-300)
 
 
 def similarities(a: pa.Array, b: pa.Array, df: Frequencies) -> np.ndarray:
@@ -440,7 +547,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, df: Frequencies, similarity: f
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small_slices(batches):
-            alike = similarities(part["text"], part["centre_text"], shared.value) >= similarity
+            alike = similarities(part["text"], part["centre_text"], shared.value) >= similarity - _ROUNDING
             yield part.select(kept).filter(pa.array(alike))
 
     # narrow pairs meet the centres first: a centre may be sought by many, a key appears once
@@ -451,9 +558,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, df: Frequencies, similarity: f
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node of each connected component of ``edges`` (a, b). Labels fall to the least neighbour's, then
-    to their label's label, until nothing changes; every step is a written table."""
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
+    to their label's label, until nothing changes; every step is a written table, and the one before it is dropped."""
+    spark = edges.sparkSession
+    held = Workspace(spark)
+    both = held.table(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    last = Workspace(spark)
+    labels = last.table(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
     while True:
         around = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
         lower = labels.join(around, labels["node"] == around["a"]).select("node", "root", F.least("root", "near").alias("next"))
@@ -461,10 +571,14 @@ def components(edges: DataFrame) -> DataFrame:
         jumped = lower.join(up, "next", "left").select(
             "node", (F.coalesce("further", "next")).alias("new"), F.col("root").alias("old")
         )
-        step = materialize(jumped)
+        following = Workspace(spark)
+        step = following.table(jumped)
+        last.drop()
+        last = following
         changed = not step.where("new <> old").isEmpty()
         labels = step.select("node", F.col("new").alias("root"))
         if not changed:
+            held.drop()
             return labels
 
 
@@ -473,20 +587,22 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     ``docs`` has doc_id and text and is read several times.
     """
+    spark = docs.sparkSession
     rows = _keyed(docs)
     df = frequencies(rows)
-    signatures = _signatures(rows, df)
-    buckets = _buckets(signatures)
-    keys = materialize(buckets.select("key").distinct())
+    held = Workspace(spark)
+    signatures = _signatures(rows, df, held)
+    buckets = held.table(_buckets(signatures))
+    keys = held.table(buckets.select("key").distinct())
     n_keys = keys.count()
     few = broadcast_up_to(keys, n_keys, BROADCAST_KEYS)
-    texts = materialize(rows.select("key", "text").join(few, "key", "left_semi").dropDuplicates(["key"]))
-    marks = materialize(signatures.drop("bands").join(few, "key", "left_semi"))
-    marks = broadcast_up_to(marks, n_keys, BROADCAST_KEYS)
-    classes = materialize(keys.select("key", F.col("key").alias("root")))
-    tested = Appended(docs.sparkSession, "key binary, centre binary")
-    found = Appended(docs.sparkSession, "a binary, b binary")
+    texts = held.table(rows.select("key", "text").join(few, "key", "left_semi").dropDuplicates(["key"]))
+    signed_texts = held.table(signatures.join(few, "key", "left_semi"))
+    marks = broadcast_up_to(signed_texts.drop("bands"), n_keys, BROADCAST_KEYS)
+    classes = held.table(keys.select("key", F.col("key").alias("root")))
+    found = Appended(spark, "a binary, b binary")
     for turn in range(CENTRE_ROUNDS):
+        passing = Workspace(spark)
         placed = buckets.join(broadcast_up_to(classes, n_keys, BROADCAST_KEYS), "key").withColumn("order", F.xxhash64(F.lit(turn), "key"))
         one = F.struct("order", "key", "root")
         ends = placed.groupBy("band").agg(F.min(one).alias("low"), F.max(one).alias("high"))
@@ -494,41 +610,30 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         centres = ends.select("band", F.explode(F.array("low", "high") if turn else F.array("low")).alias("c"))
         apart = placed.join(centres, "band").where(F.col("root") != F.col("c.root"))
         offers = apart.select("key", F.col("c.key").alias("centre"), "root", F.col("c.root").alias("to")).distinct()
-        offers = materialize(offers.join(tested.rows(), ["key", "centre"], "left_anti"))
         near = _agreement(offers, marks)
-        if turn == 0:
-            best = near.groupBy("key").agg(F.max(F.struct("alike", "centre", "root", "to")).alias("c"))
-            near = best.select("key", "c.centre", "c.root", "c.to")
-        pairs = materialize(near.select("key", "centre", "root", "to"))
-        if pairs.isEmpty():
-            break
-        links = materialize(_verified(pairs, texts, df, similarity))
-        tested.add((offers if turn else pairs).select("key", "centre"))
-        if links.isEmpty():
-            break
-        found.add(links.select(F.col("key").alias("a"), F.col("centre").alias("b")))
-        classes = materialize(_hooked(classes, links))
-    # all that is left: pairs in two classes, of each text the likeliest first
-    small = lambda: broadcast_up_to(classes, n_keys, BROADCAST_KEYS)
-    met = tested.rows().select(F.least("key", "centre").alias("key"), F.greatest("key", "centre").alias("centre"))
-    rest = materialize(_unjoined(buckets, small(), marks).join(met, ["key", "centre"], "left_anti"))
-    likeliest = Window.partitionBy("key").orderBy(F.desc("alike"), "centre")
-    width = 1
-    while True:
-        to = small().select(F.col("key").alias("centre"), F.col("root").alias("to"))
-        apart = rest.join(small(), "key").join(to, "centre").where("root <> to")
-        ranked = materialize(apart.withColumn("nth", F.row_number().over(likeliest)))
-        pairs = ranked.where(F.col("nth") <= width).select("key", "centre", "root", "to")
-        if pairs.isEmpty():
-            break
-        links = materialize(_verified(pairs, texts, df, similarity))
-        rest = ranked.where(F.col("nth") > width).select("key", "centre", "alike")
-        width *= 4
-        if not links.isEmpty():
+        # of each text the likeliest centre: others of its classes are left to the next round and the cells
+        best = near.groupBy("key").agg(F.max(F.struct("alike", "centre", "root", "to")).alias("c"))
+        pairs = passing.table(best.select("key", "c.centre", "c.root", "c.to"))
+        links = passing.table(_verified(pairs, texts, df, similarity))
+        done = links.isEmpty()
+        if not done:
             found.add(links.select(F.col("key").alias("a"), F.col("centre").alias("b")))
-            classes = materialize(_hooked(classes, links))
+            classes = held.table(_hooked(classes, links))
+        passing.drop()
+        if done:
+            break
+    # all pairs that are still in two classes
+    classes = broadcast_up_to(classes, n_keys, BROADCAST_KEYS)
+    narrow = signed_texts.withColumn("size", F.lit(0).cast("long"))
+    partnered = held.table(_with_partners(_dealt(buckets, classes, narrow)))
+    few = broadcast_up_to(partnered, n_keys, BROADCAST_KEYS)
+    whole = signed_texts.join(few, "key", "left_semi").join(texts, "key").withColumn("size", F.octet_length("text").cast("long"))
+    rest = buckets.join(few, "key", "left_semi")
+    found.add(_links_in_cells(_dealt(rest, classes, held.table(whole)), df, similarity))
     # the labels of the rounds only save tests; the classes are those of all links
-    return components(found.rows()).select(F.col("node").alias("key"), "root")
+    result = components(found.rows()).select(F.col("node").alias("key"), "root")
+    held.drop()
+    return result
 
 
 def _hooked(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -565,8 +670,10 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     and one of rows that repeat it. All columns stay."""
     rows = materialize(classed(docs, similarity))
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
-    kept = first.select(F.col("first.key").alias("_key"), F.col("first.doc_id").alias("_id"))
+    # names that no column of the rows has
+    key, id_ = f"_key{uuid.uuid4().hex}", f"_id{uuid.uuid4().hex}"
+    kept = first.select(F.col("first.key").alias(key), F.col("first.doc_id").alias(id_))
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("_key", F.unhex(F.md5(text.cast("binary"))))
-    chosen = keyed.join(kept, "_key").where(F.col("doc_id").eqNullSafe(F.col("_id")))
-    return chosen.dropDuplicates(["_key"]).select(*docs.columns)
+    keyed = docs.withColumn(key, F.unhex(F.md5(text.cast("binary"))))
+    chosen = keyed.join(kept, key).where(F.col("doc_id").eqNullSafe(F.col(id_)))
+    return chosen.dropDuplicates([key]).select(*docs.columns)

@@ -30,3 +30,20 @@ class Appended:
 
     def rows(self) -> DataFrame:
         return self._spark.read.schema(self._schema).parquet(self._path)
+
+
+class Workspace:
+    """Written tables that are dropped together once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+        self._path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+
+    def table(self, frame: DataFrame) -> DataFrame:
+        path = f"{self._path}/{uuid.uuid4().hex}"
+        frame.write.parquet(path)
+        return self._spark.read.schema(frame.schema).parquet(path)
+
+    def drop(self) -> None:
+        folder = self._spark._jvm.org.apache.hadoop.fs.Path(self._path)
+        folder.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(folder, True)
