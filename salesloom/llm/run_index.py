@@ -39,7 +39,8 @@ GRAM = 50
 BITMAP_BITS = (20, 28)  # least and greatest: at most 32 MB
 _BITMAP_PIECES = 32
 BLOCK_BYTES = 2 << 20
-COMBINE_BYTES = 64 << 20
+COMBINE_BYTES = 48 << 20  # that a task holds of different regions, with what Python needs for each
+_HELD_BYTES = 400
 
 _U = np.uint64
 _BASE = 0xD1342543DE82EF95
@@ -307,11 +308,11 @@ def _combined(found: DataFrame) -> DataFrame:
 
         def flushed() -> Iterator[pa.RecordBatch]:
             out = Collector(schema)
-            for region, (anchor, body, n) in held.items():
-                if out.add((anchor, region, body, n), len(body) + 32):
+            while held:  # what is handed on is no longer held
+                region, (anchor, body, n) = held.popitem()
+                if out.add((anchor, region, body, n), len(body) + _HELD_BYTES):
                     yield out.take()
             yield out.take()
-            held.clear()
 
         for batch in batches:
             for anchor, region, body in zip(*(batch[c].to_pylist() for c in ("anchor", "region", "bytes"))):
@@ -320,7 +321,7 @@ def _combined(found: DataFrame) -> DataFrame:
                     known[2] += 1
                     continue
                 held[region] = [anchor, body, 1]
-                size += len(body)
+                size += len(body) + _HELD_BYTES
             if size >= COMBINE_BYTES:
                 yield from flushed()
                 size = 0
