@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 OUT_BYTES = 8 << 20
@@ -34,6 +35,20 @@ def small_slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, IN_ROWS)
 
 
+def sized_slices(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Like `small_slices`, and no slice of several rows has more than ``most`` bytes in ``column``."""
+    for part in small_slices(batches):
+        sizes = pc.fill_null(pc.binary_length(part[column]), 0).to_pylist()
+        start = held = 0
+        for i, size in enumerate(sizes):
+            if held and held + size > most:
+                yield part.slice(start, i - start)
+                start, held = i, 0
+            held += size
+        if start < len(sizes):
+            yield part.slice(start)
+
+
 class Collector:
     """Gathers rows and says when a batch is full."""
 

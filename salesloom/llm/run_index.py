@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesloom.llm.arrow import Collector, map_arrow, small_slices
+from salesloom.llm.arrow import Collector, map_arrow, sized_slices, small_slices
 from salesloom.llm.tables import bulky
 from salesloom.operators.lookups import broadcast_up_to
 from salesloom.operators.materialize import materialize
@@ -39,6 +39,7 @@ GRAM = 50
 BITMAP_BITS = (20, 28)  # least and greatest: at most 32 MB
 _BITMAP_PIECES = 32
 BLOCK_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20  # of text that anchors are chosen in at once; numpy holds some hundred bytes for each
 COMBINE_BYTES = 48 << 20  # that a task holds of different regions, with what Python needs for each
 _HELD_BYTES = 400
 
@@ -122,7 +123,7 @@ def _anchors(rows: DataFrame) -> DataFrame:
     schema = pa.schema([("anchor", pa.int64()), ("n", pa.int64())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in small_slices(batches):
+        for part in sized_slices(batches, "text", SLICE_BYTES):
             found, times = np.unique(regions(*_laid_out(part["text"]))[0].view(np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times)], schema=schema)
 
@@ -178,7 +179,7 @@ def _occurrences(rows: DataFrame, bitmap: Bitmap) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Collector(schema)
-        for part in small_slices(batches):
+        for part in sized_slices(batches, "text", SLICE_BYTES):
             data, borders = _laid_out(part["text"])
             anchor, text, first, windows = regions(data, borders)
             near = shared.value.holds(anchor)
@@ -298,9 +299,11 @@ def _stretches(flags: np.ndarray) -> list[int]:
 
 
 def _combined(found: DataFrame) -> DataFrame:
-    """anchor, region, bytes, n: the regions of ``found``, each once for every COMBINE_BYTES of different ones that a task
+    """anchor, crowded, region, bytes, n: the regions of ``found``, each once for every COMBINE_BYTES of different ones that a task
     reads."""
-    schema = pa.schema([("anchor", pa.int64()), ("region", pa.binary()), ("bytes", pa.binary()), ("n", pa.int64())])
+    schema = pa.schema(
+        [("anchor", pa.int64()), ("crowded", pa.bool_()), ("region", pa.binary()), ("bytes", pa.binary()), ("n", pa.int64())]
+    )
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list] = {}
@@ -309,25 +312,27 @@ def _combined(found: DataFrame) -> DataFrame:
         def flushed() -> Iterator[pa.RecordBatch]:
             out = Collector(schema)
             while held:  # what is handed on is no longer held
-                region, (anchor, body, n) = held.popitem()
-                if out.add((anchor, region, body, n), len(body) + _HELD_BYTES):
+                region, (anchor, crowded, body, n) = held.popitem()
+                if out.add((anchor, crowded, region, body, n), len(body) + _HELD_BYTES):
                     yield out.take()
             yield out.take()
 
         for batch in batches:
-            for anchor, region, body in zip(*(batch[c].to_pylist() for c in ("anchor", "region", "bytes"))):
+            columns = (batch[c].to_pylist() for c in ("anchor", "crowded", "region", "bytes"))
+            for anchor, crowded, region, body in zip(*columns):
                 known = held.get(region)
                 if known:
-                    known[2] += 1
+                    known[3] += 1
                     continue
-                held[region] = [anchor, body, 1]
+                held[region] = [anchor, crowded, body, 1]
                 size += len(body) + _HELD_BYTES
             if size >= COMBINE_BYTES:
                 yield from flushed()
                 size = 0
         yield from flushed()
 
-    return map_arrow(found.select("anchor", "region", "bytes"), combine, "anchor long, region binary, bytes binary, n long")
+    kinds = "anchor long, crowded boolean, region binary, bytes binary, n long"
+    return map_arrow(found.select("anchor", "crowded", "region", "bytes"), combine, kinds)
 
 
 def _crowded(found: DataFrame, block_bytes: int) -> DataFrame:
@@ -336,21 +341,8 @@ def _crowded(found: DataFrame, block_bytes: int) -> DataFrame:
     return materialize(held.where(F.col("bytes") > block_bytes).select("anchor"))
 
 
-def _counted(combined: DataFrame) -> DataFrame:
-    """Like `_marked`, in any order and for any number of regions under one anchor: windows are counted by their 128-bit
-    digest, summed in tasks before they are dealt."""
-    schema = pa.schema([("region", pa.binary()), ("at", pa.int32()), ("window", pa.binary()), ("n", pa.int64())])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Collector(schema)
-        for batch in batches:
-            for region, body, n in zip(*(batch[c].to_pylist() for c in ("region", "bytes", "n"))):
-                for at in range(len(body) - LENGTH + 1):
-                    if out.add((region, at, hashlib.md5(body[at : at + LENGTH]).digest(), n)):
-                        yield out.take()
-        yield out.take()
-
-    windows = materialize(map_arrow(combined, cut, "region binary, at int, window binary, n long"))
+def _counted(windows: DataFrame) -> DataFrame:
+    """region, stretches: the windows (region, at, window, n) whose digest occurs again, summed in tasks before they are dealt."""
     again = windows.groupBy("window").agg(F.sum("n").alias("times")).where("times > 1").select("window")
     places = windows.join(again, "window").groupBy("region").agg(F.array_sort(F.collect_set("at")).alias("at"))
     # neighbouring places as one [first, end) pair
@@ -360,22 +352,30 @@ def _counted(combined: DataFrame) -> DataFrame:
 
 
 def _marked(distinct: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """region, stretches: the repeated windows of the regions that have any. ``distinct`` is dealt by anchor and sorted
+    """region and stretches, the repeated windows of the regions that have any; or, for a region of a crowded anchor, a row for each window
+    (at, window: its 128-bit digest, n). ``distinct`` is dealt by anchor, crowded ones by region, and sorted
     by anchor and region; rows of one region are counted together as they stream by."""
-    schema = pa.schema([("region", pa.binary()), ("stretches", pa.list_(pa.int32()))])
+    schema = pa.schema(
+        [("region", pa.binary()), ("stretches", pa.list_(pa.int32())), ("at", pa.int32()), ("window", pa.binary()), ("n", pa.int64())]
+    )
 
     def index(parts: list[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
         flags = repeated_windows([p[1] for p in parts], [p[2] for p in parts])
         found = [(p[0], _stretches(f)) for p, f in zip(parts, flags) if f.any()]
-        columns = list(zip(*found)) if found else [[], []]
+        columns = [*(list(zip(*found)) or [[], []]), *([None] * len(found) for _ in range(3))]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # regions of one anchor stay in one index
-        held, size, last = [], 0, None
+        held, size, last, out = [], 0, None, Collector(schema)
         for batch in batches:
-            columns = (batch[c].to_pylist() for c in ("region", "bytes", "n", "anchor"))
-            for region, body, n, anchor in zip(*columns):
+            columns = (batch[c].to_pylist() for c in ("region", "bytes", "n", "anchor", "crowded"))
+            for region, body, n, anchor, crowded in zip(*columns):
+                if crowded:
+                    for at in range(len(body) - LENGTH + 1):
+                        if out.add((region, None, at, hashlib.md5(body[at : at + LENGTH]).digest(), n)):
+                            yield out.take()
+                    continue
                 if held and held[-1][0] == region:
                     held[-1] = (region, body, held[-1][2] + n)
                     continue
@@ -387,8 +387,10 @@ def _marked(distinct: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 last = anchor
         if held:
             yield index(held)
+        yield out.take()
 
-    return map_arrow(distinct, run, "region binary, stretches array<int>")
+    kinds = "region binary, stretches array<int>, at int, window binary, n long"
+    return map_arrow(distinct, run, kinds)
 
 
 def _keyed(docs: DataFrame, carry: list[Column] | None = None) -> DataFrame:
@@ -408,11 +410,14 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     crowded = _crowded(found, block_bytes)
     n_crowded = crowded.count()
     few = broadcast_up_to(crowded, n_crowded)
-    light = found.join(few, "anchor", "left_anti") if n_crowded else found
-    blocks = _combined(light).repartition("anchor").sortWithinPartitions("anchor", "region")
-    marks = materialize(_marked(blocks, block_bytes))
+    flagged = found.join(few.withColumn("crowded", F.lit(True)), "anchor", "left") if n_crowded else found.withColumn("crowded", F.lit(False))
+    # the regions of an anchor come to one task, those of a crowded one to any
+    dealt = F.when(F.col("crowded"), F.xxhash64("region")).otherwise(F.col("anchor"))
+    blocks = _combined(flagged).repartition(dealt).sortWithinPartitions("anchor", "region")
+    made = materialize(_marked(blocks, block_bytes))
+    marks = made.where("stretches IS NOT NULL").select("region", "stretches")
     if n_crowded:
-        marks = marks.unionByName(_counted(_combined(found.join(few, "anchor", "left_semi"))))
+        marks = marks.unionByName(_counted(made.where("window IS NOT NULL")))
     places = found.select("key", "first", "region").distinct()
     moved = places.join(marks, "region").select(
         "key", F.transform("stretches", lambda at: at + F.col("first")).alias("stretches")
