@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from salesloom.llm.arrow import Collector, map_arrow, small_slices
 
-_MEMO_ENTRIES = 300_000
+_MEMO_ENTRIES = 500_000
 _MASK = (1 << 64) - 1
 _ID_BITS = 20
 
@@ -92,8 +93,12 @@ def late_letters() -> list[tuple[int, int]]:
         "classes", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={}
     )
     theirs = set(bytes(lister.encode_ordinary(every)).decode())
+    return _ranges(ord(c) for c in regex.findall(pattern, every) if c not in theirs)
+
+
+def _ranges(points: Iterable[int]) -> list[tuple[int, int]]:
     ranges: list[tuple[int, int]] = []
-    for point in (ord(c) for c in regex.findall(pattern, every) if c not in theirs):
+    for point in points:
         if ranges and ranges[-1][1] == point - 1:
             ranges[-1] = (ranges[-1][0], point)
         else:
@@ -101,6 +106,24 @@ def late_letters() -> list[tuple[int, int]]:
     return ranges
 
 
+#: Classes of the ``regex`` module as the standard one has them, but for a few code points.
+_STANDARD = {r"[^\s\p{L}\p{N}]": r"(?:[^\w\s]|_)", r"\p{L}": r"[^\W\d_]", r"\p{N}": r"\d"}
+
+
+def standard_pattern(pattern: str) -> tuple[str, list[tuple[int, int]]] | None:
+    """``pattern`` for the standard, faster module, and the code points whose classes differ there; None if it cannot be said."""
+    said = pattern
+    for ours, standard in _STANDARD.items():
+        said = said.replace(ours, standard)
+    if r"\p" in said:
+        return None
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    odd: set[str] = set()
+    for ours, standard in [*_STANDARD.items(), (r"\s", r"\s")]:
+        odd |= set(regex.findall(ours, every)) ^ set(re.findall(standard, every))
+    return said, _ranges(sorted(map(ord, odd)))
+
+
 class Codec:
     """Encodes single pre-tokens and decodes ids. Built once on the driver and sent to the tasks: its size is the
     vocabulary's."""
@@ -109,9 +132,10 @@ class Codec:
         self._ranks, self._pattern = ranks, pattern
         self._whole = PerfectHash(ranks)
         self._late = late_letters()
+        self._standard = standard_pattern(pattern)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k in ("_ranks", "_pattern", "_whole", "_late")}
+        return {k: v for k, v in self.__dict__.items() if k in ("_ranks", "_pattern", "_whole", "_late", "_standard")}
 
     @cached_property
     def _bytes(self) -> list[int]:
@@ -129,8 +153,15 @@ class Codec:
         return pairs
 
     @cached_property
-    def _tokens(self) -> dict[int, bytes]:
-        return {rank: token for token, rank in self._ranks.items()}
+    def _table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of all tokens end to end, and where each begins and how long it is, by id."""
+        size = np.zeros(max(self._ranks.values()) + 1, np.int64)
+        first, parts, end = np.zeros_like(size), [], 0
+        for token, rank in self._ranks.items():
+            first[rank], size[rank] = end, len(token)
+            parts.append(token)
+            end += len(token)
+        return np.frombuffer(b"".join(parts), np.uint8), first, size
 
     @cached_property
     def _find(self) -> Callable[[str], list[str]]:
@@ -138,12 +169,21 @@ class Codec:
 
     @cached_property
     def _has_late(self) -> Callable[[str], object]:
-        ranges = "".join(f"{chr(a)}-{chr(b)}" for a, b in self._late)
-        return regex.compile(f"[{ranges}]" if ranges else "(?!)").search
+        return _any_of(self._late)
+
+    @cached_property
+    def _quick(self) -> tuple[Callable[[str], object], Callable[[str], list[str]]] | None:
+        """Whether a text holds a code point that the standard module may take otherwise, and its matches if not."""
+        if self._standard is None:
+            return None
+        pattern, odd = self._standard
+        return _any_of([*odd, *self._late]), re.compile(pattern).findall
 
     def _split(self, text: str) -> list[str]:
         """Matches of the pattern, which cover the text. Late letters are matched as the symbols the library takes
         them for."""
+        if self._quick and not self._quick[0](text):
+            return self._quick[1](text)
         if text.isascii() or not self._has_late(text):
             return self._find(text)
         stand_in = {point: "\uffff" for a, b in self._late for point in range(a, b + 1)}
@@ -200,7 +240,17 @@ class Codec:
         return out
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self._tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        data, first, size = self._table
+        at = np.frombuffer(ids, "<u4")
+        sizes = size[at]
+        ends = np.cumsum(sizes)
+        # each byte's place in the table: its token's beginning and how far it is into the token
+        return data[np.repeat(first[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+
+
+def _any_of(ranges: list[tuple[int, int]]) -> Callable[[str], object]:
+    members = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+    return re.compile(f"[{members}]" if members else "(?!)").search
 
 
 class _Memo(dict):
