@@ -130,7 +130,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return read.select(
         number("record_id").alias("page_id"),
         # a revisit's header keeps the full payload's figures; a response's are those of the bytes read
-        F.when(revisit, F.col("stated_length").cast("long")).otherwise(F.col("body_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.col("stated_length").try_cast("long")).otherwise(F.col("body_bytes")).alias("payload_bytes"),
         F.when(revisit, stated).otherwise(F.col("body_digest")).alias("payload_digest"),
         "record_type",
         number("refers_to").alias("refers_to"),

@@ -106,6 +106,16 @@ def _field(header: Column, name: str) -> Column:
     return F.when(found != "", found)
 
 
+def _length(header: Column) -> Column:
+    """The stated length, null unless it is a whole number of at most 18 digits: headers may be foreign text."""
+    stated = _field(header, "Content-Length")
+    return F.when(stated.rlike(r"^[0-9]{1,18}$"), stated).try_cast("long")
+
+
+def _int(length: Column) -> Column:
+    return F.least(length, F.lit(2**31 - 1)).cast("int")
+
+
 Figures = Callable[[Column], dict[str, Column]]
 _FIELDS = {
     "record_id": "WARC-Record-ID",
@@ -137,13 +147,13 @@ def _parsed(pieces: DataFrame, figures: Figures) -> DataFrame:
         "nth",
         (F.octet_length("piece") + len(MAGIC)).cast("long").alias("bytes"),
         F.octet_length("header").alias("head_bytes"),
-        _field(F.col("header"), "Content-Length").cast("long").alias("content_length"),
+        _length(F.col("header")).alias("content_length"),
         *[_field(F.col("header"), key).alias(name) for name, key in _FIELDS.items()],
         F.col("piece").cast("binary").alias("piece"),
     )
     needed = F.col("head_bytes") + len(RECORD_END) + F.col("content_length")
     whole = F.coalesce(F.col("bytes") - len(MAGIC) >= needed, F.lit(False))
-    body = F.substring("piece", F.col("head_bytes") + len(RECORD_END) + 1, F.col("content_length").cast("int"))
+    body = F.substring("piece", F.col("head_bytes") + len(RECORD_END) + 1, _int(F.col("content_length")))
     return sized.select(
         "file",
         "split",
@@ -207,7 +217,10 @@ def _reachable(linked: DataFrame) -> DataFrame:
     )
 
 
-def read_archives(spark: SparkSession, path: str, figures: Figures) -> DataFrame:
+_TRIES = 4
+
+
+def read_archives(spark: SparkSession, path: str, figures: Figures, tries: int = _TRIES) -> DataFrame:
     """The records of the archives under ``path`` that can be reached from the start of their file.
 
     Returns file, at, content_length, record_id, record_type, target_uri, refers_to, stated_digest, stated_length
@@ -234,7 +247,14 @@ def read_archives(spark: SparkSession, path: str, figures: Figures) -> DataFrame
     in_file = Window.partitionBy("file").orderBy("at")
     keys = split.withColumn("owner", F.last(F.when(F.col("real"), F.col("at")), ignorenulls=True).over(in_file))
     owned = keys.where("owner IS NOT NULL").select("file", "split", "nth", "at", "owner", "real", "head_bytes")
-    parts = owned.join(pieces, ["file", "split", "nth"])
+    owned = materialize(owned)
+    parts = materialize(owned.join(pieces, ["file", "split", "nth"]))
+    # this scan may have been split otherwise than the first one, after executors came or went
+    sizes = parts.join(linked.select("file", "split", "nth", "bytes"), ["file", "split", "nth"])
+    if sizes.where(F.octet_length("piece") + len(MAGIC) == F.col("bytes")).count() != owned.count():
+        if tries <= 1:
+            raise RuntimeError("the archives were split differently in each scan")
+        return read_archives(spark, path, figures, tries - 1)
     joined = parts.groupBy("file", "owner").agg(
         F.sort_array(F.collect_list(F.struct("at", F.col("piece")))).alias("pieces"),
         F.max(F.when(F.col("real"), F.col("head_bytes"))).alias("skip"),
@@ -243,7 +263,7 @@ def read_archives(spark: SparkSession, path: str, figures: Figures) -> DataFrame
     bodies = joined.select("file", F.col("owner").alias("at"), "skip", text.alias("text"))
     headers = known.where("real AND NOT whole").select(*shown)
     whole_text = headers.join(bodies, ["file", "at"])
-    body = F.substring("text", F.col("skip") + len(RECORD_END) + 1, F.col("content_length").cast("int"))
+    body = F.substring("text", F.col("skip") + len(RECORD_END) + 1, _int(F.col("content_length")))
     rest = whole_text.select(*shown, body.alias("body")).select(
         *shown, *[c.alias(name) for name, c in figures(F.col("body")).items()]
     )

@@ -84,6 +84,7 @@ MAGIC = "WARC/1.0\r\n"
 INNER = MAGIC + "WARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
 PAYLOADS = [
     "<p>one", "<p>two", "<p>one", None, "", "x" * 300_000, "é漢\r\n\r\nWARC", INNER, "a" + MAGIC + "b" + MAGIC, MAGIC, INNER + INNER + "tail", "<p>one",
+    *(f"{MAGIC}Content-Length: {n}\r\n\r\nrest" for n in ("abc", "9223372036854775807", "99999999999999999999", "999999999999999999", "-5", "", " 7")),
 ]
 
 
@@ -166,3 +167,30 @@ def test_recall(spark):
 
 def test_cells_over_several_columns_stay_apart():
     assert html_text.visible_text("<table><tr><td colspan=2>Alpha<td colspan=2>Beta</table>") == "Alpha  Beta"
+
+
+def test_a_scan_that_is_split_otherwise_is_read_again(spark, tmp_path, monkeypatch):
+    """Split sizes change between the two scans: no record is lost."""
+    pages = spark.createDataFrame([(n, "u", f"<p>{n}{INNER}" + "x" * 500) for n in range(60)], "page_id long, url string, html string")
+    path = str(tmp_path / "archive")
+    warc.write_archives(warc.classified(pages.coalesce(1)), path)
+    found, pieces = [], warc._pieces
+
+    def changing(*args):
+        found.append(pieces(*args))
+        return found[-1]
+
+    def linked(parsed, link=warc._linked):
+        made = warc.materialize(link(parsed))
+        # as if executors had come since: the second scan of the first try has other splits, as all later ones
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        return made
+
+    monkeypatch.setattr(warc, "_pieces", changing)
+    monkeypatch.setattr(warc, "_linked", linked)
+    try:
+        read = warc.read_archives(spark, path, lambda body: {"body": body}).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(found) == 2
+    assert sorted(bytes(r["body"]).decode() for r in read) == sorted(r["html"] for r in pages.collect())
