@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,17 @@ from pyspark.sql import types as T
 from salesloom.sources.schemas import CSV_TABLES
 
 
+def csv_header(spark: SparkSession, path: str, wanted: Iterable[str]) -> list[str]:
+    """The names in the header line, the only one that is read for this; an error if one of ``wanted`` is not there once."""
+    # names twice in it get their number from Spark
+    columns = spark.read.options(header=True, encoding="UTF-8", escape='"').csv(path).columns
+    header = [name.strip("\ufeff ") for name in columns]
+    missing = [name for name in wanted if name not in header]
+    if missing:
+        raise ValueError(f"{path}: the header lacks, or names twice, {', '.join(missing)}")
+    return header
+
+
 def load_csv(
     spark: SparkSession, path: str, schema: str | T.StructType, null_value: str = "NULL"
 ) -> DataFrame:
@@ -18,17 +29,13 @@ def load_csv(
 
     Columns are found by their name in the header, in any order and however padded; further columns are ignored. A
     column of ``schema`` that the header lacks or names twice is an error, and so is a line shorter or longer than the
-    header. The files of a folder must share one header.
+    header. The files of a folder must share one header. ``imports.import_csv`` sets such lines aside and goes on.
     """
     reader = spark.read.options(
         header=True, encoding="UTF-8", escape='"', nullValue=null_value, multiLine=False, mode="FAILFAST"
     )
     wanted = {f.name: f.dataType for f in (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)}
-    # only the header line is read for this; names twice in it get their number from Spark
-    header = [name.strip("\ufeff ") for name in reader.csv(path).columns]
-    missing = [name for name in wanted if name not in header]
-    if missing:
-        raise ValueError(f"{path}: the header lacks, or names twice, {', '.join(missing)}")
+    header = csv_header(spark, path, wanted)
     stored = T.StructType(
         [T.StructField(name if name in wanted else f"_other{i}", wanted.get(name, T.StringType())) for i, name in enumerate(header)]
     )
