@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from salesloom.plans.audit import reference_audit
+from salesloom.plans.reimport import import_outcomes
 from salesloom.plans.reports import customers, employees, insights, kpi, revenue, shipping, sketched, spread, supply
 from salesloom.plans.retail import Retail, StarRetail
 
@@ -48,6 +49,11 @@ REPORTS: dict[str, Callable[..., DataFrame]] = {
     "x16_period_sketches": sketched.period_sketches,
     "x17_refreshed_trend": revenue.refreshed_trend,
     "x18_reference_audit": reference_audit,
+    "x19_import_outcomes": import_outcomes,
+    "x20_pivot_blocks": insights.monthly_pivot_blocks,
+    "x21_tenure_revenue": employees.tenure_revenue,
+    "x22_tenure_correlation": insights.tenure_correlation,
+    "x23_country_against_mean": partial(customers.country_quality, against_mean=True),
 }
 
 

@@ -74,6 +74,11 @@ cov AS (
 ),
 hired AS (SELECT l_suppkey, MIN(CAST(l_shipdate AS DATE)) AS hire FROM lineitem GROUP BY 1)"""
 
+_TENURES = """
+ten AS (
+  SELECT agent.*, hire, CAST((SELECT MAX(CAST(o_orderdate AS DATE)) FROM orders) - hire AS BIGINT) AS tenure
+  FROM agent LEFT JOIN (SELECT l_suppkey, MIN(ship) AS hire FROM li GROUP BY 1) AS h ON s_suppkey = l_suppkey)"""
+
 _STATUS = """CASE WHEN stock = 0 THEN 'OUT OF STOCK'
        WHEN stock < reorder AND on_order = 0 THEN 'CRITICAL — No Reorder Placed'
        WHEN stock < reorder THEN 'BELOW REORDER — Order Pending'
@@ -194,6 +199,22 @@ GROUP BY 1"""
     )
 
 
+def _pivot_blocks(width: int = 10) -> str:
+    cells = ",\n".join(f"MAX(CASE WHEN place = {i} THEN revenue END) AS C{i}" for i in range(width))
+    return (
+        _with(
+            _LINES,
+            f"""label AS (
+  SELECT s_suppkey, ROW_NUMBER() OVER (ORDER BY s_name) - 1 AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+sale AS (
+  SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, n // {width} AS block, n % {width} AS place,
+         {_r("SUM(net)", 2)} AS revenue
+  FROM li JOIN orders ON l_orderkey = o_orderkey JOIN label ON l_suppkey = s_suppkey GROUP BY ALL)""",
+        )
+        + f"SELECT month AS Month, block AS Block, {cells} FROM sale GROUP BY month, block"
+    )
+
+
 def _top_share(entity: str, source: str, key: str) -> str:
     return f"""
 SELECT '{entity}' AS Entity, n AS TopN, {_d("SUM(revenue)")} AS Revenue,
@@ -660,5 +681,50 @@ FROM g""",
   {_r("QUANTILE_CONT(amount, 0.5)", 2)} AS MedianOrderValue, TRUE AS CustomersAgree, TRUE AS MedianAgrees
 FROM v GROUP BY country, yr""",
     "x18_reference_audit": _audit(),
+    "x19_import_outcomes": """
+WITH e AS (
+  SELECT o_orderkey, CASE o_orderkey % 50 WHEN 1 THEN 'OrderDate is no date' WHEN 2 THEN 'OrderID is no bigint'
+    ELSE 'accepted' END AS outcome FROM orders)
+SELECT outcome AS Outcome, COUNT(*) AS Records, CAST(SUM(CASE o_orderkey % 50 WHEN 3 THEN 2 ELSE 1 END) AS BIGINT) AS Lines,
+  MAX(CASE outcome WHEN 'accepted' THEN o_orderkey END) AS GreatestID
+FROM e GROUP BY outcome""",
+    "x20_pivot_blocks": _pivot_blocks(),
+    "x21_tenure_revenue": _with(_LINES, _AGENTS, _TENURES)
+    + f"""SELECT s_suppkey AS EmployeeID, s_name AS EmployeeName, hire AS HireDate, tenure AS TenureDays, {_d("revenue")} AS TotalRevenue,
+  RANK() OVER (ORDER BY tenure DESC) AS TenureRank, RANK() OVER (ORDER BY revenue DESC) AS RevenueRank
+FROM ten""",
+    "x22_tenure_correlation": _with(
+        _LINES,
+        _AGENTS,
+        _TENURES,
+        """ranked AS (
+  SELECT *, RANK() OVER (ORDER BY tenure) + (COUNT(*) OVER (PARTITION BY tenure) - 1) / 2.0 AS tenure_rank,
+         RANK() OVER (ORDER BY revenue) + (COUNT(*) OVER (PARTITION BY revenue) - 1) / 2.0 AS rev_rank
+  FROM ten)""",
+    )
+    + f"""SELECT COUNT(*) AS Employees, ROUND(CORR({_d("tenure")}, {_d("revenue")}), 3) AS Correlation,
+  ROUND(CORR({_d("tenure_rank")}, {_d("rev_rank")}), 3) AS RankCorrelation
+FROM ranked""",
+    "x23_country_against_mean": _with(
+        _LINES,
+        _CUSTOMERS,
+        """
+ct AS (
+  SELECT country, COUNT(*) AS customers, CAST(SUM(orders) AS BIGINT) AS orders,
+         ROUND(SUM(net), 2) AS revenue
+  FROM cust GROUP BY country
+)""",
+    )
+    + f"""SELECT country AS Country, customers AS Customers, orders AS Orders, {_d("revenue")} AS Revenue,
+  {_r(_ratio("revenue", "customers"), 2)} AS RevenuePerCustomer,
+  {_r(_ratio("revenue", "orders"), 2)} AS RevenuePerOrder,
+  CAST(RANK() OVER (ORDER BY revenue DESC) AS BIGINT) AS RevenueRank,
+  CAST(RANK() OVER (ORDER BY {_ratio("revenue", "customers")} DESC) AS BIGINT) AS QualityRank,
+  {_pct("revenue", "SUM(revenue) OVER ()", 1)} AS PctOfTotal,
+  {_pct(f"SUM(revenue) OVER (ORDER BY revenue DESC, country {_RUNNING})", "SUM(revenue) OVER ()", 1)}
+    AS CumulativePct,
+  {_r(_ratio("SUM(revenue) OVER ()", "SUM(customers) OVER ()"), 2)} AS OverallRevenuePerCustomer,
+  {_pct(_ratio("revenue", "customers"), _ratio("SUM(revenue) OVER ()", "SUM(customers) OVER ()"), 1)} AS PctOfOverall
+FROM ct""",
 }
 ORACLES["x17_refreshed_trend"] = ORACLES["q4_quarterly_trend"]

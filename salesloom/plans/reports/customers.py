@@ -139,10 +139,11 @@ def rfm_segments(
     ).orderBy("RFM_Total", "CustomerID")
 
 
-def country_quality(retail: Retail) -> DataFrame:
+def country_quality(retail: Retail, against_mean: bool = False) -> DataFrame:
     """Customers, orders and revenue per country, ranked by revenue and by revenue per customer.
 
-    The windows run over one row per country.
+    The windows run over one row per country. ``against_mean`` adds the revenue per customer of all countries together, and
+    the country's in percent of it.
     """
     customers = (
         retail.order_book("inner")
@@ -157,6 +158,11 @@ def country_quality(retail: Retail) -> DataFrame:
     )
     per_customer = ratio(F.col("Revenue"), F.col("Customers"))
     everything = W.partitionBy()
+    mean = ratio(F.sum("Revenue").over(everything), F.sum("Customers").over(everything))
+    compared = [
+        rounded(F.col("Mean"), 2).alias("OverallRevenuePerCustomer"),
+        safe_pct(F.col("Quality"), F.col("Mean"), 1).alias("PctOfOverall"),
+    ]
     running = (
         W.partitionBy()
         .orderBy(F.desc("Revenue"), "Country")
@@ -167,6 +173,7 @@ def country_quality(retail: Retail) -> DataFrame:
             {
                 "Quality": per_customer,
                 "All": F.sum("Revenue").over(everything),
+                "Mean": mean,
                 "Running": F.sum("Revenue").over(running),
                 "RevenueRank": F.rank().over(W.orderBy(F.desc("Revenue"))),
             }
@@ -184,5 +191,6 @@ def country_quality(retail: Retail) -> DataFrame:
             F.col("QualityRank").cast("bigint").alias("QualityRank"),
             safe_pct(F.col("Revenue"), F.col("All"), 1).alias("PctOfTotal"),
             safe_pct(F.col("Running"), F.col("All"), 1).alias("CumulativePct"),
+            *(compared if against_mean else []),
         )
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from salesloom.functions.classify import first_match
 from salesloom.functions.firsts import earliest
 from salesloom.functions.money import dec_round, money, ratio
-from salesloom.operators.lookups import broadcast_up_to
+from salesloom.operators.lookups import broadcast_up_to, total
 from salesloom.operators.materialize import materialize
 from salesloom.operators.ordering import Key, Spec, measure, quantiles
 from salesloom.plans.retail import Retail
@@ -147,3 +147,32 @@ def region_founder(retail: Retail) -> DataFrame:
         )
         .orderBy("RegionDescription")
     )
+
+
+def tenures(retail: Retail) -> DataFrame:
+    """Employees who sold, with HireDate and TenureDays: the days from it to the latest order, null without a hire date."""
+    latest = total(retail.orders(), F.max("OrderDate"))
+    return (
+        employee_figures(retail)
+        .join(retail.hire_dates(), "EmployeeID", "left")
+        .withColumn("TenureDays", F.datediff(latest, "HireDate").cast("bigint"))
+    )
+
+
+def tenure_revenue(retail: Retail) -> DataFrame:
+    """Tenure as of the latest order beside revenue, and the rank of each; an unknown tenure ranks last."""
+    base = materialize(tenures(retail))
+    tie = (Key("EmployeeID"),)
+    (tenure,) = measure(base, Spec(Key("TenureDays", desc=True), tie), keys_only=True)
+    ranks = tenure.arrange().select("EmployeeID", tenure.rank().alias("TenureRank"))
+    (revenue,) = measure(base.join(ranks, "EmployeeID"), Spec(Key("TotalRevenue", desc=True), tie), rows=tenure.rows)
+    earned = F.col("TotalRevenue").cast("double")
+    return revenue.arrange().select(
+        "EmployeeID",
+        "EmployeeName",
+        "HireDate",
+        "TenureDays",
+        earned.alias("TotalRevenue"),
+        "TenureRank",
+        revenue.rank().alias("RevenueRank"),
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,8 @@ from salesloom.operators.growth import growth
 from salesloom.operators.lookups import total
 from salesloom.operators.materialize import materialize
 from salesloom.operators.ordering import Key, Spec, measure, quantiles
-from salesloom.plans.reports.employees import employee_figures
+from salesloom.operators.windows import global_row_number
+from salesloom.plans.reports.employees import employee_figures, tenures
 from salesloom.plans.reports.shipping import ORDER_SIZES, late, shipped, sized_orders
 from salesloom.plans.reports.supply import STOCK_OK, stock_status
 from salesloom.plans.retail import Retail
@@ -52,22 +54,62 @@ def monthly_pivot(
     """Monthly revenue with one column per employee, or per value of another employee column.
 
     The columns come from ``values`` (default: the employees), read when the report
-    is built; more than MAX_PIVOT_COLUMNS of them is an error, never a cut: ``monthly_sales`` has no limit.
+    is built; more than MAX_PIVOT_COLUMNS of them is an error, never a cut: ``pivot_blocks`` has no limit.
     """
     staff = _labelled(retail.employees(), column)
     source = staff.select(column) if values is None else values.select(F.coalesce(column, F.lit(NO_LABEL)))
     labels = sorted(r[0] for r in source.distinct().limit(MAX_PIVOT_COLUMNS + 1).collect())
     if len(labels) > MAX_PIVOT_COLUMNS:
         raise ValueError(f"more than {MAX_PIVOT_COLUMNS} values of {column}: pivot a coarser column")
-    sales = (
+    sales = _sales_by(retail, staff.select("EmployeeID", column), column)
+    return sales.groupBy("Month").pivot(column, labels).agg(F.first("Revenue")).orderBy("Month")
+
+
+def _sales_by(retail: Retail, staff: DataFrame, *keys: str) -> DataFrame:
+    """Month, ``keys`` and Revenue; ``staff`` has EmployeeID and the keys."""
+    return (
         retail.employee_sales()
         .groupBy("EmployeeID", F.trunc("OrderDate", "month").alias("Month"))
         .agg(F.sum("NetU").alias("NetU"))
-        .join(staff.select("EmployeeID", column), "EmployeeID")
-        .groupBy("Month", column)
+        .join(staff, "EmployeeID")
+        .groupBy("Month", *keys)
         .agg(rounded(money(F.sum("NetU")), 2).alias("Revenue"))
     )
-    return sales.groupBy("Month").pivot(column, labels).agg(F.first("Revenue")).orderBy("Month")
+
+
+@dataclass(frozen=True)
+class PivotBlocks:
+    """A pivot cut into blocks of columns: ``figures`` (Month, Block, C0, C1, ...) and ``manifest`` (Block, Place, label)."""
+
+    manifest: DataFrame
+    figures: DataFrame
+
+
+def pivot_blocks(
+    retail: Retail, column: str = "EmployeeName", values: DataFrame | None = None, width: int = MAX_PIVOT_COLUMNS
+) -> PivotBlocks:
+    """``monthly_pivot`` for any number of labels: they are numbered in their order and dealt into blocks of ``width``
+    columns. A row holds a month of one block, so its size is bounded; the sales are read once, and no label reaches the driver.
+    A month has a row for each block in which something was sold. The places of the last block that no label has are null.
+    """
+    staff = _labelled(retail.employees(), column)
+    source = staff.select(column) if values is None else values.select(F.coalesce(column, F.lit(NO_LABEL)).alias(column))
+    number = F.col("row_number") - 1
+    manifest = materialize(
+        global_row_number(source.distinct(), column, ()).select(
+            F.floor(number / width).cast("bigint").alias("Block"), (number % width).cast("int").alias("Place"), column
+        )
+    )
+    placed = staff.select("EmployeeID", column).join(manifest, column).drop(column)
+    sales = _sales_by(retail, placed, "Block", "Place")
+    figures = sales.groupBy("Month", "Block").pivot("Place", list(range(width))).agg(F.first("Revenue"))
+    named = [F.col(f"`{i}`").alias(f"C{i}") for i in range(width)]
+    return PivotBlocks(manifest, figures.orderBy("Month", "Block").select("Month", "Block", *named))
+
+
+def monthly_pivot_blocks(retail: Retail, width: int = 10) -> DataFrame:
+    """The figures of ``pivot_blocks`` by employee."""
+    return pivot_blocks(retail, width=width).figures
 
 
 def median_order_value(retail: Retail, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
@@ -355,12 +397,25 @@ def discount_revenue_correlation(retail: Retail) -> DataFrame:
             "EmployeeID", F.col("AvgDiscountPct").alias("Discount"), F.col("TotalRevenue").alias("Revenue")
         )
     )
+    return _employees_correlated(figures, "Discount", "Revenue")
+
+
+def tenure_correlation(retail: Retail) -> DataFrame:
+    """Correlation, over the employees who sold, of days since they were hired with the revenue earned, and of their ranks. One
+    without a hire date counts as an employee only."""
+    figures = materialize(
+        tenures(retail).select("EmployeeID", F.col("TenureDays").alias("Tenure"), F.col("TotalRevenue").alias("Revenue"))
+    )
+    return _employees_correlated(figures, "Tenure", "Revenue")
+
+
+def _employees_correlated(figures: DataFrame, one: str, two: str) -> DataFrame:
     by_amount = figures.agg(
         F.count("*").alias("Employees"),
         # not F.corr, which divides by zero if a column is constant
-        F.round(_correlation(F.col("Discount").cast("double"), F.col("Revenue").cast("double")), 3).alias("Correlation"),
+        F.round(_correlation(F.col(one).cast("double"), F.col(two).cast("double")), 3).alias("Correlation"),
     )
-    by_rank = rank_correlation(figures, "EmployeeID", "Discount", "Revenue")
+    by_rank = rank_correlation(figures, "EmployeeID", one, two)
     return by_amount.withColumn("RankCorrelation", by_rank.scalar())
 
 

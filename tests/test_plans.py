@@ -16,6 +16,7 @@ BOUNDED = {
     "q3_discount_depth",
     "q4_quarterly_trend",
     "q10_country_quality",
+    "x23_country_against_mean",
     "q13_carrier_sla",
     "x4_top_n_share",
     "x7_monthly_run_rate",
@@ -83,6 +84,8 @@ def _scans(plans, name, table):
         ("x8_recent_demand", 1),
         ("x11_discounted_lines", 1),
         ("x12_discount_revenue", 1),
+        ("x20_pivot_blocks", 1),
+        ("x23_country_against_mean", 1),
     ],
 )
 def test_line_scans(plans, name, times):
