@@ -5,6 +5,8 @@ vector is routed to one leaf of each tree. A query walks all trees through one p
 holds the branches not taken by their distance to the query, and notes leaves until those hold a share of all
 vectors. Leaf and query meet in cells of bounded size, where exact distances are worked out and the nearest kept.
 
+Vectors of different dimensions are no neighbours: each dimension has a forest of its own.
+
 Equal vectors are one point of the index that names its lowest ids, so a vector that fills a third of the table costs no
 more than another.
 """
@@ -17,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -123,16 +126,38 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and vec (array<double>) of the rows that take part: a vector without nulls or non-finite components, not zero, and of
-    the commonest dimension (the smaller one on a tie)."""
+    """vec_id and vec (array<double>) of the rows that take part: a vector without nulls or non-finite components, not zero."""
     vec = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long"), vec.alias("vec")).where(
         "vec_id IS NOT NULL AND vec IS NOT NULL"
     )
     rows = rows.where(~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    rows = materialize(rows.where(F.exists("vec", lambda x: x != 0)).withColumn("dim", F.size("vec")))
-    common = rows.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    return rows.where(F.col("dim") == (common[0]["dim"] if common else 0)).select("vec_id", "vec")
+    return materialize(rows.where(F.exists("vec", lambda x: x != 0)))
+
+
+@dataclass
+class _Index:
+    """What tasks need to know of one dimension."""
+
+    forest: Forest
+    visited: float
+    row_cells: int
+
+
+def _index(points: DataFrame, n: int, visited: float) -> _Index:
+    """The forest for ``n`` points of one dimension."""
+    sample = points.orderBy(F.xxhash64("point"), "point").limit(SAMPLE).select("vec")
+    drawn = np.array([r["vec"] for r in sample.collect()], np.float64)  # bounded by SAMPLE
+    forest = fit(drawn, max(LEAST_LEAF_SAMPLE, LEAF_ROWS * len(drawn) // n))
+    held = LEAF_ROWS * max(1, n * LEAST_LEAF_SAMPLE // (LEAF_ROWS * len(drawn)))
+    return _Index(forest, max(visited, LEAST_VISITED / n), held // CELL_ROWS + 1)
+
+
+def _by_dimension(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    for batch in batches:
+        sizes = pc.list_value_length(batch["vec"])
+        for dim in pc.unique(sizes).to_pylist():
+            yield dim, batch.filter(pc.equal(sizes, dim))
 
 
 def _points(rows: DataFrame, k: int) -> DataFrame:
@@ -149,57 +174,52 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, visited: float =
 
     ``vectors`` has vec_id and embedding (array of numbers); other columns are ignored. Returns query_id, rank (from 1), vec_id, score
     (Euclidean distance in double precision); ties go to the smaller vec_id. Rows that `usable` leaves out are neither
-    found nor searched for. Rows that repeat an id and vector are found as often as they occur, up to ``k`` + 1. With
-    fewer other rows than ``k`` all are found; an empty table gives no rows.
+    found nor searched for; vectors of other dimensions than a query's are not near it. Rows that repeat an id and vector are found as often as they occur, up to ``k`` + 1. With
+    fewer other rows of its dimension than ``k`` all are found; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
-    points = materialize(_points(rows, k))
-    n = points.count()
-    sample = points.orderBy(F.xxhash64("point"), "point").limit(SAMPLE).select("vec")
-    drawn = np.array([r["vec"] for r in sample.collect()], np.float64)  # bounded by SAMPLE
-    if not n:
+    points = materialize(_points(rows, k).withColumn("dim", F.size("vec")))
+    sizes = {r["dim"]: r["n"] for r in points.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    forest = fit(drawn, max(LEAST_LEAF_SAMPLE, LEAF_ROWS * len(drawn) // n))
-    shared = spark.sparkContext.broadcast(forest)  # bounded by SAMPLE
-    visited = max(visited, LEAST_VISITED / n)
+    # one forest per dimension, each bounded by SAMPLE
+    shared = spark.sparkContext.broadcast({dim: _index(points.where(F.col("dim") == dim), n, visited) for dim, n in sizes.items()})
 
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     sought = materialize(queries.groupBy("vec").agg(F.min("vec_id").alias("query")))
-    row_cells = max(1, LEAF_ROWS * max(1, n * LEAST_LEAF_SAMPLE // (LEAF_ROWS * len(drawn))) // CELL_ROWS + 1)
     query_cells = sought.count() // CELL_QUERIES + 1
 
+    def leaved(batch: pa.RecordBatch, dim: int, leaves: list[list[int]]) -> pa.RecordBatch:
+        cells = pa.array([shared.value[dim].row_cells] * batch.num_rows, pa.int32())
+        made = [pa.array([dim] * batch.num_rows, pa.int32()), cells, pa.array(leaves, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "dim", "row_cells", "leaves"])
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                leaves = shared.value.leaves(_matrix(batch["vec"])).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [batch["point"], batch["vec"], pa.array(leaves, pa.list_(pa.int64()))], names=["point", "vec", "leaves"]
-                )
+        for dim, batch in _by_dimension(batches):
+            yield leaved(batch, dim, shared.value[dim].forest.leaves(_matrix(batch["vec"])).tolist())
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                found = [shared.value.visited(q, visited) for q in _matrix(batch["vec"])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch["query"], batch["vec"], pa.array(found, pa.list_(pa.int64()))], names=["query", "vec", "leaves"]
-                )
-
-    grid = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    index = map_arrow(points.select("point", "vec"), route, "point long, vec array<double>, leaves array<bigint>")
-    index = index.select("point", "vec", F.explode("leaves").alias("leaf")).select(
-        "leaf", F.pmod(F.xxhash64("point"), F.lit(row_cells)).cast("int").alias("row_cell"), grid(query_cells).alias("query_cell"), "point", "vec"
+        for dim, batch in _by_dimension(batches):
+            own = shared.value[dim]
+            yield leaved(batch, dim, [own.forest.visited(q, own.visited) for q in _matrix(batch["vec"])])
+
+    added = "vec array<double>, dim int, row_cells int, leaves array<bigint>"
+    grid = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    index = map_arrow(points.select("point", "vec"), route, f"point long, {added}")
+    index = index.select("*", F.explode("leaves").alias("leaf")).select(
+        "dim", "leaf", F.pmod(F.xxhash64("point"), F.col("row_cells")).cast("int").alias("row_cell"), grid(F.lit(query_cells)).alias("query_cell"), "point", "vec"
     )
-    tour = map_arrow(sought.select("query", "vec"), walk, "query long, vec array<double>, leaves array<bigint>")
-    tour = tour.select("query", "vec", F.explode("leaves").alias("leaf")).select(
-        "leaf", grid(row_cells).alias("row_cell"), F.pmod(F.xxhash64("query"), F.lit(query_cells)).cast("int").alias("query_cell"), "query", "vec"
+    tour = map_arrow(sought.select("query", "vec"), walk, f"query long, {added}")
+    tour = tour.select("*", F.explode("leaves").alias("leaf")).select(
+        "dim", "leaf", grid(F.col("row_cells")).alias("row_cell"), F.pmod(F.xxhash64("query"), F.lit(query_cells)).cast("int").alias("query_cell"), "query", "vec"
     )
 
     def meet(points: pa.Table, queries: pa.Table) -> pa.Table:
         found = _nearest_in_cell(points, queries, k + 1)
         return pa.table(found, schema=pa.schema([("query", pa.int64()), ("point", pa.int64()), ("score", pa.float64())]))
 
-    cell = ["leaf", "row_cell", "query_cell"]
+    cell = ["dim", "leaf", "row_cell", "query_cell"]
     met = index.groupBy(*cell).cogroup(tour.groupBy(*cell)).applyInArrow(meet, "query long, point long, score double")
     best = Window.partitionBy("query").orderBy("score", "point")
     near = met.distinct().withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1)

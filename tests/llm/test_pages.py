@@ -149,6 +149,25 @@ def test_neighbours_are_exact_on_a_small_table(spark):
     assert len(few) == 2
 
 
+def test_every_dimension_is_searched(spark):
+    """A large dimension with a forest, a small one, one of a single vector; ids that repeat over dimensions."""
+    rnd = np.random.default_rng(6)
+    many = [(i, v) for i, v in enumerate(rnd.normal(size=(5_000, 3)).tolist())]
+    few = [(100 * i, v) for i, v in enumerate(rnd.normal(size=(12, 2)).tolist(), 100)]
+    frame = spark.createDataFrame([*many, *few, (20_000, [1.0])], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in ann_forest.nearest(frame).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    want = _nearest(few, 100, 10)
+    assert {q: got[q] for q in want} == want and 20_000 not in got
+    near = _nearest(many, 100, 10)
+    assert set(got) == set(want) | set(near)
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in near[q]}) for q in near) >= 0.95 * 10 * len(near)
+    pair = [(100, [1.0, 2.0, 3.0]), (101, [1.0, 2.0, 4.0]), *((i, [float(i), 1.0]) for i in range(1, 8))]
+    found = ann_forest.nearest(spark.createDataFrame(pair, "vec_id long, embedding array<double>")).collect()
+    assert [tuple(r) for r in found] == [(100, 1, 101, 1.0)]
+
+
 def test_recall(spark):
     rnd = np.random.default_rng(4)
     vectors = [(i, v) for i, v in enumerate(rnd.normal(size=(12_000, 32)).astype("f4").tolist())]
