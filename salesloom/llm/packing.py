@@ -12,8 +12,10 @@ numbered in slices of a length, and a slice starts where the ones before it end.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -112,26 +114,37 @@ def _swap_smallest(pattern: dict[int, int], gap: int, left: np.ndarray, at: np.n
         pattern[length] = pattern.get(length, 0) + 1
 
 
-def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer's json file, text -> id: those that are found in a text before anything else."""
+    found = json.loads(Path(path).read_text(encoding="utf-8"))["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in found):
+        raise ValueError(f"{path}: an added token takes in what is around it")
+    return {t["content"]: t["id"] for t in found}
+
+
+def pieces(
+    docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, added: Mapping[str, int] = {}
+) -> DataFrame:
     """Tokenised pieces of every row: doc_id, piece, start, length, ids (binary, little-endian unsigned 32-bit).
 
+    Texts are cut at the tokens of ``added`` first, which get their own ids; without them these are text like any other.
     A document is the ids of its whole text (null: none) and the end mark 0. If it is longer than
     ``capacity`` it is cut into full pieces, the first of which takes what is left over. Rows that repeat and
     null ids give pieces row by row. Columns besides doc_id and text are ignored.
     """
     ranks = read_ranks(ranks_path)
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))  # as large as the vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern, dict(added)))  # as large as the vocabulary
     schema = pa.schema(
         [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, splitter = shared.value
-        codec = tiktoken.Encoding("ranks", pat_str=splitter, mergeable_ranks=table, special_tokens={})
+        table, splitter, own = shared.value
+        codec = tiktoken.Encoding("ranks", pat_str=splitter, mergeable_ranks=table, special_tokens=own)
         out = Collector(schema)
         for part in small_slices(batches):
             for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
-                ids = np.array([*codec.encode_ordinary(text or ""), END_OF_DOCUMENT], "<u4")
+                ids = np.array([*codec.encode(text or "", allowed_special="all"), END_OF_DOCUMENT], "<u4")
                 start, end, nth = 0, len(ids) % capacity or capacity, 0
                 while start < len(ids):
                     cut = ids[start:end]

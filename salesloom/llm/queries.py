@@ -81,11 +81,15 @@ def op6_run_index(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _marks() -> dict[str, int]:
+    return packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_packing(
     spark: SparkSession, folder: str, ranks_path: str = public_tokenizers.path("byte_bpe_50k.tiktoken")
 ) -> DataFrame:
-    """The ids are those of ``byte_bpe_50k.json``: the rank file holds the same vocabulary."""
-    cut = packing.pieces(_table(spark, folder, "documents"), ranks_path, public_tokenizers.PATTERN)
+    """The ids are those of ``byte_bpe_50k.json``: the rank file holds the same vocabulary, the json the end mark's id."""
+    cut = packing.pieces(_table(spark, folder, "documents"), ranks_path, public_tokenizers.PATTERN, added=_marks())
     items = materialize(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
     return packing.packed(items).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
@@ -94,7 +98,7 @@ def op7_packing(
 
 def packed_pieces(docs: DataFrame, ranks_path: str = public_tokenizers.path("byte_bpe_50k.tiktoken")) -> DataFrame:
     """Where each piece of ``docs`` is packed, with its ids: `packing.sequences` puts them together."""
-    items = bulky(packing.pieces(docs, ranks_path, public_tokenizers.PATTERN))
+    items = bulky(packing.pieces(docs, ranks_path, public_tokenizers.PATTERN, added=_marks()))
     return packing.packed(items).select("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")
 
 

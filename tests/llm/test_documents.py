@@ -11,6 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+import tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -123,6 +124,22 @@ def test_packing(docs, none):
     assert packing.packed(packing.pieces(none, ranks, public_tokenizers.PATTERN)).count() == 0
 
 
+def test_ids_are_those_of_the_tokenizers_library(spark):
+    """Texts that hold the end mark: at the start, at the end, twice, inside a word, broken, and after white space."""
+    mark = "<|endoftext|>"
+    texts = [f"a {mark} b", f"{mark}x", f"x  {mark}", mark, mark * 3, f"in{mark}side", "<|endof text|>", f" \n {mark} \n ", f"<|{mark}|>", "don't", "", None]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    cut = packing.pieces(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+        added=packing.added_tokens(path),
+    )
+    library = tokenizers.Tokenizer.from_file(path)
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in cut.collect()}
+    assert got == {i: [*library.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+
+
 def test_plan_replaces_the_smallest_by_two():
     # greedy 6 + 3 leaves 1 of 10; 2 + 2 in the place of 3 fills it
     made = packing.plan({6: 1, 3: 1, 2: 2}, 10)
