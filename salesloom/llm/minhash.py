@@ -4,12 +4,9 @@
    Count-Min sketch over all documents: its size is fixed and its error is a fixed share of the corpus,
    so weights behave alike at every size. A weight is tf x idf, idf = 1 + IDF_SPAN ln(N / df) / ln(1 + N): a shingle
    of one document weighs up to half as much again as one of all, so large groups of copies keep their likeness.
-2. Signatures are improved consistent weighted samples (Ioffe). A shingle heavier than PIECE counts as several pieces of
-   that weight and one of the rest, which leaves the weighted Jaccard similarity as it is. A document of up to
-   DENSE_UP_TO pieces takes a sample for each slot over all its shingles; one of at least BINNED_FROM deals its pieces into
-   bins and takes one sample per bin, an empty bin borrowing from another (bin-wise consistent weighted sampling): as no
-   piece is heavy, bins weigh nearly the same. Between the two bounds both are made, so that neighbours in
-   weight always have a kind in common.
+2. Signatures are improved consistent weighted samples (Ioffe): a sample for each slot over all shingles, however many. A hash
+   of 16 bits first says between which bounds the draws of a shingle lie; only where these let it be the least of its text are the draws
+   themselves made. A slot whose least draw is not below what was passed over is drawn again over all shingles, so nothing is left out.
 3. Signatures are cut into bands. Texts that share a band form a bucket; pairs are never listed. In CENTRE_ROUNDS rounds every
    text meets the centres of each of its buckets, unless they are in one class already. Eight bits of each sample tell
    how alike the two can be (a pair at the limit is let through unless off by several standard deviations); for those that
@@ -42,10 +39,8 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 SLOTS = BANDS * ROWS
-DENSE_UP_TO, BINNED_FROM = 128, 32
 SKETCH_ROWS, SKETCH_BITS = 4, 18
 IDF_SPAN = 0.5
-PIECE = 1 + IDF_SPAN  # a shingle that a document holds once is never cut
 _BLOCKS = 16  # pieces that sketches are summed in
 BROADCAST_KEYS = 200_000  # narrow rows of texts that share a band
 CENTRE_ROUNDS = 2  # rounds of centres before all pairs that are still apart are looked at
@@ -206,81 +201,80 @@ def _blocks(rows: Iterator[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
-def _samples(hashes: np.ndarray, log_weight: np.ndarray, seed: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """Improved consistent weighted sampling: for each element the logarithm of ``a`` (the least one wins) and the step t."""
-    uniform = []
-    for i in range(3):
-        bits = _mix(hashes * _U(_BASE) + seed + _U(i * 0x632BE59BD9B4E019 & (2**64 - 1)))
-        uniform.append(((bits >> _U(32)).astype(np.float64) + 0.5) / 2**32)
-        uniform.append(((bits & _U(0xFFFFFFFF)).astype(np.float64) + 0.5) / 2**32)
-    r = -np.log(uniform[0] * uniform[1])
-    c = -np.log(uniform[2] * uniform[3])
-    t = np.floor(log_weight / r + uniform[4])
-    return np.log(c) - r * (t - uniform[4]) - r, t
+_GRID = 256  # equal parts of a draw's distribution that 8 bits of a hash tell apart
+_PASSED = 5.0  # the least draw of a text lies above _PASSED / (sum of its weights) in 0.7 % of its slots
+_LANES = 4  # slots that one hash serves
+_POINTS = np.concatenate([[0.0], np.geomspace(1e-6, 60, 16_384)])
+_SHARES = -np.expm1(np.log1p(_POINTS) - _POINTS)  # of the distribution Gamma(2, 1) up to each point
 
 
-def _least(log_a: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Index of the least element of each run that begins at ``starts``."""
-    least = np.minimum.reduceat(log_a, starts)
-    run = np.zeros(len(log_a), np.int64)
-    run[starts[1:]] = 1
-    run = np.cumsum(run)
-    hit = np.flatnonzero(log_a == least[run])
-    return hit[np.concatenate([[True], run[hit][1:] != run[hit][:-1]])]
+def _gamma(share: np.ndarray) -> np.ndarray:
+    """The quantile of Gamma(2, 1), by linear interpolation."""
+    return np.interp(share, _SHARES, _POINTS)
 
 
-def _identity(hashes: np.ndarray, t: np.ndarray) -> np.ndarray:
-    return _mix(hashes ^ (t.astype(np.int64).astype(_U) * _U(0xD6E8FEB86659FD93)))
+def _grid() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cells of the draws r and c, in order of the least c e^-r there: their parts, and that least."""
+    edges = np.append(_gamma(np.arange(_GRID) / _GRID), np.inf)
+    floor = (np.exp(-edges[1:])[:, None] * edges[None, :-1]).ravel()
+    order = np.argsort(floor, kind="stable")
+    return order // _GRID, order % _GRID, floor[order]
 
 
-_DENSE_SEEDS, _BIN_SEED = _seeds(SLOTS, 44), _seeds(1, 55)[0]
-_PROBES = (_seeds(SLOTS * 4 * SLOTS, 66) >> _U(58)).astype(np.int64).reshape(4 * SLOTS, SLOTS) % SLOTS
+_CELL_R, _CELL_C, _FLOOR = _grid()
+_COARSE_SEEDS, _FINE_SEEDS = _seeds(SLOTS // _LANES, 44), _seeds(SLOTS, 55)
 
 
-def _dense(found: Shingles, log_weight: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """A sample per slot over all shingles; ``row`` numbers the documents from 0 without gaps."""
-    starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    out = np.empty((len(starts), SLOTS), _U)
-    for slot, seed in enumerate(_DENSE_SEEDS):
-        log_a, t = _samples(found.hash, log_weight, seed)
-        hit = _least(log_a, starts)
-        out[:, slot] = _identity(found.hash[hit], t[hit])
-    return out
+def _identity(hashes: np.ndarray, t: np.ndarray) -> np.ndarray:
+    return _mix(hashes ^ (t.astype(np.int64).astype(_U) * _U(0xD6E8FEB86659FD93)))
 
 
-def _binned(found: Shingles, log_weight: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """A sample per bin; the bin is the top of the hash, so shingles already stand in order of their bin."""
-    cell = row * SLOTS + (found.hash >> _U(_HASH_BITS - 6)).astype(np.int64)
-    starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-    log_a, t = _samples(found.hash, log_weight, _BIN_SEED)
-    hit = _least(log_a, starts)
-    rows = int(row[-1]) + 1
-    out, full = np.zeros(rows * SLOTS, _U), np.zeros(rows * SLOTS, bool)
-    out[cell[hit]], full[cell[hit]] = _identity(found.hash[hit], t[hit]), True
-    out, full = out.reshape(rows, SLOTS), full.reshape(rows, SLOTS)
-    held = full.copy()
-    for probe in _PROBES:  # the same order of probes for every document
-        if held.all():
-            break
-        take = ~held & full[:, probe]
-        out = np.where(take, out[:, probe], out)
-        held |= take
-    return out
+def _drawn(hashes: np.ndarray, log_weight: np.ndarray, seeds: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Improved consistent weighted sampling: for each shingle and slot the logarithm of ``a`` (the least one wins) and the step t.
+    ``cell`` holds the first bits of r and c."""
+    bits = _mix(hashes * _U(_BASE) + seeds)
+    fine = [((bits >> _U(shift)) & _U((1 << 21) - 1)).astype(np.float64) + 0.5 for shift in (43, 22, 1)]
+    r, c = (_gamma((part[cell] + f / (1 << 21)) / _GRID) for part, f in ((_CELL_R, fine[0]), (_CELL_C, fine[1])))
+    beta = fine[2] / (1 << 21)
+    t = np.floor(log_weight / r + beta)
+    return np.log(c) - r * (t - beta) - r, t
 
 
-def _pieces(found: Shingles, weights: np.ndarray) -> tuple[Shingles, np.ndarray]:
-    """The shingles cut into pieces of weight PIECE and a rest, by document and hash, and the weights of the pieces. The
-    n-th piece of a shingle has the same hash everywhere, so what two documents share of it are pieces, too."""
-    n = np.maximum(np.ceil(weights / PIECE), 1).astype(np.int64)
-    if not (n > 1).any():
-        return found, weights
-    of = np.repeat(np.arange(len(n)), n)
-    nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    salted = _mix(found.hash[of] + nth.astype(_U) * _U(_BASE)) & _LOW
-    hashes = np.where(nth > 0, salted, found.hash[of])
-    weight = np.where(nth < n[of] - 1, PIECE, np.maximum(weights[of] - PIECE * (n[of] - 1), 1e-9))
-    order = np.argsort((found.row[of].astype(_U) << _U(_HASH_BITS)) | hashes)
-    return Shingles(found.rows, found.row[of][order], hashes[order], np.ones(len(of), np.int64)), weight[order]
+def _samples(found: Shingles, weights: np.ndarray) -> np.ndarray:
+    """A sample per slot over all shingles of each document; rows without shingles hold zeros.
+
+    ``a`` is at least c e^-r / weight. So shingles whose cell has a floor above weight times the
+    bound of their document need no draw, if the least draw then found lies below that bound.
+    """
+    out = np.zeros((found.rows, SLOTS), _U)
+    if not len(found.row):
+        return out
+    log_weight, n = np.log(weights), np.bincount(found.row, minlength=found.rows)
+    total = np.bincount(found.row, weights, minlength=found.rows)
+    bound = _PASSED / np.where(n > 0, total, 1)
+    highest = (np.searchsorted(_FLOOR, weights * bound[found.row], side="right") - 1).astype(np.uint16)[:, None]
+    start = np.cumsum(n) - n
+    for group, seed in enumerate(_COARSE_SEEDS):
+        cells = _mix(found.hash * _U(_BASE) + seed).view(np.uint16).reshape(-1, _LANES)
+        least = np.full(found.rows * _LANES, np.inf)
+        chosen = np.zeros(found.rows * _LANES, _U)
+
+        def draw(at: np.ndarray, lane: np.ndarray) -> None:
+            slot = found.row[at] * _LANES + lane
+            log_a, t = _drawn(found.hash[at], log_weight[at], _FINE_SEEDS[group * _LANES + lane], cells[at, lane])
+            np.minimum.at(least, slot, log_a)
+            hit = np.flatnonzero(log_a == least[slot])
+            chosen[slot[hit]] = _identity(found.hash[at[hit]], t[hit])
+
+        likely = np.flatnonzero(cells <= highest)
+        draw(likely // _LANES, likely % _LANES)
+        open_ = np.flatnonzero((least >= np.repeat(np.log(bound), _LANES)) & np.repeat(n > 0, _LANES))
+        for some in np.array_split(open_, max(1, len(open_) // 64)):
+            held = n[some // _LANES]
+            nth = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
+            draw(np.repeat(start[some // _LANES], held) + nth, np.repeat(some % _LANES, held))
+        out[:, group * _LANES : (group + 1) * _LANES] = chosen.reshape(-1, _LANES)
+    return out
 
 
 def _bands(slots: np.ndarray, salt: int) -> np.ndarray:
@@ -289,31 +283,12 @@ def _bands(slots: np.ndarray, salt: int) -> np.ndarray:
     return _mix((parts * seeds).sum(axis=2, dtype=_U) + _seeds(BANDS, salt + 1)).view(np.int64)
 
 
-def signed(found: Shingles, weights: np.ndarray) -> tuple[list[list[int]], list[list[bytes | None]]]:
-    """Of each document the band hashes (BANDS of a kind, both kinds between the bounds, none without words), and per kind the
-    low byte of every sample (null for a kind it lacks)."""
-    bands: list[list[int]] = [[] for _ in range(found.rows)]
-    marks: list[list[bytes | None]] = []
-    pieces, piece_weights = _pieces(found, weights)
-    n = np.bincount(pieces.row, minlength=found.rows)
-    kinds = (
-        (_dense, (n > 0) & (n <= DENSE_UP_TO), 77, found, weights),
-        (_binned, n >= BINNED_FROM, 88, pieces, piece_weights),
-    )
-    for make, chosen, salt, of, weight in kinds:
-        mark: list[bytes | None] = [None] * found.rows
-        marks.append(mark)
-        if not chosen.any():
-            continue
-        keep = chosen[of.row]
-        part = Shingles(of.rows, of.row[keep], of.hash[keep], of.times[keep])
-        number = np.cumsum(chosen) - 1
-        slots = make(part, np.log(weight[keep]), number[part.row])
-        low = slots.astype(np.uint8)
-        for i, (row, values) in enumerate(zip(np.flatnonzero(chosen).tolist(), _bands(slots, salt).tolist())):
-            bands[row].extend(values)
-            mark[row] = low[i].tobytes()
-    return bands, marks
+def signed(found: Shingles, weights: np.ndarray) -> tuple[list[list[int]], list[bytes | None]]:
+    """Of each document the band hashes and the low byte of every sample; none and null without words."""
+    slots, worded = _samples(found, weights), np.bincount(found.row, minlength=found.rows) > 0
+    low = slots.astype(np.uint8)
+    bands = [band if has else [] for band, has in zip(_bands(slots, 77).tolist(), worded)]
+    return bands, [low[i].tobytes() if has else None for i, has in enumerate(worded)]
 
 
 def _keyed(docs: DataFrame, *carry: str) -> DataFrame:
@@ -323,25 +298,21 @@ def _keyed(docs: DataFrame, *carry: str) -> DataFrame:
 
 
 def _signatures(rows: DataFrame, df: Frequencies, held: Workspace) -> DataFrame:
-    """key, bands, dense and binned (low bytes of the samples) of every different text with words; written."""
+    """key, bands and samples (their low bytes) of every different text with words; written."""
     shared = rows.sparkSession.sparkContext.broadcast(df)  # of fixed size
-    schema = pa.schema(
-        [("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("dense", pa.binary()), ("binned", pa.binary())]
-    )
+    schema = pa.schema([("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("samples", pa.binary())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, out = shared.value, Collector(schema)
         for part in small_slices(batches):
             found = shingles(part["text"])
-            bands, marks = signed(found, known.weights(found))
-            for row in zip(part["key"].to_pylist(), bands, *marks):
-                if row[1] and out.add(row, 8 * len(row[1]) + 160):
+            bands, samples = signed(found, known.weights(found))
+            for row in zip(part["key"].to_pylist(), bands, samples):
+                if row[1] and out.add(row, 8 * len(row[1]) + 96):
                     yield out.take()
         yield out.take()
 
-    made = map_arrow(
-        rows.select("key", "text"), sign, "key binary, bands array<bigint>, dense binary, binned binary"
-    )
+    made = map_arrow(rows.select("key", "text"), sign, "key binary, bands array<bigint>, samples binary")
     return held.table(made.dropDuplicates(["key"]))
 
 
@@ -353,27 +324,20 @@ def _buckets(signatures: DataFrame) -> DataFrame:
 
 
 def _agreement(offers: DataFrame, marks: DataFrame) -> DataFrame:
-    """Adds ``alike`` to the pairs (key, centre, ...): the share of samples that agree, of the kind both have where
-    it is larger; pairs below LEAST_AGREEMENT go."""
+    """Adds ``alike`` to the pairs (key, centre, ...): the share of samples that agree; pairs below LEAST_AGREEMENT go."""
     kept = offers.columns
-    ours = marks.select("key", "dense", "binned")
-    theirs = marks.select(F.col("key").alias("centre"), F.col("dense").alias("dense_"), F.col("binned").alias("binned_"))
-    met = offers.join(theirs, "centre").join(ours, "key").select(*kept, "dense", "dense_", "binned", "binned_")
-    blank = bytes(SLOTS)
+    ours = marks.select("key", "samples")
+    theirs = marks.select(F.col("key").alias("centre"), F.col("samples").alias("samples_"))
+    met = offers.join(theirs, "centre").join(ours, "key").select(*kept, "samples", "samples_")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best = np.zeros(batch.num_rows)
-            for kind in ("dense", "binned"):
-                one, two = batch[kind], batch[kind + "_"]
-                both = pc.and_(pc.is_valid(one), pc.is_valid(two)).to_numpy(zero_copy_only=False)
-                a, b = (
-                    np.frombuffer(b"".join(pc.fill_null(c, blank).to_pylist()), np.uint8).reshape(-1, SLOTS)
-                    for c in (one, two)
-                )
-                best = np.maximum(best, np.where(both, (a == b).mean(axis=1), 0))
-            near = pa.array(best >= LEAST_AGREEMENT)
-            out = [batch[c].filter(near) for c in kept] + [pa.array(best).filter(near)]
+            a, b = (
+                np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, SLOTS) for c in ("samples", "samples_")
+            )
+            agree = (a == b).mean(axis=1)
+            near = pa.array(agree >= LEAST_AGREEMENT)
+            out = [batch[c].filter(near) for c in kept] + [pa.array(agree).filter(near)]
             yield pa.RecordBatch.from_arrays(out, names=[*kept, "alike"])
 
     types = dict(offers.dtypes)
@@ -421,16 +385,8 @@ class _Cell:
         number = {r: i for i, r in enumerate({row["root"] for row in rows})}
         self.classes = np.array([number[row["root"]] for row in rows])
         self._block = np.array([row["block"] for row in rows])
-        blank = bytes(SLOTS)
-        self._held = [np.array([row[kind] is not None for row in rows]) for kind in ("dense", "binned")]
-        self._marks = [
-            np.frombuffer(b"".join(row[kind] or blank for row in rows), np.uint8).reshape(-1, SLOTS) for kind in ("dense", "binned")
-        ]
-        # bands of both kinds in columns of their own; what a text lacks differs from all
-        self._bands = np.arange(-1, -2 * BANDS * len(rows) - 1, -1).reshape(len(rows), 2 * BANDS)
-        for i, row in enumerate(rows):
-            start = 0 if row["dense"] is not None else BANDS
-            self._bands[i, start : start + len(row["bands"])] = row["bands"]
+        self._marks = np.frombuffer(b"".join(row["samples"] for row in rows), np.uint8).reshape(-1, SLOTS)
+        self._bands = np.array([row["bands"] for row in rows])
         self._here = self._bands == band
 
     def partners(self, i: int) -> np.ndarray:
@@ -443,10 +399,7 @@ class _Cell:
         at = np.flatnonzero(apart & (self.classes != self.classes[i]))
         if not len(at):
             return at
-        agree = np.zeros(len(at))
-        for has, mark in zip(self._held, self._marks):
-            if has[i]:
-                agree = np.maximum(agree, np.where(has[at], (mark[at] == mark[i]).mean(axis=1), 0))
+        agree = (self._marks[at] == self._marks[i]).mean(axis=1)
         first = (self._bands[at] == self._bands[i]).argmax(axis=1)
         kept = (agree >= LEAST_AGREEMENT) & self._here[at, first]
         return at[kept][np.argsort(-agree[kept], kind="stable")]

@@ -316,8 +316,8 @@ def test_samples_follow_the_weights_of_repeated_lines(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     df = minhash.frequencies(frame)
     found = minhash.shingles(pa.array(texts))
-    bands, (_, binned) = minhash.signed(found, df.weights(found))
-    marks = np.array([list(m) for m in binned])
+    bands, samples = minhash.signed(found, df.weights(found))
+    marks = np.array([list(m) for m in samples])
     true = minhash.similarities(pa.array([texts[0]] * 40), pa.array(texts[1:41]), df)
     assert true.min() > 0.8
     agree = (marks[1:41] == marks[0]).mean(axis=1)
@@ -327,6 +327,32 @@ def test_samples_follow_the_weights_of_repeated_lines(spark):
     assert got == {i: 0 if i < 41 else i for i in range(42)}
 
 
+@pytest.mark.parametrize("words", [8, 60, 3000])
+def test_samples_are_the_least_draws_of_all_shingles(monkeypatch, words):
+    """Passing shingles over changes no sample, and texts agree in the share of weight they have in common."""
+    rnd = random.Random(words)
+    base = [f"w{n}" for n in range(words)]
+    texts = []
+    for _ in range(40):
+        changed = list(base)
+        for _ in range(max(1, words // 100)):
+            changed[rnd.randrange(words)] = f"x{rnd.randrange(10**9)}"
+        texts.append(" ".join(changed))
+    texts += ["", None, "one"]
+    found = minhash.shingles(pa.array(texts))
+    weights = found.times * (1 + 0.5 * (found.hash % np.uint64(1000)).astype(float) / 1000)
+    weights[::7] *= 40
+    got = minhash._samples(found, weights)
+    monkeypatch.setattr(minhash, "_PASSED", 1e12)
+    assert (got == minhash._samples(found, weights)).all()
+    monkeypatch.setattr(minhash, "_PASSED", 0.1)
+    assert (got == minhash._samples(found, weights)).all()
+    vectors = [(found.hash[found.row == i], weights[found.row == i]) for i in range(40)]
+    true = [minhash._alike(vectors[i], vectors[j]) for i in range(40) for j in range(i)]
+    agree = [(got[i] == got[j]).mean() for i in range(40) for j in range(i)]
+    assert abs(np.mean(true) - np.mean(agree)) < 0.08 and not got[40].any() and got[42].all()
+
+
 def test_weighted_jaccard_by_hand(spark):
     texts = ["a b c d e f", "a b c d e g", "a b c d e f"]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
