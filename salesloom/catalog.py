@@ -11,6 +11,7 @@ from salesloom.plans.audit import reference_audit
 from salesloom.plans.reimport import import_outcomes
 from salesloom.plans.reports import customers, employees, insights, kpi, revenue, shipping, sketched, spread, supply
 from salesloom.plans.retail import Retail, StarRetail
+from salesloom.plans.stored import stored_trend
 
 REPORTS: dict[str, Callable[..., DataFrame]] = {
     "kpi_snapshot": kpi.kpi_snapshot,
@@ -54,6 +55,7 @@ REPORTS: dict[str, Callable[..., DataFrame]] = {
     "x21_tenure_revenue": employees.tenure_revenue,
     "x22_tenure_correlation": insights.tenure_correlation,
     "x23_country_against_mean": partial(customers.country_quality, against_mean=True),
+    "x24_stored_trend": stored_trend,
 }
 
 

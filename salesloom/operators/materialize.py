@@ -27,6 +27,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return _LOCAL_SCRATCH[app]
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A folder in the scratch folder that no one uses yet."""
+    return f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+
+
 def materialize(frame: DataFrame) -> DataFrame:
     """Write ``frame`` to Parquet in the scratch folder and return the table.
 
@@ -37,6 +42,6 @@ def materialize(frame: DataFrame) -> DataFrame:
     application's scratch folder is dropped.
     """
     spark = frame.sparkSession
-    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)

@@ -16,7 +16,7 @@ ends up in one task; figures of a value that crosses a border are carried over i
 without tie-breaks gets the row's number as one. ``within`` numbers each group separately
 without making the group the unit of work: a group may span any number of buckets.
 
-The number of buckets follows the rows. The layout is written when it is first asked for, and what lies before its
+The number of buckets follows the rows: up to 20,000 rows are one bucket, sorted by one task, with nothing before it to measure. The layout is written when it is first asked for, and what lies before its
 buckets only for figures that need it: tiles and quantiles do with the rows in each bucket. Nothing but the row count and, for quantiles, the
 sought rows reaches the driver, and no plan holds cut points.
 """
@@ -40,7 +40,7 @@ from salesloom.operators.materialize import materialize
 # a bucket holds 500,000 rows; fewer, down to 10,000, if that keeps all cores busy
 ROWS_PER_BUCKET = 500_000
 SMALL_BUCKET = 10_000
-MIN_BUCKETS = 2
+MIN_BUCKETS = 1
 # one row per bucket, some 100 bytes each; with more buckets the join is left to Spark
 BROADCAST_BUCKETS = 500_000
 
@@ -249,12 +249,23 @@ class GlobalOrder:
             ).alias(self._before),
         )
 
+    def _nothing_before(self) -> Column:
+        """What ``_carried`` gives the only bucket of an order."""
+        zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")
+        sums = F.array(*(F.lit(0) for _ in self.spec.sums)).cast(f"array<{_SUM_TYPE}>")
+        held = F.lit(self.rows).cast("bigint")
+        figures = {"held": held, "rows": zero, "distinct": zero, "start": none, "end": none, "sums": sums}
+        return F.struct(*(figure.alias(name) for name, figure in figures.items()))
+
     # -- layout
 
     def arrange(self) -> DataFrame:
         """The measured rows in this order, one bucket per partition."""
-        bucket = F.shiftright(self._at, _PLACE_BITS).cast("int")
-        known = self._table.withColumn(self._bucket, bucket).join(self._small(self._offsets), self._bucket)
+        if self._buckets == 1:
+            known = self._table.withColumns({self._bucket: F.lit(0), self._before: self._nothing_before()})
+        else:
+            bucket = F.shiftright(self._at, _PLACE_BITS).cast("int")
+            known = self._table.withColumn(self._bucket, bucket).join(self._small(self._offsets), self._bucket)
         return known.repartitionById(self._buckets, F.col(self._bucket)).sortWithinPartitions(
             F.col(self._bucket), *(key.sort() for key in self.spec.keys)
         )
@@ -265,7 +276,7 @@ class GlobalOrder:
         return F.col(f"{self._before}.{name}")
 
     def _inherits(self) -> Column:
-        if not self.spec.within:
+        if not self.spec.within or self._buckets == 1:
             return F.lit(True)
         group = F.struct(*(k.column.alias(f"g{i}") for i, k in enumerate(self.spec.groups)))
         return group.eqNullSafe(self._carry("group"))

@@ -728,3 +728,4 @@ ct AS (
 FROM ct""",
 }
 ORACLES["x17_refreshed_trend"] = ORACLES["q4_quarterly_trend"]
+ORACLES["x24_stored_trend"] = ORACLES["q4_quarterly_trend"]

@@ -19,8 +19,9 @@ discount in basis points.
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from datetime import date, datetime, time, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,16 @@ from salesloom.sources.loaders import load_csv_tables, load_parquet
 class Retail(ABC):
     """Frames of one data set and the aggregates several reports share."""
 
+    #: the stored tables of orders and of lines, each with its order key
+    FACTS: tuple[tuple[str, str], tuple[str, str]]
+    tables: Mapping[str, DataFrame]
+    #: the same data in parts that share no order; totals by order are then those of each part
+    parts: Sequence[Retail] = ()
+
+    def replaced(self, tables: Mapping[str, DataFrame]) -> Retail:
+        """The same source with some of its tables taken from elsewhere."""
+        return type(self)({**self.tables, **tables})
+
     @abstractmethod
     def lines(self) -> DataFrame: ...
 
@@ -118,6 +129,8 @@ class Retail(ABC):
         first and by order then: the pairs of a huge order stay spread out, and the second
         step counts them.
         """
+        if self.parts:
+            return reduce(DataFrame.unionByName, (part.order_totals(products) for part in self.parts))
         measures = {
             "Units": (F.sum("Quantity"), F.sum),
             "NetU": (F.sum("NetU"), F.sum),
@@ -188,6 +201,8 @@ class Retail(ABC):
 class CsvRetail(Retail):
     """The eleven retail tables in their own schema (``sources.schemas``)."""
 
+    FACTS = (("orders", "OrderID"), ("order_details", "OrderID"))
+
     def __init__(self, tables: Mapping[str, DataFrame]):
         self.tables = tables
 
@@ -322,6 +337,7 @@ class StarRetail(Retail):
       a part's supplier is the one that shipped it first (the lowest key on a tie).
     """
 
+    FACTS = (("orders", "o_orderkey"), ("lineitem", "l_orderkey"))
     TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 
     def __init__(self, tables: Mapping[str, DataFrame]):

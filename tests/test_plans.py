@@ -5,6 +5,7 @@ import re
 import pytest
 
 from salesloom.operators import materialize as materialize_module
+from salesloom.operators import ordering
 from salesloom.plans import retail as retail_module
 from salesloom.plans.reports import employees, insights, shipping, supply
 from salesloom.catalog import star_queries
@@ -40,6 +41,7 @@ def plans(spark):
 
     out = {}
     with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ordering, "MIN_BUCKETS", 2)  # small tables are one bucket, and the plans are to be those of large ones
         for module in (retail_module, employees, insights, shipping, supply):
             patch.setattr(module, "materialize", spy)
         for name, query in star_queries().items():

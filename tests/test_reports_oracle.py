@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as contract
 from salesloom.catalog import star_queries
+from salesloom.operators import ordering
 from salesloom.oracles import ORACLES
 
 DATA = Path("/root/testdata")
@@ -38,8 +39,10 @@ def _sorted(rows):
 
 
 @pytest.mark.parametrize("name", list(ORACLES))
-def test_report_equals_sql(spark, data, name):
+def test_report_equals_sql(spark, data, name, monkeypatch):
     folder, db = data
+    if folder.endswith("sf0.001"):  # one size in several buckets, the other as it comes
+        monkeypatch.setattr(ordering, "MIN_BUCKETS", 2)
     got = star_queries()[name](spark, folder)
     want = db.sql(ORACLES[name])
     cols = sorted(got.columns)
