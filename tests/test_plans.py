@@ -22,6 +22,7 @@ BOUNDED = {
     "x4_top_n_share",
     "x7_monthly_run_rate",
     "x11_discounted_lines",
+    "x24_stored_trend",
 }
 GATHERED = re.compile(r"Window[^\n]*\n(?:[^\n]*Sort [^\n]*\n)?[^\n]*Exchange SinglePartition")
 
