@@ -38,8 +38,9 @@ LENGTH = 200
 GRAM = 50
 BITMAP_BITS = (20, 28)  # least and greatest: at most 32 MB
 _BITMAP_PIECES = 32
-BLOCK_BYTES = 2 << 20
-SLICE_BYTES = 1 << 20  # of text that anchors are chosen in at once; numpy holds some hundred bytes for each
+BLOCK_BYTES = 2 << 20  # of an anchor that are still indexed
+INDEX_BYTES = 128 << 10  # that a block is filled to: its arrays then stay in the processor's cache
+SLICE_BYTES = 128 << 10  # of text that anchors are chosen in at once; numpy holds some hundred bytes for each
 COMBINE_BYTES = 48 << 20  # that a task holds of different regions, with what Python needs for each
 _HELD_BYTES = 400
 
@@ -70,14 +71,12 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
-    """Least of each ``width`` neighbours: prefix minima of blocks from both sides."""
-    n = len(x) - width + 1
-    padded = np.full(-(-len(x) // width) * width, np.iinfo(x.dtype).max, x.dtype)
-    padded[: len(x)] = x
-    blocks = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
+    """Least of each ``width`` neighbours: of twice as many each time, the last two overlap."""
+    n, reach = len(x) - width + 1, 1
+    while 2 * reach <= width:
+        x = np.minimum(x[:-reach], x[reach:])
+        reach *= 2
+    return np.minimum(x[:n], x[width - reach : width - reach + n])
 
 
 def regions(data: np.ndarray, borders: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -90,22 +89,23 @@ def regions(data: np.ndarray, borders: np.ndarray, length: int = LENGTH, gram: i
     if n <= 0:
         return empty.astype(_U), empty, empty, empty
     sums = np.zeros(len(data) + 1, _U)
-    np.cumsum(_LETTERS[data] * _powers(_BASE, len(data)), out=sums[1:])
+    np.cumsum(_LETTERS.take(data) * _powers(_BASE, len(data)), out=sums[1:])
     grams = len(data) - gram + 1
     hashes = _mix((sums[gram:] - sums[:-gram]) * _powers(_INVERSE, grams))
-    # place in the low bits: the leftmost wins a tie, and the winner can be read off
-    low = _U(max(1, int(grams).bit_length()))
+    # place in the low bits: the leftmost wins a tie, and the winner can be read off. Always as many bits, as equal windows of
+    # other slices must choose alike
+    low = _U(32)
     ranked = (hashes >> low << low) | np.arange(grams, dtype=_U)
-    anchor = (_sliding_least(ranked, length - gram + 1) & ((_U(1) << low) - _U(1))).astype(np.int64)
-    at = np.arange(n)
-    text = np.repeat(np.arange(len(borders) - 1), np.diff(borders))[:n]
-    inside = at + length <= borders[text + 1]
-    if not inside.any():
-        return empty.astype(_U), empty, empty, empty
-    at, text, anchor = at[inside], text[inside], anchor[inside]
-    new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
-    windows = np.diff(np.append(new, len(at)))
-    return hashes[anchor[new]], text[new], at[new], windows
+    least = _sliding_least(ranked, length - gram + 1)
+    # a region starts with a text or where the winner changes, and ends with the last window inside its text
+    edge = np.append(True, least[1:] != least[:-1])
+    edge[borders[:-1][borders[:-1] < n]] = True
+    first = np.flatnonzero(edge)
+    text = np.searchsorted(borders, first, side="right") - 1
+    windows = np.minimum(np.append(first[1:], n), borders[text + 1] - (length - 1)) - first
+    inside = windows > 0
+    first = first[inside]
+    return hashes[(least[first] & ((_U(1) << low) - _U(1))).astype(np.int64)], text[inside], first, windows[inside]
 
 
 def _laid_out(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -200,44 +200,62 @@ def suffix_order(data: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Positions in order of their suffixes, by prefix doubling. ``owner`` numbers the region of each byte; a suffix ends
     where its region does, and equal ends are ordered by region."""
     n = len(data)
+    bits = n.bit_length()
     last = np.flatnonzero(np.append(owner[1:] != owner[:-1], True))
-    # first key: up to seven bytes of the region, each plus one, then 0 from the end on
-    step = 7
+    room = (np.repeat(last + 1, np.diff(last, prepend=-1)) - np.arange(n)).astype(np.int32)
+    # first key: as many letters of the region as fit, numbered from 1 among those of the block, then 0 from the end on
+    code = np.cumsum(np.bincount(data, minlength=256) > 0)
+    base, most, step = int(code[-1]) + 1, 1 << (64 - _place_bits(bits)), 1
+    while base ** (step + 1) <= most and step < n:
+        step += 1
     letters = np.zeros(n + step, _U)
-    letters[:n] = data
-    letters[:n] += _U(1)
-    ends = np.repeat(last + 1, np.diff(np.append(-1, last)))
-    room = ends - np.arange(n)
-    key = np.zeros(n, _U)
+    letters[:n] = code[data]
+    key = letters[:n].copy()
+    for j in range(1, step):
+        key *= _U(base)
+        key += letters[j : j + n]
+    short = np.flatnonzero(room < step)
+    key[short] = 0
     for j in range(step):
-        key *= _U(257)
-        key += letters[j : j + n] * (room > j)
-    order = np.argsort(key)
-    sorted_key = key[order]
-    head = np.append(True, sorted_key[1:] != sorted_key[:-1])
-    rank = np.empty(n, np.int64)
+        key[short] = key[short] * _U(base) + letters[short + j] * (room[short] > j)
+    key, order = _sorted_keys(key, np.arange(n), bits)
+    # suffixes that end within the first key are in their place: ties go by position, so by region
+    head = np.append(True, key[1:] != key[:-1]) | (room < step)[order]
+    rank = np.zeros(n + 1, np.int32)
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     while True:
-        # only suffixes that share their rank are looked at again
-        alone = head & np.append(head[1:], True)
-        open_at = np.flatnonzero(~alone)
+        # only suffixes that share their rank are looked at again, in the order of the text: most reads are neighbours
+        open_at = np.flatnonzero(~(head & np.append(head[1:], True)))
         if not len(open_at):
             return order
-        part = order[open_at]
-        ahead = part + step
-        inside = ahead < ends[part]
-        # beyond its region's end a suffix ranks by region, below all that go on
-        second = np.where(inside, rank[np.minimum(ahead, n - 1)] + len(last), owner[part])
-        key = rank[part].astype(_U) << _U(32) | second.astype(_U)
-        again = np.argsort(key)
-        order[open_at] = part[again]
-        key = key[again]
-        new_head = np.append(True, key[1:] != key[:-1])
+        part = np.sort(order[open_at])
+        # a suffix that ends here comes before all that go on; shorter ones are in their place
+        second = np.where(room[part] > step, rank[part + step] + 1, 0)
+        key = rank[part].astype(_U) << _U(bits) | second.astype(_U)
+        key, part = _sorted_keys(key, part, bits)
+        order[open_at] = part
+        new_head = np.append(True, key[1:] != key[:-1]) | (key & _U((1 << bits) - 1) == 0)
         head[open_at] = new_head
-        rank[order[open_at]] = np.maximum.accumulate(np.where(new_head, open_at, 0))
+        rank[part] = np.maximum.accumulate(np.where(new_head, open_at, 0))
         step *= 2
 
 
+def _place_bits(bits: int) -> int:
+    """Low bits of a key that take its position, if two ranks and a position of ``bits`` bits fit in 64."""
+    return bits if 3 * bits <= 64 else 0
+
+
+def _sorted_keys(key: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and the positions ``at`` (ascending) in theirs; equal keys by position. Plain words sort several times faster
+    than an index to them."""
+    low = _U(_place_bits(bits))
+    if low:
+        both = np.sort(key << low | at.astype(_U))
+        return both >> low, (both & _U((1 << bits) - 1)).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    return key[order], at[order]
+
+
 def shared_with_neighbours(data: np.ndarray, owner: np.ndarray, limit: int) -> np.ndarray:
     """For every position the longest string from it, inside its region, that occurs elsewhere in the block, exact up to
     ``limit`` and at least ``limit`` beyond.
@@ -249,53 +267,51 @@ def shared_with_neighbours(data: np.ndarray, owner: np.ndarray, limit: int) -> n
     order = suffix_order(data, owner)
     begins = np.append(True, owner[1:] != owner[:-1])
     # the letter before a suffix; the first of a region differs from all
-    before = np.where(begins, -1 - owner, np.append(0, data[:-1]).astype(np.int64))
-    transform = before[order]
-    border = np.flatnonzero(transform[1:] != transform[:-1])  # a run ends at border, the next begins after it
-    sample = (order[border], order[border + 1])
-    ends = np.flatnonzero(np.append(owner[1:] != owner[:-1], True))[owner] + 1
-    common = _compared(data, ends, *sample)
-    best = np.zeros(n, np.int64)
-    for at in sample:  # the run's end meets the suffix after it, the next run's start the one before it
-        reach = np.zeros(n, np.int64)
-        reach[at] = common + at
-        best = np.maximum(best, np.maximum.accumulate(reach) - np.arange(n))
-    return best
+    transform, first = np.append(data[:1], data[:-1])[order], begins[order]
+    # a run ends at border, the next begins after it
+    border = np.flatnonzero((transform[1:] != transform[:-1]) | first[1:] | first[:-1])
+    ends = (np.flatnonzero(np.append(begins[1:], True)) + 1)[owner]
+    above, below = order[border], order[border + 1]
+    common = _compared(data, ends, above, below)
+    # the run's end meets the suffix after it, the next run's start the one before it
+    reach = np.zeros(n, np.int64)
+    reach[above] = common + above
+    reach[below] = np.maximum(reach[below], common + below)
+    return np.maximum(np.maximum.accumulate(reach) - np.arange(n), 0)
 
 
 def _compared(data: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Length of the common start of suffixes ``a`` and ``b``, eight bytes at a time."""
     padded = np.append(data, np.zeros(8, np.uint8))
-    eight = np.lib.stride_tricks.as_strided(padded, (len(data), 8), (1, 1))
+    eight = np.ndarray(len(data), "<u8", padded, strides=(1,)).copy()
     room = np.minimum(ends[a] - a, ends[b] - b)
     common = np.zeros(len(a), np.int64)
     going = np.flatnonzero(room > 0)
     while len(going):
-        x, y = a[going] + common[going], b[going] + common[going]
-        differs = eight[x] != eight[y]
-        same = np.where(differs.any(axis=1), differs.argmax(axis=1), 8)
+        differs = eight[a[going] + common[going]] ^ eight[b[going] + common[going]]
+        # bits below the first that differs; all 64 if none does
+        same = np.bitwise_count((differs & (~differs + _U(1))) - _U(1)) >> 3
         common[going] += same
         going = going[(same == 8) & (common[going] < room[going])]
     return np.minimum(common, room)
 
 
-def repeated_windows(parts: list[bytes], counts: list[int], length: int = LENGTH) -> list[np.ndarray]:
-    """Which windows of distinct regions occur again: in another place of these regions, or with the whole region."""
+def repeated_windows(parts: list[bytes], counts: list[int], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which windows of distinct regions occur again: in another place of these regions, or with the whole region.
+
+    (number, first, end) for each stretch of such windows, in order.
+    """
     sizes = np.array([len(p) for p in parts])
     data = np.frombuffer(b"".join(parts), np.uint8)
-    owner = np.repeat(np.arange(len(parts)), sizes)
-    long = shared_with_neighbours(data, owner, length) >= length
-    starts = np.cumsum(sizes) - sizes
-    return [
-        np.ones(size - length + 1, bool) if n > 1 else long[start : start + size - length + 1]
-        for start, size, n in zip(starts.tolist(), sizes.tolist(), counts)
-    ]
-
-
-def _stretches(flags: np.ndarray) -> list[int]:
-    """[first, end) pairs of the runs of true, flat."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return edges.tolist()
+    owner, stop = np.repeat(np.arange(len(parts)), sizes), np.cumsum(sizes)
+    found = shared_with_neighbours(data, owner, length) >= length
+    found |= (np.array(counts) > 1)[owner]
+    found &= stop[owner] - np.arange(len(data)) >= length  # no window crosses a region's end, so no stretch does
+    edges = np.diff(found.astype(np.int8), prepend=0, append=0)
+    first, end = np.flatnonzero(edges > 0), np.flatnonzero(edges < 0)
+    number = owner[first]
+    start = (stop - sizes)[number]
+    return number, first - start, end - start
 
 
 def _combined(found: DataFrame) -> DataFrame:
@@ -360,10 +376,13 @@ def _marked(distinct: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     )
 
     def index(parts: list[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
-        flags = repeated_windows([p[1] for p in parts], [p[2] for p in parts])
-        found = [(p[0], _stretches(f)) for p, f in zip(parts, flags) if f.any()]
-        columns = [*(list(zip(*found)) or [[], []]), *([None] * len(found) for _ in range(3))]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+        number, first, end = repeated_windows([p[1] for p in parts], [p[2] for p in parts])
+        which, at = np.unique(number, return_index=True)
+        pairs = pa.array(np.column_stack([first, end]).ravel(), pa.int32())
+        stretches = pa.ListArray.from_arrays(pa.array(np.append(at, len(number)) * 2, pa.int32()), pairs)
+        columns = [pa.array([parts[i][0] for i in which.tolist()], pa.binary()), stretches]
+        columns += [pa.nulls(len(which), f.type) for f in list(schema)[2:]]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # regions of one anchor stay in one index
@@ -379,7 +398,7 @@ def _marked(distinct: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 if held and held[-1][0] == region:
                     held[-1] = (region, body, held[-1][2] + n)
                     continue
-                if size >= block_bytes and anchor != last:
+                if size >= min(block_bytes, INDEX_BYTES) and anchor != last:
                     yield index(held)
                     held, size = [], 0
                 held.append((region, body, n))

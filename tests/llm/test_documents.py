@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -15,7 +16,7 @@ import tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from salesloom.llm import bpe, minhash, packing, quality, run_index, slots
+from salesloom.llm import arrow, bpe, minhash, packing, quality, run_index, slots
 
 WORDS = [f"{a}{b}" for a in "ka lo mi nu re sa to vu".split() for b in "ren tal mos dig pex".split()]
 
@@ -426,6 +427,59 @@ def test_index_finds_every_repeat():
         assert found.tolist() == [bool(s) and times[s] > 1 for s in strings]
 
 
+def _lettered(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    rnd = np.random.default_rng(seed)
+    letters = rnd.integers(0, rnd.integers(1, 5), n, dtype=np.uint8) * np.uint8(60)
+    return letters, np.unique(np.cumsum(rnd.random(n) < 0.03), return_inverse=True)[1]
+
+
+def test_suffixes_are_sorted_as_plain_words(monkeypatch):
+    """An indirect sort of a block takes several times as long; larger blocks than words have room for may need it."""
+    plain = np.argsort
+    for wide in (False, True):
+        if wide:
+            monkeypatch.setattr(run_index, "_place_bits", lambda bits: 0)
+        for seed in range(40):
+            letters, owner = _lettered(seed, 1 + 9 * seed)
+            stop = np.cumsum(np.bincount(owner))[owner]
+            want = sorted(range(len(letters)), key=lambda i: (letters[i : stop[i]].tobytes(), owner[i]))
+            with monkeypatch.context() as patch:
+                patch.setattr(np, "argsort", plain if wide else None)
+                assert run_index.suffix_order(letters, owner).tolist() == want
+
+
+def test_working_sets_are_small():
+    """Arrays of a slice or a block are read many times over: they are to stay in a cache."""
+    parts = [_prose(i, 50).encode()[:300] for i in range(run_index.INDEX_BYTES // 300)]
+    texts = pa.RecordBatch.from_pydict({"text": [_prose(i, 400) for i in range(256)]})
+
+    def peak(run) -> int:
+        run()
+        tracemalloc.start()
+        run()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    slices = list(arrow.sized_slices([texts], "text", run_index.SLICE_BYTES))
+    assert len(slices) > 1
+    assert peak(lambda: [run_index.regions(*run_index._laid_out(s["text"])) for s in slices]) < 12 << 20
+    assert peak(lambda: run_index.repeated_windows(parts, [1] * len(parts))) < 16 << 20
+
+
+def test_anchors_do_not_depend_on_the_slice(monkeypatch):
+    """Hashes that differ in few bits only, so that their order hangs on how many are looked at."""
+    plain = run_index._mix
+    monkeypatch.setattr(run_index, "_mix", lambda x: plain(x) >> np.uint64(44))
+    text = np.frombuffer(_prose(5, 100).encode(), np.uint8)
+    rest = np.frombuffer(_prose(6, 40000).encode(), np.uint8)
+    anchor, _, first, windows = run_index.regions(text, np.array([0, len(text)]))
+    within = run_index.regions(np.concatenate([text, rest]), np.array([0, len(text), len(text) + len(rest)]))
+    here = within[1] == 0
+    assert within[0][here].tolist() == anchor.tolist()
+    assert within[2][here].tolist() == first.tolist() and within[3][here].tolist() == windows.tolist()
+
+
 def test_equal_windows_choose_equal_anchors():
     text = np.frombuffer((_prose(1, 200) + PASSAGE * 3).encode(), np.uint8)
     data, borders = np.concatenate([text, text[100:900]]), np.array([0, len(text), len(text) + 800])
